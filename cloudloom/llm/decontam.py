@@ -98,45 +98,52 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
         held = spark.sparkContext.broadcast(_sketches(block, size, threshold))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            keys, owner, known = held.value
-            if not len(keys):
-                return
+            known = held.value[2]
             item_type = pa.array([k[0] for k in known]).type
-            # a table of bits rules most shingles out before the binary search
-            maybe = np.zeros(1 << 20, bool)
-            maybe[(keys >> np.uint64(44)).astype(np.int64)] = True
             for rows, col in text_steps(batches, text):
-                grams, of, alone, short = _hashes(col, size)
-                grams, of = np.concatenate([grams, alone]), np.concatenate([of, short])
-                can = np.flatnonzero(maybe[(grams >> np.uint64(44)).astype(np.int64)])
-                grams, of = grams[can], of[can]
-                at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
-                hit = keys[at] == grams
-                found: dict[int, set[int]] = {}
-                for g, d in {*zip(grams[hit].tolist(), of[hit].tolist(), strict=True)}:
-                    lo, hi = np.searchsorted(keys, np.uint64(g), "left"), np.searchsorted(keys, np.uint64(g), "right")
-                    found.setdefault(d, set()).update(owner[lo:hi].tolist())
-                docs_at, ids, shared, sizes = [], [], [], []
-                for d in sorted(found):
-                    own = shingles(col[d].as_py(), size)
-                    for i in sorted(found[d]):
-                        ident, want, need = known[i]
-                        n = len(want & own)
-                        if n >= need:
-                            docs_at.append(d)
-                            ids.append(ident)
-                            shared.append(n)
-                            sizes.append(len(want))
-                if docs_at:
-                    n_shared, n_item = np.array(shared, np.int64), np.array(sizes, np.int64)
-                    yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(docs_at)), pa.array(ids, item_type), pa.array(n_shared), pa.array(n_item), pa.array(n_shared / n_item)], schema.names)
+                if found := _found(col, held.value, size):
+                    n_shared, n_item = (np.array([f[i] for f in found], np.int64) for i in (2, 3))
+                    yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array([f[0] for f in found])), pa.array([f[1] for f in found], item_type), pa.array(n_shared), pa.array(n_item), pa.array(n_shared / n_item)], schema.names)
 
         part = docs.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of docs that hold no item. Rows with a null key stay."""
-    found = contained(docs, items, key, text, item_key, item_text, size, threshold).select(key).distinct()
-    return docs.join(found, key, "left_anti")
+def _found(col: pa.Array, sketches: tuple, size: int) -> list[tuple[int, object, int, int]]:
+    """(text, item, shared shingles, shingles of the item) of every item that a text holds."""
+    keys, owner, known = sketches
+    if not len(keys):
+        return []
+    grams, of, alone, short = _hashes(col, size)
+    grams, of = np.concatenate([grams, alone]), np.concatenate([of, short])
+    # a table of bits rules most shingles out before the binary search
+    maybe = np.zeros(1 << 20, bool)
+    maybe[(keys >> np.uint64(44)).astype(np.int64)] = True
+    can = np.flatnonzero(maybe[(grams >> np.uint64(44)).astype(np.int64)])
+    grams, of = grams[can], of[can]
+    hit = keys[np.minimum(np.searchsorted(keys, grams), len(keys) - 1)] == grams
+    found: dict[int, set[int]] = {}
+    for g, d in {*zip(grams[hit].tolist(), of[hit].tolist(), strict=True)}:
+        lo, hi = np.searchsorted(keys, np.uint64(g), "left"), np.searchsorted(keys, np.uint64(g), "right")
+        found.setdefault(d, set()).update(owner[lo:hi].tolist())
+    out = []
+    for d in sorted(found):
+        own = shingles(col[d].as_py(), size)
+        out += [(d, known[i][0], n, len(known[i][1])) for i in sorted(found[d]) if (n := len(known[i][1] & own)) >= known[i][2]]
+    return out
+
+
+def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", size: int = 5, threshold: float = 0.8, block_shingles: int = 1_000_000) -> DataFrame:
+    """The rows of docs, all columns, that hold no item: one pass over docs for each block of items, nothing is shuffled."""
+    for block in _blocks(items, item_key, item_text, block_shingles):
+        held = docs.sparkSession.sparkContext.broadcast(_sketches(block, size, threshold))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for rows, col in text_steps(batches, text):
+                stay = np.ones(rows.num_rows, bool)
+                stay[[f[0] for f in _found(col, held.value, size)]] = False
+                yield rows.filter(pa.array(stay))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +35,7 @@ UND = "und"
 CACHE_WORDS = 400_000
 
 
-def fold(df: DataFrame, key: str, parts: int) -> F.Column:
+def fold(df: DataFrame, key: str, parts: int) -> Column:
     """crc32 of the key as text, modulo `parts`."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % parts
 

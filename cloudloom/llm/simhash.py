@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,6 +129,10 @@ def _flips(part: list[int], most: int) -> list[int]:
     return out
 
 
+def _probes(own: Column, i: int, masks: list[int]) -> Column:
+    return F.transform(F.array(*map(F.lit, masks)), lambda x: F.struct(F.lit(i).alias("part"), own.bitwiseXOR(x).alias("bits")))
+
+
 def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
     """All pairs (a < b) of distinct fingerprints (column fp) within `distance` bits."""
     sample = np.array([r["fp"] for r in distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
@@ -143,7 +147,7 @@ def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
         mask = mask - (1 << 64) if mask >= 1 << 63 else mask
         own = F.col("fp").bitwiseAND(F.lit(mask))
         index.append(F.struct(F.lit(i).alias("part"), own.alias("bits")))
-        probes.append(F.transform(F.array(*map(F.lit, _flips(part, t))), lambda x, own=own, i=i: F.struct(F.lit(i).alias("part"), own.bitwiseXOR(x).alias("bits"))))
+        probes.append(_probes(own, i, _flips(part, t)))
     a = distinct.select(F.col("fp").alias("a"), F.explode(F.concat(*probes)).alias("k")).select("a", "k.part", "k.bits")
     b = distinct.select(F.col("fp").alias("b"), F.explode(F.array(*index)).alias("k")).select("b", "k.part", "k.bits")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
