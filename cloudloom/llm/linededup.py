@@ -47,21 +47,21 @@ def _intervals(runs: DataFrame, *by: str) -> DataFrame:
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = 2, min_chars: int = 200) -> DataFrame:
-    """(__doc, __hash, __seq, __lines): later copies of a run of __lines lines that begin at the document's line __seq (blank ones not counted)."""
+    """(__doc, __hash, __seq, at): later copies of runs; a run begins at the document's line __seq, blank ones not counted, and `at` has the places of its lines among all lines."""
     rows = docs.select(F.col(key).alias("__doc"), F.xxhash64(text).alias("__hash"), F.posexplode(_numbered(F.col(text))).alias("__seq", "e"))
     line = F.col("e.line")
-    names = materialize(rows.select(*_AT, F.xxhash64(line).alias("a"), F.xxhash64(F.lit("#"), line).alias("b"), (F.length(line) >= min_chars).alias("long")), "lines")
-    now = materialize(names.join(_intervals(names, "a", "b"), ["a", "b"]).select(*_AT, "long", "rank", (F.struct(*_AT) != F.col("first")).alias("copy")), "ranks")
-    out = now.filter("copy and long").select(*_AT, F.lit(1).alias("__lines")) if min_lines > 1 else now.filter("copy").select(*_AT, F.lit(1).alias("__lines"))
+    names = materialize(rows.select(*_AT, F.array("e.i").alias("at"), F.xxhash64(line).alias("a"), F.xxhash64(F.lit("#"), line).alias("b"), (F.length(line) >= min_chars).alias("long")), "lines")
+    now = materialize(names.join(_intervals(names, "a", "b"), ["a", "b"]).select(*_AT, "at", "long", "rank", (F.struct(*_AT) != F.col("first")).alias("copy")), "ranks")
+    out = now.filter("copy and long" if min_lines > 1 else "copy").select(*_AT, "at")
     depth = 1
     while depth < min_lines:
         step = min(depth, min_lines - depth)
-        follow = now.select(F.col("__doc").alias("doc"), F.col("__hash").alias("hash"), (F.col("__seq") - step).alias("seq"), F.col("rank").alias("b")).distinct()
+        follow = now.select(F.col("__doc").alias("doc"), F.col("__hash").alias("hash"), (F.col("__seq") - step).alias("seq"), F.col("at").alias("more"), F.col("rank").alias("b")).distinct()
         same = F.col("__doc").eqNullSafe(F.col("doc")) & (F.col("__hash") == F.col("hash")) & (F.col("__seq") == F.col("seq"))
-        pairs = materialize(now.join(follow, same).select(*_AT, F.col("rank").alias("a"), "b"), "pairs")
+        pairs = materialize(now.join(follow, same).select(*_AT, F.array_union("at", "more").alias("at"), F.col("rank").alias("a"), "b"), "pairs")
         depth += step
-        now = materialize(pairs.join(_intervals(pairs, "a", "b"), ["a", "b"]).select(*_AT, "rank", (F.struct(*_AT) != F.col("first")).alias("copy")), "ranks")
-    return out.unionByName(now.filter("copy").select(*_AT, F.lit(depth).alias("__lines"))) if depth > 1 else out
+        now = materialize(pairs.join(_intervals(pairs, "a", "b"), ["a", "b"]).select(*_AT, "at", "rank", (F.struct(*_AT) != F.col("first")).alias("copy")), "ranks")
+    return out.unionByName(now.filter("copy").select(*_AT, "at")) if depth > 1 else out
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = 2, min_chars: int = 200, drop_emptied: bool = False) -> DataFrame:
@@ -72,18 +72,16 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: i
     for name in ("n_lines", "n_removed"):
         if name in docs.columns:
             raise ValueError(f"a column {name} exists already")
-    cover = repeated(docs, key, text, min_lines, min_chars).select(*_DOC, F.explode(F.sequence(F.col("__seq"), F.col("__seq") + F.col("__lines") - 1)).alias("__seq"))
-    gone = cover.groupBy(*_DOC).agg(F.collect_set("__seq").alias("__gone"))
+    cover = repeated(docs, key, text, min_lines, min_chars).select(*_DOC, F.explode("at").alias("at"))
+    gone = cover.groupBy(*_DOC).agg(F.collect_set("at").alias("__gone"))
     own = docs.withColumn("__key", F.xxhash64(text))
     joined = own.join(gone, own[key].eqNullSafe(gone["__doc"]) & (own["__key"] == gone["__hash"]), "left")
     lines = F.split(F.col(text), "\n", -1)
-    numbered = _numbered(F.col(text))
-    gone_at = F.transform(F.col("__gone"), lambda s: numbered[s]["i"])
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(gone_at, i))
+    kept = F.filter(lines, lambda x, i: ~F.array_contains("__gone", i))
     out = joined.select(
         *(docs[c] if c != text else F.when(F.col("__gone").isNull(), docs[text]).otherwise(F.array_join(kept, "\n")).alias(text) for c in docs.columns),
         F.coalesce(F.size(lines), F.lit(1)).cast("long").alias("n_lines"),
         F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
-        (F.col("__gone").isNotNull() & (F.size(numbered) == F.size("__gone"))).alias("__emptied") if drop_emptied else F.lit(False).alias("__emptied"),
+        F.coalesce(F.size(_numbered(F.col(text))) == F.size("__gone"), F.lit(False)).alias("__emptied") if drop_emptied else F.lit(False).alias("__emptied"),
     )
     return (out.filter("not __emptied") if drop_emptied else out).drop("__emptied")
