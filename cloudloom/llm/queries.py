@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, embed, html, langid, linededup, simhash
-from .common import table
+from . import bpe, decontam, embed, html, katz, langid, linededup, simhash, suffix, tokenio
+from .common import shared_dir, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -26,6 +27,16 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return katz.score(docs, langid.fold(docs, "doc_id", 7) == 2)
+
+
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -40,13 +51,23 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", (langid.fold(docs, "doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/cloudloom/{uuid.uuid4().hex}/tokens"
+    tokenio.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path(BYTE_BPE))
+    return tokenio.digest(spark, path)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.clusters(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_html_extraction, op3_bpe, op6_embedding_near_dedup, op7_benchmark_decontamination, op8_language_id, op10_simhash_near_dedup)
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_html_extraction, op3_bpe, op4_lm_scoring, op5_suffix_array_dedup, op6_embedding_near_dedup,
+        op7_benchmark_decontamination, op8_language_id, op9_token_output, op10_simhash_near_dedup,
+    )
 }
 
 ORACLE_SQL = {
