@@ -1,10 +1,716 @@
-"""The registered queries of the point-cloud operators, and their SQL."""
+"""The registered queries of the point-cloud operators, and their SQL for a second engine."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import color, text, units
+from ..operators import aggregates as agg
+from ..operators import clouds, kdstats, numbering, octree, poisson, sampling, spatial, telemetry, updates
+from ..operators.aggregates import AXES
+from ..sources import ply
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+BOUNDS = [f"{n}_{a}" for n in ("min", "max") for a in AXES]
+SQL_BOUNDS = ", ".join(f"{n}({a}) AS {n}_{a}" for n in ("min", "max") for a in AXES)
+
+
+def _with(*names: str) -> str:
+    return "WITH " + ", ".join(clouds.SQL[n] for n in names)
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- aggregates ------------------------------------------------------------------------------------
+
+
+@query(f"{_with('c4')} SELECT {SQL_BOUNDS} FROM c4")
+def bounds(spark: SparkSession, sf: str) -> DataFrame:
+    return agg.bounds(clouds.lineitem(spark, sf)).select(*((F.col(n) + 0.0).alias(n) for n in BOUNDS))
+
+
+@query(f"{_with('c1')} SELECT {', '.join(f'{n[:3]}({n}) AS {n}' for n in BOUNDS)} FROM (SELECT idx // 1000 AS chunk, {SQL_BOUNDS} FROM c1 GROUP BY 1)")
+def bounds_partial_merge(spark: SparkSession, sf: str) -> DataFrame:
+    parts = agg.bounds(clouds.events(spark, sf).withColumn("chunk", F.floor(F.col("idx") / 1000)), "chunk")
+    return agg.merge_bounds(parts)
+
+
+@query(f"{_with('c1')} SELECT min(intensity) AS min_intensity, max(intensity) AS max_intensity FROM c1 WHERE isfinite(intensity)")
+def intensity_range(spark: SparkSession, sf: str) -> DataFrame:
+    return agg.intensity_range(clouds.events(spark, sf))
+
+
+@query(f"""{_with('c2')}, b AS (SELECT {SQL_BOUNDS} FROM c2), m AS (SELECT (min_x + max_x) * 0.5 AS cx, (min_y + max_y) * 0.5 AS cy, (min_z + max_z) * 0.5 AS cz,
+ sqrt((max_x - min_x) * (max_x - min_x) + (max_y - min_y) * (max_y - min_y) + (max_z - min_z) * (max_z - min_z)) * 0.5 AS half FROM b)
+SELECT round(cx, 9) AS cx, round(cy, 9) AS cy, round(cz, 9) AS cz, round(max(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz))), 9) AS radius, round(any_value(half), 9) AS half_diagonal FROM c2, m GROUP BY cx, cy, cz""")
+def center_radius(spark: SparkSession, sf: str) -> DataFrame:
+    return agg.center_radius(clouds.embeddings(spark, sf)).select(*(F.round(c, 9).alias(c) for c in ("cx", "cy", "cz", "radius", "half_diagonal")))
+
+
+@query(f"{_with('c1')} SELECT count(*)::BIGINT AS n, count(rgb) > 0 AS has_rgb, count(intensity) > 0 AS has_intensity FROM c1")
+def presence(spark: SparkSession, sf: str) -> DataFrame:
+    return agg.presence(clouds.events(spark, sf))
+
+
+@query("""SELECT event_type, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS duration, max(event_id)::BIGINT AS peak, count(*)::BIGINT AS processed,
+ round(CASE WHEN epoch_us(max(ts)) > epoch_us(min(ts)) THEN count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) ELSE 0 END, 9) AS rate FROM events GROUP BY 1""")
+def throughput(spark: SparkSession, sf: str) -> DataFrame:
+    out = agg.rates(clouds.table(spark, sf, "events"), "event_type", "ts", "event_id")
+    return out.select("event_type", F.round("duration", 6).alias("duration"), "peak", "processed", F.round("rate", 9).alias("rate"))
+
+
+# --- projections and colours -----------------------------------------------------------------------
+
+
+@query(f"{_with('c1')} SELECT idx, x * (1.0::DOUBLE / 25.4::DOUBLE) AS x, y * (1.0::DOUBLE / 25.4::DOUBLE) AS y, z * (1.0::DOUBLE / 25.4::DOUBLE) AS z FROM c1")
+def unit_scale(spark: SparkSession, sf: str) -> DataFrame:
+    return units.scale(clouds.events(spark, sf), 1.0 / 25.4).select("idx", *AXES)
+
+
+_LINES = ["units: meters", "generated by scanner", "unit mm", "scale = 0.0393700787", "Scale: 12.1", "scale=5", "unit in meters", "scale feet", "units yd", "unit: км", "meters", "scale: abc", ""]
+_UNIT_CASES = " ".join(f"WHEN regexp_matches(l, '(^|[^\\w\\x{{80}}-\\x{{10FFFF}}])({'|'.join(u[3].split())})s?($|[^\\w\\x{{80}}-\\x{{10FFFF}}])') THEN '{u[0]}'" for u in units.UNITS)
+_UNIT_TABLE = ", ".join(f"({i}, '{u[0]}', {u[2]!r}::DOUBLE)" for i, u in enumerate(units.UNITS))
+
+
+@query(f"""WITH t(i, line) AS (VALUES {', '.join(f"({i}, '{s}')" for i, s in enumerate(_LINES))}), n AS (SELECT i, lower(line) AS l, TRY_CAST(nullif(regexp_extract(lower(line), 'scale\\s*[:=]\\s*([\\d.e+-]+)', 1), '') AS DOUBLE) AS v FROM t),
+u(k, key, f) AS (VALUES {_UNIT_TABLE}), near AS (SELECT n.i, u.key, u.f, abs(u.f - n.v) AS d, row_number() OVER (PARTITION BY n.i ORDER BY abs(u.f - n.v), u.k) AS r FROM n, u WHERE n.v IS NOT NULL)
+SELECT n.i::BIGINT AS i, CASE WHEN l LIKE '%unit%' OR l LIKE '%scale%' THEN coalesce(CASE {_UNIT_CASES} END, CASE WHEN near.d <= near.f * 0.05 THEN near.key END) END AS unit FROM n LEFT JOIN near ON near.i = n.i AND near.r = 1""")
+def unit_detect(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(_LINES)), "i long, line string").select("i", units.detect(F.col("line")).alias("unit"))
+
+
+@query("SELECT k::BIGINT AS code, CASE k " + " ".join(f"WHEN {u[1]} THEN {u[2]!r}::DOUBLE" for u in units.UNITS) + " ELSE 1.0::DOUBLE END AS factor FROM (SELECT unnest(range(10)) AS k)")
+def unit_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.range(10).select(F.col("id").alias("code"), units.by_code(F.col("id")).alias("factor"))
+
+
+@query(f"{_with('c1')} SELECT idx, rgb FROM c1")
+def pack_rgb(spark: SparkSession, sf: str) -> DataFrame:
+    e = clouds.table(spark, sf, "events")
+    return e.select(F.col("event_id").alias("idx"), color.pack(F.col("user_id"), F.col("event_id"), F.col("user_id") + F.col("event_id")).alias("rgb"))
+
+
+@query(f"{_with('c1')} SELECT idx, (rgb >> 16) & 255 AS r, (rgb >> 8) & 255 AS g, rgb & 255 AS b FROM c1")
+def unpack_rgb(spark: SparkSession, sf: str) -> DataFrame:
+    r, g, b = color.unpack(F.col("rgb"))
+    return clouds.events(spark, sf).select("idx", r.alias("r"), g.alias("g"), b.alias("b"))
+
+
+@query(f"{_with('c1')} SELECT idx, '#' || lpad(lower(to_hex(rgb)), 6, '0') AS hex, rgb AS back FROM c1")
+def hex_color(spark: SparkSession, sf: str) -> DataFrame:
+    return clouds.events(spark, sf).select("idx", color.to_hex(F.col("rgb")).alias("hex")).withColumn("back", color.from_hex(F.col("hex")))
+
+
+@query("SELECT i::BIGINT AS i, [" + ", ".join(str(v) for v in color.lut("viridis")) + "][i + 1]::BIGINT AS rgb FROM (SELECT unnest(range(256)) AS i)")
+def gradient_lut(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.range(256).select(F.col("id").alias("i"), color.gradient(F.col("id") / 255.0, "viridis").alias("rgb"))
+
+
+def _sql_gradient(t: str, name: str) -> str:
+    """SQL that interpolates between the table's entries at t (an expression in 0..1)."""
+    table = "[" + ", ".join(map(str, color.lut(name))) + "]"
+    ch = lambda v, s: f"(({v} >> {s}) & 255)"
+    mixed = " | ".join(f"(round({ch('lo', s)} + ({ch('hi', s)} - {ch('lo', s)}) * w)::BIGINT << {s})" for s in (16, 8, 0))
+    return f"SELECT idx, CASE WHEN w < 2.220446049250313e-16 THEN lo ELSE {mixed} END AS rgb FROM (SELECT idx, s - k AS w, {table}[k + 1]::BIGINT AS lo, {table}[least(k + 2, 256)]::BIGINT AS hi FROM (SELECT idx, s, floor(s)::BIGINT AS k FROM (SELECT idx, ({t}) * 255 AS s FROM n)))"
+
+
+def _normal(axis: str) -> str:
+    return f"CASE WHEN max_{axis} - min_{axis} < 2.220446049250313e-16 THEN 0.5 ELSE least(greatest(({axis} - min_{axis}) / (max_{axis} - min_{axis}), 0.0), 1.0) END"
+
+
+def _normalized(points: DataFrame, a: str) -> F.Column:
+    box = agg.box_of(points)
+    return color.normalized(F.col(a), getattr(box, f"min_{a}", None), getattr(box, f"max_{a}", None))
+
+
+@query(f"{_with('c1')}, b AS (SELECT {SQL_BOUNDS} FROM c1), n AS (SELECT * FROM c1, b) {_sql_gradient(_normal('z'), 'viridis')}")
+def color_height(spark: SparkSession, sf: str) -> DataFrame:
+    p = clouds.events(spark, sf)
+    return p.select("idx", color.gradient(_normalized(p, "z"), "viridis").alias("rgb"))
+
+
+@query(f"{_with('c3')}, b AS (SELECT min(intensity) AS min_intensity, max(intensity) AS max_intensity FROM c3), n AS (SELECT * FROM c3, b) {_sql_gradient(_normal('intensity'), 'magma')}")
+def color_intensity(spark: SparkSession, sf: str) -> DataFrame:
+    p = clouds.orders(spark, sf)
+    r = agg.intensity_range(p).first()
+    return p.select("idx", color.gradient(color.normalized(F.col("intensity"), *r, missing=0.0), "magma").alias("rgb"))
+
+
+@query(f"{_with('c1')}, b AS (SELECT {SQL_BOUNDS} FROM c1), n AS (SELECT idx, coalesce(CASE WHEN idx % 3 <> 0 THEN intensity END, NULL) AS i, z, min_z, max_z, (SELECT min(intensity) FROM c1 WHERE idx % 3 <> 0) AS lo, (SELECT max(intensity) FROM c1 WHERE idx % 3 <> 0) AS hi FROM c1, b) SELECT idx, round({_normal('z')}, 12) AS height, round(CASE WHEN i IS NULL THEN {_normal('z')} ELSE least(greatest((i - lo) / (hi - lo), 0.0), 1.0) END, 12) AS scalar FROM n")
+def scalar_cache(spark: SparkSession, sf: str) -> DataFrame:
+    p = clouds.events(spark, sf).withColumn("intensity", F.when(F.col("idx") % 3 != 0, F.col("intensity")))
+    r = agg.intensity_range(p).first()
+    height = _normalized(p, "z")
+    own = F.when(F.col("intensity").isNotNull(), color.normalized(F.col("intensity"), *r))
+    return p.select("idx", F.round(height, 12).alias("height"), F.round(F.coalesce(own, height), 12).alias("scalar"))
+
+
+@query(f"{_with('c1')} SELECT idx, CASE WHEN idx % 7 = 0 THEN 16777215 ELSE rgb END AS rgb FROM c1")
+def color_original(spark: SparkSession, sf: str) -> DataFrame:
+    return clouds.events(spark, sf).select("idx", F.coalesce(F.when(F.col("idx") % 7 != 0, F.col("rgb")), F.lit(color.WHITE).cast("long")).alias("rgb"))
+
+
+@query(f"{_with('c1')} SELECT idx, 3368703::BIGINT AS rgb FROM c1")
+def color_single(spark: SparkSession, sf: str) -> DataFrame:
+    return clouds.events(spark, sf).select("idx", color.from_hex(F.lit("#3366ff")).alias("rgb"))
+
+
+_SEED = color.fnv1a("events")
+_JUMPS = ["SELECT idx, {0}::BIGINT AS s0 FROM c1".format(_SEED % (1 << 24))]
+for _k, (_a, _c) in enumerate(color.jumps(24)):
+    _JUMPS.append(f"SELECT idx, CASE WHEN ((idx + 1) >> {_k}) & 1 = 1 THEN (s{_k} * {_a} + {_c}) % 16777216 ELSE s{_k} END AS s{_k + 1} FROM j{_k}")
+
+
+@query(f"{_with('c1')}, " + ", ".join(f"j{k} AS ({s})" for k, s in enumerate(_JUMPS)) + " SELECT idx, (round(((s24 >> 16) & 255) / 2.0 + 64)::BIGINT << 16) | (round(((s24 >> 8) & 255) / 2.0 + 64)::BIGINT << 8) | round((s24 & 255) / 2.0 + 64)::BIGINT AS rgb FROM j24")
+def color_random(spark: SparkSession, sf: str) -> DataFrame:
+    return clouds.events(spark, sf).select("idx", color.random_color(F.col("idx"), _SEED).alias("rgb"))
+
+
+@query(f"{_with('c3')}, b AS (SELECT {SQL_BOUNDS} FROM c3) SELECT idx, " + " | ".join(f"(round({_normal(a)} * 255)::BIGINT << {s})" for a, s in zip(AXES, (16, 8, 0), strict=True)) + " AS rgb FROM c3, b")
+def color_rgb_xyz(spark: SparkSession, sf: str) -> DataFrame:
+    p = clouds.orders(spark, sf)
+    return p.select("idx", color.rgb_xyz(*(_normalized(p, a) for a in AXES)).alias("rgb"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{label}', {str(g).lower()}, {str(s).lower()})" for k, label, g, s in color.MODES) + ") AS t(mode, label, gradient, single_color)")
+def color_modes(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame(color.MODES, "mode string, label string, gradient boolean, single_color boolean")
+
+
+@query("SELECT w::DOUBLE / 10 AS weight, CASE WHEN w::DOUBLE / 10 >= 0.999 THEN 255 ELSE round(255 * (w::DOUBLE / 10))::BIGINT END AS alpha FROM (SELECT unnest(range(11)) AS w)")
+def alpha_blend(spark: SparkSession, sf: str) -> DataFrame:
+    w = F.col("id") / 10
+    return spark.range(11).select(w.alias("weight"), F.when(w >= 0.999, 255).otherwise(F.round(255 * w)).cast("long").alias("alpha"))
+
+
+# --- sampling and levels of detail -----------------------------------------------------------------
+
+
+@query(f"{_with('c1')}, p AS (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS pos FROM c1) SELECT idx, (pos // 3)::BIGINT AS pos FROM p WHERE pos % 3 = 0")
+def stride_density(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.by_density(clouds.events(spark, sf), 0.3).select("idx", "pos")
+
+
+@query(f"{_with('c3')}, p AS (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS pos, ceil(count(*) OVER () / 1000.0)::BIGINT AS step FROM c3) SELECT idx, (pos // step)::BIGINT AS pos FROM p WHERE pos % step = 0 AND pos // step < 1000")
+def display_limit(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.by_limit(clouds.orders(spark, sf), 1000).select("idx", "pos")
+
+
+@query(f"{_with('c1')}, p AS (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS pos FROM c1) SELECT idx, pos::BIGINT AS pos FROM p WHERE pos < 2500")
+def base_cache_head(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.base_cache(clouds.events(spark, sf), 1.0, 2500).select("idx", "pos")
+
+
+@query(f"{_with('c1')}, p AS (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS pos, ceil(count(*) OVER () / 2500.0)::BIGINT AS step FROM c1), k AS (SELECT idx, pos, greatest(step, 1) AS step FROM p) SELECT idx, (pos // step)::BIGINT AS pos FROM k WHERE pos % step = 0 AND pos // step < 2500")
+def base_cache_stride(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.base_cache(clouds.events(spark, sf), 1.0, 2500, "stride").select("idx", "pos")
+
+
+@query(f"{_with('c1')}, p AS (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS pos FROM c1), l(level, step) AS (VALUES (1.0::DOUBLE, 1), (0.5::DOUBLE, 2), (0.25::DOUBLE, 4), (0.1::DOUBLE, 10), (0.05::DOUBLE, 20)) SELECT level, (pos // step)::BIGINT AS pos, idx FROM p, l WHERE pos % step = 0")
+def lod_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.levels(sampling.base_cache(clouds.events(spark, sf)))
+
+
+@query(f"{_with('c1')} SELECT idx, CASE WHEN r <= 1.5 THEN 1.0 WHEN r <= 2.5 THEN 0.5 WHEN r <= 3.5 THEN 0.25 WHEN r <= 5.0 THEN 0.1 ELSE 0.05 END::DOUBLE AS level FROM (SELECT idx, z / 80.0 AS r FROM c1)")
+def lod_select(spark: SparkSession, sf: str) -> DataFrame:
+    return clouds.events(spark, sf).select("idx", sampling.first_level(F.col("z") / 80.0).alias("level"))
+
+
+@query(f"{_with('c3')}, p AS (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS pos, greatest(ceil(least(count(*) OVER (), 50000) / 2000.0)::BIGINT, 1) AS step FROM c3) SELECT idx FROM p WHERE pos < 50000 AND pos % step = 0 ORDER BY pos LIMIT 2000")
+def preview_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.preview(clouds.orders(spark, sf)).select("idx")
+
+
+@query(f"{_with('c3')}, p AS (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS pos, greatest(ceil(count(*) OVER () / 4000.0)::BIGINT, 1) AS step FROM c3) SELECT idx, (pos // step)::BIGINT AS pos FROM p WHERE pos % step = 0 AND pos // step < 4000")
+def guide_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.by_limit(clouds.orders(spark, sf), 4000).select("idx", "pos")
+
+
+@query(f"{_with('c1')}, k AS (SELECT idx FROM c1 WHERE idx % 5 <> 0 AND idx % 7 <> 0), g AS (SELECT idx, idx - row_number() OVER (ORDER BY idx) AS g FROM k) SELECT min(idx)::BIGINT AS start_idx, max(idx)::BIGINT AS end_idx, count(*)::BIGINT AS n FROM g GROUP BY g")
+def run_coalesce(spark: SparkSession, sf: str) -> DataFrame:
+    return numbering.runs(clouds.events(spark, sf).filter("idx % 5 != 0 and idx % 7 != 0"))
+
+
+@query(f"{_with('c1')} SELECT (idx // 300)::BIGINT AS chunk_id, count(*)::BIGINT AS n, min(idx)::BIGINT AS first_idx, max(idx)::BIGINT AS last_idx FROM c1 GROUP BY 1")
+def chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.chunk_ids(clouds.events(spark, sf), 300)
+
+
+@query(f"{_with('c1')}, p AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS pos FROM c1) SELECT (pos // 750)::BIGINT AS batch, min(pos)::BIGINT AS start_pos, max(pos)::BIGINT AS end_pos, count(*)::BIGINT AS n FROM p GROUP BY 1")
+def batches(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.batches(clouds.events(spark, sf), 750)
+
+
+# --- octree and view ------------------------------------------------------------------------------
+
+MOST, DEPTH = 200, 8
+
+
+def _sql_octree(cloud: str, depth: int = DEPTH, most: int = MOST) -> str:
+    """CTEs up to nodes(node, depth, n, leaf) and pts(idx, path)."""
+    out = [f"b AS (SELECT {SQL_BOUNDS} FROM {cloud})", f"o0 AS (SELECT idx, x, y, z, '' AS path, " + ", ".join(f"min_{a} AS l{a}, max_{a} AS h{a}" for a in AXES) + f" FROM {cloud}, b)"]
+    for k in range(depth):
+        m = {a: f"((l{a} + h{a}) / 2)" for a in AXES}
+        out.append(f"o{k + 1} AS (SELECT idx, x, y, z, path || (" + " + ".join(f"(CASE WHEN {a} >= {m[a]} THEN {1 << i} ELSE 0 END)" for i, a in enumerate(AXES)) + ")::VARCHAR AS path, " + ", ".join(f"CASE WHEN {a} >= {m[a]} THEN {m[a]} ELSE l{a} END AS l{a}, CASE WHEN {a} >= {m[a]} THEN h{a} ELSE {m[a]} END AS h{a}" for a in AXES) + f" FROM o{k})")
+    out.append(f"pts AS (SELECT idx, path FROM o{depth})")
+    out.append(f"cnt AS (SELECT path[1:d] AS node, d AS depth, count(*) AS n FROM pts, (SELECT unnest(range({depth + 1})) AS d) GROUP BY 1, 2)")
+    out.append(f"nodes AS (SELECT c.node, c.depth, c.n, NOT (c.n > {most} AND c.depth < {depth}) AS leaf FROM cnt c LEFT JOIN cnt p ON p.depth = c.depth - 1 AND p.node = c.node[1:c.depth - 1] WHERE c.depth = 0 OR p.n > {most})")
+    return ", ".join(out)
+
+
+@query(f"{_with('c3')}, b AS (SELECT {SQL_BOUNDS} FROM c3) SELECT idx, (CASE WHEN x >= (min_x + max_x) / 2 THEN 1 ELSE 0 END + CASE WHEN y >= (min_y + max_y) / 2 THEN 2 ELSE 0 END + CASE WHEN z >= (min_z + max_z) / 2 THEN 4 ELSE 0 END)::BIGINT AS octant FROM c3, b")
+def octant(spark: SparkSession, sf: str) -> DataFrame:
+    p = clouds.orders(spark, sf)
+    box = agg.box_of(p)
+    mid = tuple(F.lit((getattr(box, f"min_{a}") + getattr(box, f"max_{a}")) / 2) for a in AXES)
+    return p.select("idx", octree.octant(F.col("x"), F.col("y"), F.col("z"), mid).cast("long").alias("octant"))
+
+
+@query(f"{_with('c3')}, {_sql_octree('c3')} SELECT p.idx, n.node AS leaf FROM pts p JOIN nodes n ON n.leaf AND n.node = p.path[1:n.depth]")
+def octree_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    return octree.leaves(clouds.orders(spark, sf), MOST, DEPTH).select("idx", "leaf")
+
+
+def _tree(spark: SparkSession, sf: str) -> tuple[DataFrame, agg.Box]:
+    p = clouds.orders(spark, sf)
+    box = agg.box_of(p)
+    return octree.nodes(octree.paths(p, box, DEPTH), MOST, DEPTH), box
+
+
+@query(f"{_with('c3')}, {_sql_octree('c3')} SELECT node, depth::BIGINT AS depth, n::BIGINT AS n, leaf FROM nodes")
+def octree_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return _tree(spark, sf)[0].select("node", F.col("depth").cast("long").alias("depth"), "n", "leaf")
+
+
+@query(f"{_with('c3')}, {_sql_octree('c3')} SELECT count(*)::BIGINT AS total_nodes, count(*) FILTER (WHERE leaf)::BIGINT AS leaf_count, round(avg(n) FILTER (WHERE leaf), 9) AS avg_points_per_leaf, max(depth)::BIGINT AS max_depth FROM nodes")
+def octree_stats(spark: SparkSession, sf: str) -> DataFrame:
+    s = octree.stats(_tree(spark, sf)[0])
+    return s.select("total_nodes", "leaf_count", F.round("avg_points_per_leaf", 9).alias("avg_points_per_leaf"), F.col("max_depth").cast("long").alias("max_depth"))
+
+
+@query(f"{_with('c3')}, b AS (SELECT {SQL_BOUNDS} FROM c3) SELECT k::BIGINT AS corner, " + ", ".join(f"CASE WHEN (k >> {i}) & 1 = 1 THEN max_{a} ELSE min_{a} END AS {a}" for i, a in enumerate(AXES)) + " FROM b, (SELECT unnest(range(8)) AS k)")
+def box_corners(spark: SparkSession, sf: str) -> DataFrame:
+    b = agg.bounds(clouds.orders(spark, sf))
+    corners = octree.box_corners(tuple(F.col(f"min_{a}") for a in AXES), tuple(F.col(f"max_{a}") for a in AXES))
+    return b.select(F.posexplode(F.array(*(F.struct(*(c.alias(a) for c, a in zip(k, AXES, strict=True))) for k in corners))).alias("corner", "p")).select(F.col("corner").cast("long").alias("corner"), "p.x", "p.y", "p.z")
+
+
+PLANES = octree.frustum((-200.0, 100000.0, 8000.0), (700.0, 250000.0, 9500.0), fov=50.0, aspect=1.4, near=1.0, far=400000.0)
+
+
+def _sql_planes(which: str) -> str:
+    dist = lambda p, k: " + ".join(f"({'max' if k >> i & 1 else 'min'}_{a} - ({p[0][i]!r})) * ({p[1][i]!r})" for i, a in enumerate(AXES))
+    return " AND ".join(f"{'greatest' if which == 'meets' else 'least'}({', '.join(dist(p, k) for k in range(8))}) >= 0.0" for p in PLANES)
+
+
+def _sql_boxes() -> str:
+    out = ["x0 AS (SELECT node, depth, n, leaf, " + ", ".join(BOUNDS) + " FROM nodes, b)"]
+    for k in range(DEPTH):
+        d = f"TRY_CAST(nullif(node[{k + 1}:{k + 1}], '') AS INTEGER)"
+        up = {a: f"(({d} >> {i}) & 1) = 1" for i, a in enumerate(AXES)}
+        out.append(f"x{k + 1} AS (SELECT node, depth, n, leaf, " + ", ".join(f"CASE WHEN depth > {k} AND {up[a]} THEN (min_{a} + max_{a}) / 2 ELSE min_{a} END AS min_{a}, CASE WHEN depth > {k} AND NOT {up[a]} THEN (min_{a} + max_{a}) / 2 ELSE max_{a} END AS max_{a}" for a in AXES) + f" FROM x{k})")
+    return ", ".join(out) + f", mk AS (SELECT node, depth, n, leaf, {_sql_planes('meets')} AS meets, {_sql_planes('inside')} AS inside FROM x{DEPTH})"
+
+
+@query(f"{_with('c3')}, {_sql_octree('c3')}, {_sql_boxes()} SELECT node, depth::BIGINT AS depth, n::BIGINT AS n, inside FROM mk WHERE leaf AND meets")
+def frustum_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    tree, box = _tree(spark, sf)
+    return octree.frustum_leaves(tree, box, PLANES, DEPTH).withColumn("depth", F.col("depth").cast("long"))
+
+
+@query(f"{_with('c3')}, {_sql_octree('c3')}, {_sql_boxes()} SELECT p.idx, m.node AS leaf FROM pts p JOIN mk m ON m.leaf AND m.meets AND m.node = p.path[1:m.depth]")
+def frustum_query(spark: SparkSession, sf: str) -> DataFrame:
+    return octree.frustum_query(clouds.orders(spark, sf), PLANES, MOST, DEPTH).select("idx", "leaf")
+
+
+@query(f"{_with('c3')}, {_sql_octree('c3')}, {_sql_boxes()}, seen AS (SELECT m.* FROM mk m WHERE NOT EXISTS (SELECT 1 FROM mk u WHERE u.depth < m.depth AND u.node = m.node[1:u.depth] AND (NOT u.meets OR u.inside))) SELECT count(*)::BIGINT AS visited, count(*) FILTER (WHERE NOT meets)::BIGINT AS culled, coalesce(sum(n) FILTER (WHERE inside OR (leaf AND meets)), 0)::BIGINT AS points FROM seen")
+def frustum_stats(spark: SparkSession, sf: str) -> DataFrame:
+    tree, box = _tree(spark, sf)
+    return octree.frustum_stats(tree, box, PLANES, DEPTH)
+
+
+@query(f"{_with('c3')}, {_sql_octree('c3')}, {_sql_boxes()}, v AS (SELECT p.idx, row_number() OVER (ORDER BY p.idx) - 1 AS pos FROM pts p JOIN mk m ON m.leaf AND m.meets AND m.node = p.path[1:m.depth]), d AS (SELECT idx, pos // 2 AS pos FROM v WHERE pos % 2 = 0), l AS (SELECT idx, pos, greatest(ceil(count(*) OVER () / 500.0)::BIGINT, 1) AS step FROM d), k AS (SELECT idx FROM l WHERE pos % step = 0 AND pos // step < 500), g AS (SELECT idx, idx - row_number() OVER (ORDER BY idx) AS g FROM k) SELECT min(idx)::BIGINT AS start_idx, max(idx)::BIGINT AS end_idx, count(*)::BIGINT AS n FROM g GROUP BY g")
+def view_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Frustum, then density, then the display limit, then runs of consecutive ordinals."""
+    seen = octree.frustum_query(clouds.orders(spark, sf), PLANES, MOST, DEPTH).select("idx")
+    return numbering.runs(sampling.by_limit(sampling.by_density(seen, 0.5).select("idx"), 500).select("idx"))
+
+
+@query()
+def depth_colors(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.range(10).select(F.col("id").alias("depth"), octree.depth_color(F.col("id")).alias("rgb"))
+
+
+# --- spatial joins ---------------------------------------------------------------------------------
+
+_D2 = "(p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)"
+
+
+@query(f"{_with('c2')}, r AS (SELECT q.idx AS q_idx, p.idx AS idx, {_D2} AS d2, row_number() OVER (PARTITION BY q.idx ORDER BY {_D2}, p.idx) AS k FROM c2 q JOIN c2 p ON p.idx <> q.idx WHERE q.idx % 50 = 0) SELECT q_idx, idx, round(d2, 12) AS d2 FROM r WHERE k = 1")
+def nearest(spark: SparkSession, sf: str) -> DataFrame:
+    p = clouds.embeddings(spark, sf)
+    return spatial.nearest_join(p.filter("idx % 50 = 0"), p).select("q_idx", "idx", F.round("d2", 12).alias("d2"))
+
+
+@query(f"{_with('c2')}, r AS (SELECT q.idx AS q_idx, p.idx AS idx, {_D2} AS d2, row_number() OVER (PARTITION BY q.idx ORDER BY {_D2}, p.idx) AS k FROM c2 q JOIN c2 p ON p.idx <> q.idx WHERE q.idx % 50 = 0 AND {_D2} <= 0.03 * 0.03) SELECT q_idx, idx, round(d2, 12) AS d2 FROM r WHERE k = 1")
+def nearest_max(spark: SparkSession, sf: str) -> DataFrame:
+    p = clouds.embeddings(spark, sf)
+    return spatial.nearest_join(p.filter("idx % 50 = 0"), p, most=0.03).select("q_idx", "idx", F.round("d2", 12).alias("d2"))
+
+
+@query(f"{_with('c2')}, r AS (SELECT q.idx AS q_idx, p.idx AS idx, {_D2} AS d2, row_number() OVER (PARTITION BY q.idx ORDER BY {_D2}, p.idx) AS k FROM c2 q JOIN c2 p ON p.idx <> q.idx WHERE q.idx % 50 = 0) SELECT q_idx, k::BIGINT AS rank, idx, round(d2, 12) AS d2 FROM r WHERE k <= 5")
+def knn(spark: SparkSession, sf: str) -> DataFrame:
+    p = clouds.embeddings(spark, sf)
+    return spatial.nearest_join(p.filter("idx % 50 = 0"), p, k=5).select("q_idx", F.col("rank").cast("long").alias("rank"), "idx", F.round("d2", 12).alias("d2"))
+
+
+@query(f"{_with('c2')} SELECT q.idx AS q_idx, p.idx AS idx, round(sqrt({_D2}), 12) AS distance FROM c2 q JOIN c2 p ON {_D2} <= 0.08 * 0.08 WHERE q.idx % 50 = 0")
+def radius(spark: SparkSession, sf: str) -> DataFrame:
+    p = clouds.embeddings(spark, sf)
+    return spatial.radius_join(p.filter("idx % 50 = 0"), p, 0.08).select("q_idx", "idx", F.round(F.sqrt("d2"), 12).alias("distance"))
+
+
+@query(f"{_with('c2')} SELECT q.idx AS q_idx, count(*)::BIGINT AS n FROM c2 q JOIN c2 p ON {_D2} <= 0.05 * 0.05 AND p.idx <> q.idx GROUP BY 1")
+def grid_neighbors(spark: SparkSession, sf: str) -> DataFrame:
+    p = clouds.embeddings(spark, sf)
+    return spatial.radius_join(p, p, 0.05, same=False).groupBy("q_idx").agg(F.count("*").alias("n"))
+
+
+@query(f"{_with('c2')} SELECT (floor(x / 0.05))::BIGINT AS cx, (floor(y / 0.05))::BIGINT AS cy, (floor(z / 0.05))::BIGINT AS cz, count(*)::BIGINT AS n FROM c2 GROUP BY 1, 2, 3")
+def cell_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return clouds.embeddings(spark, sf).groupBy(*(spatial.cell(a, 0.05).alias(c) for a, c in zip(AXES, ("cx", "cy", "cz"), strict=True))).agg(F.count("*").alias("n"))
+
+
+_SLABS = [(0, 5.0, 5.0, 5.0, 0.0, 1.0, 1e-10), (1, 15.0, 5.0, 5.0, 0.0, 1.0, 0.0), (2, -5.0, -5.0, -5.0, 1.0, 1.0, 1.0), (3, 5.0, 5.0, 20.0, 0.0, 0.0, -1.0), (4, -1.0, 11.0, 5.0, 1.0, 1.0, 0.0)]
+
+
+@query("""WITH r(i, ox, oy, oz, dx, dy, dz) AS (VALUES """ + ", ".join(f"({', '.join(f'{v!r}::DOUBLE' if isinstance(v, float) else str(v) for v in s)})" for s in _SLABS) + """),
+t AS (SELECT i, """ + ", ".join(f"CASE WHEN abs(d{a}) < 1e-9 THEN '-infinity'::DOUBLE ELSE least((0 - o{a}) / d{a}, (10 - o{a}) / d{a}) END AS e{a}, CASE WHEN abs(d{a}) < 1e-9 THEN 'infinity'::DOUBLE ELSE greatest((0 - o{a}) / d{a}, (10 - o{a}) / d{a}) END AS l{a}, (abs(d{a}) >= 1e-9 OR o{a} BETWEEN 0 AND 10) AS k{a}" for a in AXES) + """ FROM r)
+SELECT i::BIGINT AS i, CASE WHEN kx AND ky AND kz AND greatest(ex, ey, ez) <= least(lx, ly, lz) THEN greatest(ex, ey, ez) END AS entry, CASE WHEN kx AND ky AND kz AND greatest(ex, ey, ez) <= least(lx, ly, lz) THEN least(lx, ly, lz) END AS exit FROM t""")
+def ray_slab(spark: SparkSession, sf: str) -> DataFrame:
+    r = spark.createDataFrame(_SLABS, "i long, ox double, oy double, oz double, dx double, dy double, dz double")
+    cols = lambda p: tuple(F.col(f"{p}{a}") for a in AXES)
+    hit, entry, leave = spatial.slab(cols("o"), cols("d"), (F.lit(0.0),) * 3, (F.lit(10.0),) * 3)
+    return r.select("i", F.when(hit, entry).alias("entry"), F.when(hit, leave).alias("exit"))
+
+
+RAYS = [(0, (-1.0, 0.0, 0.0), (1.0, 0.0, 0.0)), (1, (0.0, -1.0, 0.05), (0.1, 1.0, 0.0)), (2, (0.1, 0.1, -1.0), (0.0, 0.0, 1.0)), (3, (5.0, 5.0, 5.0), (1.0, 0.0, 0.0))]
+
+
+def _sql_rays(tol: float) -> str:
+    rows = []
+    for q, o, d in RAYS:
+        n = sum(c * c for c in d) ** 0.5
+        rows.append(f"({q}, " + ", ".join(f"{v!r}::DOUBLE" for v in (*o, *(c / n for c in d))) + ")")
+    t = "(p.x - ox) * dx + (p.y - oy) * dy + (p.z - oz) * dz"
+    perp = " + ".join(f"({a} - (o{a} + d{a} * t)) * ({a} - (o{a} + d{a} * t))" for a in AXES)
+    return f"{_with('c2')}, r(q_id, ox, oy, oz, dx, dy, dz) AS (VALUES {', '.join(rows)}), s AS (SELECT q_id, p.idx, p.x, p.y, p.z, ox, oy, oz, dx, dy, dz, {t} AS t FROM c2 p, r), w AS (SELECT q_id, idx, t, {perp} AS perp2 FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY perp2, idx) AS r FROM w WHERE perp2 <= {tol} * {tol} AND t >= 0) SELECT q_id::BIGINT AS q_id, idx, round(t, 9) AS t, round(perp2, 12) AS perp2 FROM k WHERE r = 1"
+
+
+@query(_sql_rays(0.05))
+def ray_pick(spark: SparkSession, sf: str) -> DataFrame:
+    return spatial.ray_pick(clouds.embeddings(spark, sf), RAYS, 0.05).select(F.col("q_id").cast("long").alias("q_id"), "idx", F.round("t", 9).alias("t"), F.round("perp2", 12).alias("perp2"))
+
+
+@query(f"{_with('c2')} SELECT q.idx AS idx, count(*)::BIGINT AS n, round(avg(p.x), 9) AS mx, round(avg(p.y), 9) AS my, round(avg(p.z), 9) AS mz, round(covar_pop(p.x, p.x), 9) AS cxx, round(covar_pop(p.x, p.y), 9) AS cxy, round(covar_pop(p.x, p.z), 9) AS cxz, round(covar_pop(p.y, p.y), 9) AS cyy, round(covar_pop(p.y, p.z), 9) AS cyz, round(covar_pop(p.z, p.z), 9) AS czz FROM c2 q JOIN c2 p ON {_D2} <= 0.1 * 0.1 GROUP BY 1")
+def covariance(spark: SparkSession, sf: str) -> DataFrame:
+    c = spatial.covariance(clouds.embeddings(spark, sf), 0.1)
+    return c.select("idx", "n", *((F.round(n, 9) + 0.0).alias(n) for n in c.columns[2:]))
+
+
+@query()
+def curvature(spark: SparkSession, sf: str) -> DataFrame:
+    return spatial.curvature(clouds.embeddings(spark, sf), 0.1)
+
+
+@query(f"{_with('c2')}, b AS (SELECT {SQL_BOUNDS} FROM c2), d AS (SELECT idx, sqrt((x - (min_x + max_x) * 0.5) * (x - (min_x + max_x) * 0.5) + (y - (min_y + max_y) * 0.5) * (y - (min_y + max_y) * 0.5) + (z - (min_z + max_z) * 0.5) * (z - (min_z + max_z) * 0.5)) AS distance FROM c2, b) SELECT idx, round(distance, 9) AS distance, (row_number() OVER (ORDER BY distance DESC, idx) - 1)::BIGINT AS rank FROM d")
+def candidate_order(spark: SparkSession, sf: str) -> DataFrame:
+    return poisson.candidate_order(clouds.embeddings(spark, sf)).select("idx", F.round("distance", 9).alias("distance"), "rank")
+
+
+@query()
+def poisson_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return poisson.poisson(clouds.embeddings(spark, sf), target=100, least=0.05)
+
+
+@query()
+def curvature_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return poisson.curvature_sample(clouds.embeddings(spark, sf), 0.1, 0.05, target=100)
+
+
+# --- split statistics ------------------------------------------------------------------------------
+
+_SAH = f"""{_with('c3')}, b AS (SELECT {SQL_BOUNDS} FROM c3), k AS (SELECT least(greatest(ceil(log2(count(*)))::INTEGER, 8), 16) AS bins FROM c3),
+binned AS (""" + " UNION ALL ".join(f"SELECT {i} AS axis, least(greatest(floor(({a} - min_{a}) * ((bins - 1) / (max_{a} - min_{a})))::INTEGER, 0), bins - 1) AS bin, x, y, z FROM c3, b, k" for i, a in enumerate(AXES)) + f"""),
+hist AS (SELECT axis, bin, count(*) AS n, {SQL_BOUNDS} FROM binned GROUP BY 1, 2)"""
+_LR = ", ".join(f"{n}({n}_{a}) OVER {w} AS {w}_{n}_{a}" for w in ("lw", "rw") for n in ("min", "max") for a in AXES)
+
+
+@query(f"{_SAH} SELECT axis::BIGINT AS axis, bin::BIGINT AS bin, n::BIGINT AS n, {', '.join(BOUNDS)} FROM hist")
+def sah_hist(spark: SparkSession, sf: str) -> DataFrame:
+    p = clouds.orders(spark, sf)
+    h = kdstats.histogram(p, agg.box_of(p), kdstats.bin_count(p.count()))
+    return h.select(F.col("axis").cast("long").alias("axis"), F.col("bin").cast("long").alias("bin"), "n", *BOUNDS)
+
+
+@query(f"{_SAH} SELECT axis::BIGINT AS axis, bin::BIGINT AS bin, (sum(n) OVER lw)::BIGINT AS left_n, coalesce(sum(n) OVER rw, 0)::BIGINT AS right_n FROM hist WINDOW lw AS (PARTITION BY axis ORDER BY bin ROWS UNBOUNDED PRECEDING), rw AS (PARTITION BY axis ORDER BY bin ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)")
+def sah_prefix_suffix(spark: SparkSession, sf: str) -> DataFrame:
+    p = clouds.orders(spark, sf)
+    h = kdstats.prefix_suffix(kdstats.histogram(p, agg.box_of(p), kdstats.bin_count(p.count())))
+    return h.select(F.col("axis").cast("long").alias("axis"), F.col("bin").cast("long").alias("bin"), "left_n", "right_n")
+
+
+def _sql_area(p: str) -> str:
+    e = [f"greatest({p}max_{a} - {p}min_{a}, 1e-9)" for a in AXES]
+    return f"(2.0 * ({e[0]} * {e[1]} + {e[1]} * {e[2]} + {e[2]} * {e[0]}))"
+
+
+@query(f"""{_SAH}, w AS (SELECT axis, bin, sum(n) OVER lw AS ln, coalesce(sum(n) OVER rw, 0) AS rn, {_LR} FROM hist WINDOW lw AS (PARTITION BY axis ORDER BY bin ROWS UNBOUNDED PRECEDING), rw AS (PARTITION BY axis ORDER BY bin ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+c AS (SELECT axis, {_sql_area('lw_')} / {_sql_area('')} * ln + {_sql_area('rw_')} / {_sql_area('')} * rn AS cost, CASE axis WHEN 0 THEN min_x WHEN 1 THEN min_y ELSE min_z END + (bin + 1) / bins::DOUBLE * (CASE axis WHEN 0 THEN max_x - min_x WHEN 1 THEN max_y - min_y ELSE max_z - min_z END) AS split, bin FROM w, b, k WHERE rn > 0 AND bin < bins - 1)
+SELECT axis::BIGINT AS axis, round(split, 6) AS split, round(cost, 6) AS cost FROM c ORDER BY c.cost, c.axis, c.bin LIMIT 1""")
+def sah_split(spark: SparkSession, sf: str) -> DataFrame:
+    return kdstats.best_split(clouds.orders(spark, sf)).select(F.col("axis").cast("long").alias("axis"), F.round("split", 6).alias("split"), F.round("cost", 6).alias("cost"))
+
+
+@query(f"{_with('c3')}, r AS (SELECT idx, y AS value, row_number() OVER (ORDER BY y, idx) - 1 AS pos, count(*) OVER () AS n FROM c3) SELECT idx, value FROM r WHERE pos = n // 2")
+def median_entry(spark: SparkSession, sf: str) -> DataFrame:
+    return kdstats.median_entry(clouds.orders(spark, sf), "y")
+
+
+# --- changes, measurements, catalog ----------------------------------------------------------------
+
+
+@query(f"{_with('c1')}, ch AS (SELECT event_id // 2 AS idx, max_by(value, event_id) AS z FROM events WHERE event_id % 3 = 0 GROUP BY 1) SELECT c1.idx, x, y, coalesce(ch.z, c1.z) AS z FROM c1 LEFT JOIN ch ON ch.idx = c1.idx")
+def point_merge(spark: SparkSession, sf: str) -> DataFrame:
+    e = clouds.table(spark, sf, "events").filter("event_id % 3 = 0")
+    changes = e.select(F.floor(F.col("event_id") / 2).alias("idx"), F.col("event_id").alias("seq"), F.col("value").alias("z"))
+    return updates.merge(clouds.events(spark, sf).select("idx", *AXES), changes)
+
+
+@query(f"{_with('c1')} SELECT idx, x, y, z FROM c1 UNION ALL SELECT idx + 1000000 AS idx, x, y, z FROM c3".replace("WITH", f"WITH {clouds.SQL['c3']},", 1))
+def append_cloud(spark: SparkSession, sf: str) -> DataFrame:
+    more = clouds.orders(spark, sf).select((F.col("idx") + 1000000).alias("idx"), *AXES)
+    return updates.append(clouds.events(spark, sf).select("idx", *AXES), more)
+
+
+@query(f"{_with('c1')} SELECT idx FROM c1 WHERE idx % 4 <> 0")
+def anti_remainder(spark: SparkSession, sf: str) -> DataFrame:
+    p = clouds.events(spark, sf)
+    return updates.remainder(p, p.filter("idx % 4 = 0")).select("idx")
+
+
+@query(f"{_with('c1')}, p AS (SELECT idx, rgb, row_number() OVER (ORDER BY idx) - 1 AS pos FROM c1), l(level, step) AS (VALUES (1.0::DOUBLE, 1), (0.5::DOUBLE, 2), (0.25::DOUBLE, 4), (0.1::DOUBLE, 10), (0.05::DOUBLE, 20)) SELECT level, (pos // step)::BIGINT AS pos, idx, rgb FROM p, l WHERE pos % step = 0")
+def lod_color_join(spark: SparkSession, sf: str) -> DataFrame:
+    p = clouds.events(spark, sf)
+    return updates.recolor(sampling.levels(sampling.base_cache(p)), p)
+
+
+@query(f"{_with('c1')} SELECT idx, x, y, z FROM c1 WHERE idx % 10 = 3")
+def guides_semi(spark: SparkSession, sf: str) -> DataFrame:
+    p = clouds.events(spark, sf)
+    return updates.guides(p, p.filter("idx % 10 = 3").select("idx"))
+
+
+@query(f"{_with('c1')} SELECT idx, x, y, z FROM c1 WHERE idx = (SELECT max(idx) - 4 FROM c1)")
+def ordinal_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return updates.at_ordinal(clouds.events(spark, sf), -5).select("idx", *AXES)
+
+
+_FMT = lambda c: f"printf('%.6f', {c})"
+
+
+@query(f"{_with('c1')} SELECT idx, {_FMT('x')} || ' ' || {_FMT('y')} || ' ' || {_FMT('z')} || ' ' || ((rgb >> 16) & 255) || ' ' || ((rgb >> 8) & 255) || ' ' || (rgb & 255) || ' ' || {_FMT('intensity')} AS line FROM c1")
+def ply_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return ply.ply_rows(clouds.events(spark, sf))
+
+
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    p = clouds.embeddings(spark, sf)
+    a = p.select("idx", *(F.col(c).alias(f"from_{c}") for c in AXES))
+    return a.join(p.select((F.col("idx") - 1).alias("idx"), *(F.col(c).alias(f"to_{c}") for c in AXES)), "idx")
+
+
+_SQL_PAIRS = f"{_with('c2')}, m AS (SELECT a.idx, " + ", ".join(f"a.{c} AS from_{c}, b.{c} AS to_{c}" for c in AXES) + " FROM c2 a JOIN c2 b ON b.idx = a.idx + 1), d AS (SELECT *, " + ", ".join(f"to_{c} - from_{c} AS d{c}" for c in AXES) + " FROM m)"
+
+
+@query(f"{_SQL_PAIRS} SELECT idx, round(sqrt(dx * dx + dy * dy + dz * dz), 9) AS distance, " + ", ".join(f"round(from_{c} * 0.5 + to_{c} * 0.5, 9) + 0.0 AS mid_{c}" for c in AXES) + " FROM d")
+def measure(spark: SparkSession, sf: str) -> DataFrame:
+    return updates.measure(_pairs(spark, sf)).select("idx", F.round("distance", 9).alias("distance"), *((F.round(f"mid_{c}", 9) + 0.0).alias(f"mid_{c}") for c in AXES))
+
+
+@query(f"{_SQL_PAIRS}, s AS (SELECT idx, dx, dy, dz, sqrt(dx * dx + dy * dy) AS flat, greatest(sqrt(dx * dx + dy * dy + dz * dz) * 0.25, 0.1) AS size FROM d) SELECT idx, round(dy / flat * size, 9) + 0.0 AS off_x, round(-dx / flat * size, 9) + 0.0 AS off_y, 0.0::DOUBLE AS off_z FROM s WHERE flat > 1e-9")
+def dimension_offset(spark: SparkSession, sf: str) -> DataFrame:
+    return updates.dimension_offset(_pairs(spark, sf)).select("idx", *((F.round(f"off_{c}", 9) + 0.0).alias(f"off_{c}") for c in AXES))
+
+
+@query(f"{_SQL_PAIRS} SELECT idx, round(sqrt(dx * dx + dy * dy + dz * dz), 9) AS distance FROM d ORDER BY idx DESC LIMIT 20")
+def history_last20(spark: SparkSession, sf: str) -> DataFrame:
+    return updates.last_rows(updates.measure(_pairs(spark, sf)), "idx", 20).select("idx", F.round("distance", 9).alias("distance"))
+
+
+@query(_SQL_PAIRS + ''' SELECT idx, '"' || idx || '","' || printf('%.3f', sqrt(dx * dx + dy * dy + dz * dz)) || '","say ""hi""' || '"' AS line FROM d''')
+def measurement_csv(spark: SparkSession, sf: str) -> DataFrame:
+    m = updates.measure(_pairs(spark, sf))
+    return m.select("idx", updates.csv_row(F.col("idx"), text.fixed(F.col("distance"), 3), F.lit('say "hi"')).alias("line"))
+
+
+@query("""WITH c AS (SELECT event_type, count(*) AS n, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1) SELECT '{"name":"' || event_type || '","points":' || n || ',"visible":true}' AS json FROM c""")
+def catalog_json(spark: SparkSession, sf: str) -> DataFrame:
+    c = clouds.table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("points"))
+    return c.select(F.to_json(F.struct(F.col("event_type").alias("name"), "points", F.lit(True).alias("visible"))).alias("json"))
+
+
+@query("SELECT event_id, CASE WHEN k = 1 THEN event_type ELSE event_type || ' (' || k || ')' END AS unique_name FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events WHERE user_id % 10 = 1)")
+def unique_names(spark: SparkSession, sf: str) -> DataFrame:
+    return updates.unique_names(clouds.table(spark, sf, "events").filter("user_id % 10 = 1"), "event_type", "event_id").select("event_id", "unique_name")
+
+
+@query("SELECT c_custkey AS uid FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 <> 0")
+def register_clouds(spark: SparkSession, sf: str) -> DataFrame:
+    c = clouds.table(spark, sf, "customer").select(F.col("c_custkey").alias("uid"))
+    return updates.register(c.filter("uid % 2 = 0"), c.filter("uid % 3 = 0"), "uid")
+
+
+@query("SELECT c_custkey AS uid FROM customer WHERE c_custkey % 5 <> 0")
+def remove_clouds(spark: SparkSession, sf: str) -> DataFrame:
+    c = clouds.table(spark, sf, "customer").select(F.col("c_custkey").alias("uid"))
+    return updates.remove(c, c.filter("uid % 5 = 0"), "uid")
+
+
+# --- telemetry -------------------------------------------------------------------------------------
+
+_OVER = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
+_GAP = f"(epoch_us(lead(ts) {_OVER}) - epoch_us(ts)) / 1e6"
+_STATES = list(telemetry.FOLLOW)
+
+
+def _jobs(spark: SparkSession, sf: str) -> DataFrame:
+    return clouds.table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type", F.element_at(F.array(*map(F.lit, _STATES)), (F.col("event_id") % 8 + 1).cast("int")).alias("state"))
+
+
+_SQL_STATE = "[" + ", ".join(f"'{s}'" for s in _STATES) + "][event_id % 8 + 1]"
+
+
+@query(f"SELECT event_id, round({_GAP}, 6) AS duration FROM events")
+def phase_durations(spark: SparkSession, sf: str) -> DataFrame:
+    return telemetry.phase_durations(_jobs(spark, sf), "user_id", "ts", "event_id").select("event_id", F.round("duration", 6).alias("duration"))
+
+
+@query(f"SELECT event_id, round(i, 6) AS interval, round(CASE WHEN i > 0 THEN 1.0 / i END, 9) AS frequency FROM (SELECT event_id, (epoch_us(ts) - epoch_us(lag(ts) {_OVER})) / 1e6 AS i FROM events)")
+def emit_interval(spark: SparkSession, sf: str) -> DataFrame:
+    return telemetry.emit_interval(_jobs(spark, sf), "user_id", "ts", "event_id").select("event_id", F.round("interval", 6).alias("interval"), F.round("frequency", 9).alias("frequency"))
+
+
+@query(f"SELECT event_id FROM (SELECT event_id, {_GAP} AS g FROM events) WHERE g IS NULL OR g >= 3600")
+def debounce(spark: SparkSession, sf: str) -> DataFrame:
+    return telemetry.debounce(_jobs(spark, sf), "user_id", "ts", "event_id", 3600.0).select("event_id")
+
+
+@query("SELECT event_id FROM (SELECT event_id, event_id // 1000 AS v, max(event_id // 1000) OVER (PARTITION BY user_id) AS m FROM events) WHERE v = m")
+def stale_drop(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _jobs(spark, sf).withColumn("version", F.floor(F.col("event_id") / 1000))
+    return telemetry.latest(rows, "user_id", "version").select("event_id")
+
+
+@query(f"WITH s AS (SELECT event_id, {_SQL_STATE} AS st, lag({_SQL_STATE}) {_OVER} AS b FROM events), f(b, st) AS (VALUES " + ", ".join(f"('{b}', '{n}')" for b, ns in telemetry.FOLLOW.items() for n in ns) + ") SELECT event_id, CASE WHEN s.b IS NULL THEN s.st = 'init' ELSE EXISTS (SELECT 1 FROM f WHERE f.b = s.b AND f.st = s.st) END AS valid FROM s")
+def fsm_check(spark: SparkSession, sf: str) -> DataFrame:
+    return telemetry.fsm_check(_jobs(spark, sf), "user_id", "state", "ts", "event_id").select("event_id", "valid")
+
+
+@query(f"SELECT event_id, state, round(d, 6) AS duration FROM (SELECT event_id, {_SQL_STATE} AS state, {_GAP} AS d FROM events) WHERE d > CASE state WHEN 'parsing' THEN 120 WHEN 'sampling' THEN 60 WHEN 'build_index' THEN 120 WHEN 'register' THEN 30 END")
+def state_timeout(spark: SparkSession, sf: str) -> DataFrame:
+    return telemetry.state_timeout(_jobs(spark, sf), "user_id", "state", "ts", "event_id").select("event_id", "state", F.round("duration", 6).alias("duration"))
+
+
+@query(f"WITH n AS (SELECT user_id, event_id, event_type, ts, CASE WHEN lag(event_type) {_OVER} IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS f FROM events), r AS (SELECT *, sum(f) {_OVER} AS run FROM n) SELECT user_id, run::BIGINT AS run, any_value(event_type) AS event_type, epoch_us(min(ts))::BIGINT AS first_us, epoch_us(max(ts))::BIGINT AS last_us, count(*)::BIGINT AS n FROM r GROUP BY 1, 2")
+def repeat_suppress(spark: SparkSession, sf: str) -> DataFrame:
+    r = telemetry.suppress_repeats(_jobs(spark, sf), "user_id", "event_type", "ts", "event_id")
+    return r.select("user_id", "run", "event_type", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "n")
+
+
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+t(user_id, event_id, k, last, go) AS (SELECT user_id, event_id, k, us, true FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.event_id, o.k, CASE WHEN o.us - t.last >= 86400000000 THEN o.us ELSE t.last END, o.us - t.last >= 86400000000 FROM t JOIN o ON o.user_id = t.user_id AND o.k = t.k + 1)
+SELECT user_id, event_id FROM t WHERE go""")
+def throttle(spark: SparkSession, sf: str) -> DataFrame:
+    return telemetry.throttle(_jobs(spark, sf), "user_id", "ts", "event_id", 86400.0)
+
+
+def _sql_levels() -> str:
+    lv = sampling.LEVELS
+    up = lambda k: "CASE " + " ".join(f"WHEN r <= {lv[j][2]} THEN {j}" for j in range(k, len(lv) - 1)) + f" ELSE {len(lv) - 1} END"
+    down = lambda k: "CASE " + " ".join(f"WHEN r >= {lv[j][1]} THEN {j}" for j in range(k, 0, -1)) + " ELSE 0 END" if k else "0"
+    return "CASE l " + " ".join(f"WHEN {k} THEN CASE WHEN {'r > ' + str(lv[k][2]) if k < len(lv) - 1 else 'false'} THEN {up(k)} WHEN r < {lv[k][1]} THEN {down(k)} ELSE {k} END" for k in range(len(lv))) + " END"
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT user_id, event_id, value / 80.0 AS r, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+t(user_id, event_id, k, l) AS (SELECT user_id, event_id, k, CASE WHEN r <= 1.5 THEN 0 WHEN r <= 2.5 THEN 1 WHEN r <= 3.5 THEN 2 WHEN r <= 5.0 THEN 3 ELSE 4 END FROM o WHERE k = 1 UNION ALL SELECT user_id, event_id, k, {_sql_levels()} FROM (SELECT o.user_id, o.event_id, o.k, o.r, t.l FROM t JOIN o ON o.user_id = t.user_id AND o.k = t.k + 1))
+SELECT user_id, event_id, [1.0, 0.5, 0.25, 0.1, 0.05][l + 1]::DOUBLE AS level FROM t""")
+def lod_hysteresis(spark: SparkSession, sf: str) -> DataFrame:
+    rows = clouds.table(spark, sf, "events").withColumn("ratio", F.col("value") / 80.0)
+    return telemetry.hysteresis(rows, "user_id", "ratio", "ts", "event_id")
+
+
+@query("SELECT event_id, round(CASE WHEN user_id > 0 THEN least(greatest(CASE WHEN event_id <= user_id * 50 THEN event_id / (user_id * 50.0) ELSE value / 500.0 END, 0.0), 1.0) ELSE least(value / 500.0, 1.0) END, 9) AS fraction FROM events")
+def progress_fraction(spark: SparkSession, sf: str) -> DataFrame:
+    e = clouds.table(spark, sf, "events")
+    return e.select("event_id", F.round(text.fraction(F.col("event_id"), F.col("user_id") * 50, F.col("value"), F.lit(500.0)), 9).alias("fraction"))
+
+
+# --- formats and normalisers -----------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey AS idx, CASE WHEN o_totalprice >= 1000 THEN printf('%.1f', o_totalprice / 1000) || 'k' ELSE round(o_totalprice)::BIGINT::VARCHAR END AS s FROM orders")
+def fmt_count(spark: SparkSession, sf: str) -> DataFrame:
+    return clouds.table(spark, sf, "orders").select(F.col("o_orderkey").alias("idx"), text.count(F.col("o_totalprice")).alias("s"))
+
+
+_ZEROS = lambda s: f"regexp_replace(regexp_replace({s}, '\\.0+$', ''), '(\\.\\d*?)0+$', '\\1')"
+
+
+@query(f"SELECT o_orderkey AS idx, CASE WHEN v >= 1048576 THEN {_ZEROS('printf($$%.2f$$, v / 1048576)')} || ' MB' WHEN v >= 1024 THEN {_ZEROS('printf($$%.2f$$, v / 1024)')} || ' KB' ELSE round(v)::BIGINT || ' B' END AS s FROM (SELECT o_orderkey, o_totalprice * (o_orderkey % 7) AS v FROM orders)")
+def fmt_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    return clouds.table(spark, sf, "orders").select(F.col("o_orderkey").alias("idx"), text.size(F.col("o_totalprice") * (F.col("o_orderkey") % 7)).alias("s"))
+
+
+_BOOLS = ["true", " YES ", "1", "on", "0", "no", "Off", "false", "", "  ", "maybe", "2"]
+_INTS = ["12", " 7x", "-3", "0", "abc", "", "99999", "4.9", "+8"]
+
+
+@query("WITH t(i, s) AS (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(_BOOLS)) + ") SELECT i::BIGINT AS i, trim(s) <> '' AND lower(trim(s)) NOT IN ('false', '0', 'no', 'off') AS b FROM t")
+def norm_bool(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(_BOOLS)), "i long, s string").select("i", text.boolean(F.col("s")).alias("b"))
+
+
+@query("WITH t(i, s) AS (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(_INTS)) + ") SELECT i::BIGINT AS i, CASE WHEN n > 0 THEN n ELSE 250 END::BIGINT AS n FROM (SELECT i, coalesce(TRY_CAST(nullif(regexp_extract(s, '^\\s*([+-]?\\d+)', 1), '') AS BIGINT), 0) AS n FROM t)")
+def norm_int(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(_INTS)), "i long, s string").select("i", text.positive_int(F.col("s"), 250).alias("n"))
+
+
+@query("SELECT event_id, regexp_replace(event_type || ' / user #' || user_id, '[^\\w\\-.]+', '_', 'g') || '.ply' AS name FROM events")
+def filename(spark: SparkSession, sf: str) -> DataFrame:
+    e = clouds.table(spark, sf, "events")
+    return e.select("event_id", text.file_name(F.concat("event_type", F.lit(" / user #"), F.col("user_id").cast("string"))).alias("name"))
+
+
+@query(f"{_with('c2')} SELECT idx, '(' || printf('%.3f', x) || ', ' || printf('%.3f', y) || ', ' || printf('%.3f', z) || ')' AS s FROM c2")
+def fmt_point(spark: SparkSession, sf: str) -> DataFrame:
+    return clouds.embeddings(spark, sf).select("idx", text.point(F.col("x"), F.col("y"), F.col("z")).alias("s"))
+
+
+@query()
+def fnv_seed(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(n, color.fnv1a(n)) for n in ("events", "orders", "Point Cloud", "")], "name string, seed long")
