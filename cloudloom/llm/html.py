@@ -51,6 +51,16 @@ LABELLED = """
   2 0.0   2 0.0   2 0.0 1 0 1
  22 0.4  50 0.1  40 0.0 1 0 1
   7 1.0  40 0.0  60 0.0 1 0 1
+  9 0.1   3 0.0   3 0.0 1 0 1
+  3 0.0  40 0.0   5 0.0 1 0 1
+ 12 0.6   8 0.0   2 1.0 1 0 1
+  2 1.0  20 0.0   3 1.0 1 0 1
+ 14 0.3   2 0.0   0 0.0 1 0 1
+  5 0.0   6 0.0   6 0.0 1 0 1
+  1 0.0   1 0.0   1 0.0 1 0 1
+ 20 0.9   1 1.0   4 1.0 1 0 1
+  6 0.2   3 0.0   9 0.0 1 0 1
+  4 0.5   0 0.0   0 0.0 1 0 1
   1 1.0   1 1.0   1 1.0 0 0 0
   2 1.0   1 1.0   3 1.0 0 0 0
   4 1.0   2 1.0  60 0.0 0 0 0
@@ -61,6 +71,12 @@ LABELLED = """
   6 0.0   0 0.0   3 1.0 0 0 0
   8 0.5  30 0.0   2 1.0 0 0 0
   9 0.0   6 0.0   5 0.0 0 0 0
+  2 0.0   3 0.0   4 0.0 0 0 0
+  7 0.1   0 0.0   5 0.0 0 0 0
+  4 0.0   0 0.0   0 0.0 0 0 0
+  8 0.0   2 1.0   1 1.0 0 0 0
+  6 0.0   9 0.0   2 0.0 0 0 0
+  3 0.0   8 0.5   6 0.0 0 0 0
  70 0.0   9 0.0  60 0.0 0 0 1
  45 0.1  70 0.0  50 0.1 0 0 1
 120 0.0   3 1.0  80 0.0 0 0 1

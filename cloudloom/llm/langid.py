@@ -154,21 +154,31 @@ class Scorer:
 _SCORERS: dict[int, Scorer] = {}
 
 
-def predict(df: DataFrame, model: dict, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, the columns in `keep`, lang_pred and score (0 to 1) of each row. The model is broadcast: its size is bounded by fit()."""
-    spark = df.sparkSession
-    held = spark.sparkContext.broadcast(pickle.dumps(model))
-    df = df.select(key, text, *(c for c in keep if c not in (key, text)))
-    out = [f for f in df.schema.fields if f.name == key or f.name in keep]
-    names = [f.name for f in out]
+def keep_known(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
+    """The rows of df, all columns whatever their names, whose text has a language (is not `und`)."""
+    held = df.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _scorer(held)
+        for rows, col in text_steps(batches, text):
+            langs, _ = own.predict(col.to_pylist())
+            yield rows.filter(pa.array([name != UND for name in langs], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def predict(df: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, lang_pred and score (0 to 1) of each row. The model is broadcast: its size is bounded by fit()."""
+    held = df.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    df = df.select(key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _scorer(held)
         for rows, col in text_steps(batches, text):
             langs, scores = own.predict(col.to_pylist())
-            yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(n)) for n in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [key, "lang_pred", "score"])
 
-    return df.mapInArrow(run, T.StructType([*out, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return df.mapInArrow(run, T.StructType([df.schema[key], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def _scorer(held) -> Scorer:

@@ -19,7 +19,7 @@ line of the first copy is always kept); other columns are kept, whatever their n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, parallelism
@@ -48,7 +48,7 @@ def _intervals(runs: DataFrame, *by: str) -> DataFrame:
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = 2, min_chars: int = 200) -> DataFrame:
     """(__doc, __hash, __seq, at): later copies of runs; a run begins at the document's line __seq, blank ones not counted, and `at` has the places of its lines among all lines."""
-    rows = docs.select(F.col(key).alias("__doc"), F.xxhash64(text).alias("__hash"), F.posexplode(_numbered(F.col(text))).alias("__seq", "e"))
+    rows = docs.select(F.col(_name(key)).alias("__doc"), F.xxhash64(_name(text)).alias("__hash"), F.posexplode(_numbered(F.col(_name(text)))).alias("__seq", "e"))
     line = F.col("e.line")
     names = materialize(rows.select(*_AT, F.array("e.i").alias("at"), F.xxhash64(line).alias("a"), F.xxhash64(F.lit("#"), line).alias("b"), (F.length(line) >= min_chars).alias("long")), "lines")
     now = materialize(names.join(_intervals(names, "a", "b"), ["a", "b"]).select(*_AT, "at", "long", "rank", (F.struct(*_AT) != F.col("first")).alias("copy")), "ranks")
@@ -64,24 +64,39 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines
     return out.unionByName(now.filter("copy").select(*_AT, "at")) if depth > 1 else out
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = 2, min_chars: int = 200, drop_emptied: bool = False) -> DataFrame:
-    """docs with the later copies of repeated runs of lines deleted from the text, and n_lines (before) and n_removed.
-
-    drop_emptied leaves out documents that lose every line that is not blank.
-    """
-    for name in ("n_lines", "n_removed"):
-        if name in docs.columns:
-            raise ValueError(f"a column {name} exists already")
+def _joined(docs: DataFrame, key: str, text: str, min_lines: int, min_chars: int) -> tuple[DataFrame, Column, Column, Column]:
+    """docs with __gone (places of removed lines, or null), and the text that is left, its lines before and the number removed."""
     cover = repeated(docs, key, text, min_lines, min_chars).select(*_DOC, F.explode("at").alias("at"))
     gone = cover.groupBy(*_DOC).agg(F.collect_set("at").alias("__gone"))
-    own = docs.withColumn("__key", F.xxhash64(text))
-    joined = own.join(gone, own[key].eqNullSafe(gone["__doc"]) & (own["__key"] == gone["__hash"]), "left")
-    lines = F.split(F.col(text), "\n", -1)
+    own = docs.withColumn("__key", F.xxhash64(_name(text)))
+    joined = own.join(gone, own[_name(key)].eqNullSafe(gone["__doc"]) & (own["__key"] == gone["__hash"]), "left").drop(*_DOC, "__key")
+    lines = F.split(F.col(_name(text)), "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.array_contains("__gone", i))
-    out = joined.select(
-        *(docs[c] if c != text else F.when(F.col("__gone").isNull(), docs[text]).otherwise(F.array_join(kept, "\n")).alias(text) for c in docs.columns),
-        F.coalesce(F.size(lines), F.lit(1)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(F.size(_numbered(F.col(text))) == F.size("__gone"), F.lit(False)).alias("__emptied") if drop_emptied else F.lit(False).alias("__emptied"),
-    )
-    return (out.filter("not __emptied") if drop_emptied else out).drop("__emptied")
+    left = F.when(F.col("__gone").isNull(), F.col(_name(text))).otherwise(F.array_join(kept, "\n"))
+    return joined, left, F.coalesce(F.size(lines), F.lit(1)).cast("long"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
+
+
+def _name(c: str) -> str:
+    return f"`{c}`"
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = 2, min_chars: int = 200) -> DataFrame:
+    """docs with the later copies of repeated runs of lines deleted from the text, and n_lines (before) and n_removed (which replace columns of these names)."""
+    joined, left, lines, removed = _joined(docs, key, text, min_lines, min_chars)
+    same = [F.col(_name(c)) if c != text else left.alias(text) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(*same, lines.alias("n_lines"), removed.alias("n_removed"))
+
+
+def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = 2, min_chars: int = 200) -> DataFrame:
+    """docs, the same columns, with the later copies deleted from the text; documents that lose every line that is not blank are left out."""
+    joined, left, _, _ = _joined(docs, key, text, min_lines, min_chars)
+    emptied = F.coalesce(F.size(_numbered(F.col(_name(text)))) == F.size("__gone"), F.lit(False))
+    return joined.filter(~emptied).select(*(F.col(_name(c)) if c != text else left.alias(text) for c in docs.columns))
+
+
+def maximal_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = 2, min_chars: int = 200) -> DataFrame:
+    """(key, first_line, n_lines) of each maximal run of removed lines; lines that are not blank, numbered from 0."""
+    found = repeated(docs, key, text, min_lines, min_chars)
+    at = found.select(*_DOC, F.explode(F.sequence(F.col("__seq"), F.col("__seq") + F.size("at") - 1)).alias("__seq")).distinct()
+    placed = at.withColumn("__run", F.col("__seq") - F.row_number().over(Window.partitionBy(*_DOC).orderBy("__seq")))
+    return placed.groupBy(*_DOC, "__run").agg(F.min("__seq").alias("first_line"), F.count("*").alias("n_lines")).select(F.col("__doc").alias(key), "first_line", "n_lines")

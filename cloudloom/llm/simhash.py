@@ -166,7 +166,7 @@ def clusters(df: DataFrame, key: str = "doc_id", text: str = "text", words: int
 
 
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, distance: int = 4) -> DataFrame:
-    """The rows of df that are the first of their group of near-duplicates; of rows that repeat a key, all that it keeps."""
+    """The rows of df, all columns, that are the first of their group of near-duplicates. Rows that share a key stay or go together; rows with a null key stay."""
     found = clusters(df, key, text, words, distance)
-    kept = found.filter(F.col(key) == F.col("component_id")).select(key).distinct()
-    return df.join(kept, key, "left_semi")
+    kept = found.filter(F.col(key).isNull() | (F.col(key) == F.col("component_id"))).select(F.col(key).alias("__kept")).distinct()
+    return df.join(kept, F.col(key).eqNullSafe(F.col("__kept")), "left_semi")

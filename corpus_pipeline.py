@@ -15,13 +15,12 @@ from cloudloom.llm.queries import BYTE_BPE
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled documents teach; null texts and texts without a letter go."""
-    found = langid.predict(docs, langid.fit(docs), keep=tuple(docs.columns))
-    return found.filter(found.lang_pred != langid.UND).select(*docs.columns)
+    return langid.keep_known(docs, langid.fit(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines go; so do documents that lose all their lines."""
-    return linededup.dedup(docs, drop_emptied=True).select(*docs.columns)
+    return linededup.clean(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
