@@ -122,5 +122,6 @@ def random_color(idx: Column, seed: int, bits: int = 40) -> Column:
     """The colour after idx + 1 steps of the generator, by jumps: no row waits for another. Only 24 bits of the state show."""
     state = F.lit(seed % (1 << 24)).cast("long")
     for k, (a, c) in enumerate(jumps(bits)):
-        state = F.when(F.shiftright(idx + 1, k).bitwiseAND(1) == 1, (state * a + c) % (1 << 24)).otherwise(state)
+        bit = F.shiftright(idx + 1, k).bitwiseAND(1) == 1
+        state = (state * F.when(bit, a).otherwise(1) + F.when(bit, c).otherwise(0)) % (1 << 24)  # names the state once: the expression stays linear
     return pack(*(F.round(ch / 2.0 + 64) for ch in unpack(state)))

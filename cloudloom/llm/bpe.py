@@ -24,9 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import ragged, text_steps
+from .pretoken import PATTERN
 
-#: Fixed value: the published pattern of byte-level BPE.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pre-tokens that a worker remembers before it starts afresh.
 CACHE_WORDS = 300_000
 

@@ -55,14 +55,16 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 
 def _keys(x: np.ndarray) -> bytes:
-    """The low 7 bytes of hashes (the top byte is the same throughout a bucket)."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+    """Sorted hashes of a bucket (their top byte is the same) as differences, in byte planes."""
+    low = x & np.uint64((1 << 56) - 1)
+    step = np.diff(low, prepend=np.zeros(1, np.uint64))
+    return step.view(np.uint8).reshape(-1, 8)[:, :7].T.tobytes()
 
 
 def _unkeys(raw: bytes) -> np.ndarray:
     out = np.zeros((len(raw) // 7, 8), np.uint8)
-    out[:, :7] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
-    return out.view(np.uint64).reshape(-1)
+    out[:, :7] = np.frombuffer(raw, np.uint8).reshape(7, -1).T
+    return np.cumsum(out.view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -107,19 +109,25 @@ class _Chunk:
 
     def __init__(self, held: bytes, counts: bytes, tokens: bytes, vocab: bytes):
         self.vocab = np.frombuffer(vocab, np.uint64)
-        self.words = _unpack(tokens)
+        self.words = _unpack(tokens).astype(np.int32)
         self.counts = _unpack(counts)
         self.ends = np.cumsum(self.counts)
         self.held = np.frombuffer(held, np.uint8).astype(bool)
         self.train = np.repeat(~self.held, self.counts)
         self.by_hash = np.argsort(self.vocab)
-        self.before = np.concatenate([[0], self.words[:-1]])
+        self.before = np.concatenate([np.zeros(1, np.int32), self.words[:-1]])
         self.before[np.concatenate([[0], self.ends[:-1]])] = len(self.vocab)  # the start
         self.names = np.concatenate([self.vocab, [START]])
 
     def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct names, a place where each occurs, and the number of the bigram at each place."""
-        return np.unique(mix(self.names[self.before] * _MUL + self.vocab[self.words]), return_index=True, return_inverse=True)
+        name = mix(self.names[self.before] * _MUL + self.vocab[self.words])
+        order = np.argsort(name).astype(np.int32)
+        name = name[order]
+        new = np.concatenate([[True], name[1:] != name[:-1]])
+        number = np.empty(len(order), np.int32)
+        number[order] = np.cumsum(new, dtype=np.int32) - 1
+        return name[new], order[new], number
 
 
 def _cuts(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
@@ -154,13 +162,22 @@ def _count(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([*out, (kind, bucket, -1, b"", stats)], columns=["kind", "bucket", "chunk", "a", "stats"])
 
 
-def _backoff(rows: pd.DataFrame) -> pd.DataFrame:
-    """Adds up the seen and the backed-off mass of a bucket's histories and answers each chunk with alpha and s."""
+def _backoff(rows: pd.DataFrame, model: Model) -> pd.DataFrame:
+    """Adds up what is known of a bucket's histories and answers each chunk with alpha and s.
+
+    Of each history: its count, its followers by their number of times after it (1 to 5), its followers by
+    their count (1 to 5), and the summed counts of its other followers. All are integers, so the order of
+    the sum does not matter; the mass that is seen and the mass that backs off follow from them.
+    """
     rows = rows.sort_values("chunk")
     keys = [_unkeys(k) for k in rows["keys"]]
-    mass, counts = np.concatenate([_unpack(a).reshape(-1, 2) for a in rows["a"]]), np.concatenate([_unpack(b) for b in rows["b"]]).astype(np.float64)
+    c = np.concatenate([_unpack(b) for b in rows["b"]])
+    sums = np.concatenate([_unpack(a).reshape(2 * GT_MOST + 1, -1) for a in rows["a"]], axis=1)
     distinct, first, number = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    seen, low, c = np.bincount(number, mass[:, 0], len(distinct)), np.bincount(number, mass[:, 1], len(distinct)), counts[first]
+    sums = np.stack([np.bincount(number, s, len(distinct)) for s in sums])
+    c, r = c[first].astype(np.float64), np.arange(1, GT_MOST + 1)
+    seen = np.where(c > 0, 1.0 - ((1 - model.d2[1 : GT_MOST + 1]) * r) @ sums[:GT_MOST] / np.maximum(c, 1), 0.0)
+    low = model.rest * ((model.d1[1 : GT_MOST + 1] * r) @ sums[GT_MOST:-1] + sums[-1]) / max(model.tokens, 1)
     free, scale = 1.0 - seen, np.ones(len(distinct))
     full = (c > 0) & (free < 1e-9)
     scale[full] = c[full] / (c[full] + 1.0) / seen[full]
@@ -251,14 +268,16 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
         number, chunk, words, (_, place, _), answer, _ = _open(own, got)
         c = answer >> 1
         mine = np.flatnonzero((answer & 1 == 1) & (c > 0))
-        h, w = chunk.before[place[mine]], chunk.words[place[mine]]
-        mass = np.column_stack([np.bincount(h, model.seen(c[mine], words[h]), len(words)), np.bincount(h, model.word(words[w]), len(words))])
+        h, w = chunk.before[place[mine]], words[chunk.words[place[mine]]]
+        many = w > GT_MOST
+        sums = [np.bincount(h[c[mine] == r], minlength=len(words)) for r in range(1, GT_MOST + 1)]
+        sums += [np.bincount(h[w == r], minlength=len(words)) for r in range(1, GT_MOST + 1)] + [np.bincount(h[many], w[many], len(words)).astype(np.int64)]
         order = np.argsort(chunk.names)
-        keys = chunk.names[order]
-        return _asks([(3, b, number, _keys(keys[s]), _pack(mass[order][s].reshape(-1)), _pack(words[order][s])) for b, s in _cuts(keys, bits)])
+        keys, sums, n = chunk.names[order], np.stack(sums)[:, order], words[order]
+        return _asks([(3, b, number, _keys(keys[s]), _pack(sums[:, s].reshape(-1)), _pack(n[s])) for b, s in _cuts(keys, bits)])
 
     grouped = tokens.groupBy("chunk")
-    backoff = grouped.cogroup(answers.groupBy("chunk")).applyInPandas(histories, _ASK).groupBy("bucket").applyInPandas(_backoff, _ANSWER).select("kind", "bucket", "chunk", "a")
+    backoff = grouped.cogroup(answers.groupBy("chunk")).applyInPandas(histories, _ASK).groupBy("bucket").applyInPandas(lambda rows: _backoff(rows, model), _ANSWER).select("kind", "bucket", "chunk", "a")
     key_type = tokens.schema["keys"].dataType.elementType
     schema = T.StructType([T.StructField(key, key_type), T.StructField("held_out", T.BooleanType()), *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(n, T.DoubleType()) for n in ("base_score", "score"))])
 

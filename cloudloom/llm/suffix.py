@@ -220,7 +220,7 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
 def removed_ranges(docs: DataFrame, length: int = 200, gram: int = 32) -> DataFrame:
     """(id, start, end): ranges of bytes to remove; docs has key, id and text and is dealt out by id."""
     own = materialize(spans(docs, length, gram), "spans")
-    twice = own.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("span") != F.max("span")).alias("kinds")).filter("n > 1").drop("n")
+    twice = materialize(own.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("span") != F.max("span")).alias("kinds")).filter("n > 1").drop("n"), "anchors")
     some = materialize(own.join(twice, "anchor"), "repeated")
     kinds = materialize(some.groupBy("anchor", "span", "kinds").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos", "more", "off")).alias("s")), "kinds")
     whole = some.join(kinds.filter("n > 1").select("anchor", "span"), ["anchor", "span"]).select("id", F.col("pos").alias("start"), (F.col("pos") + F.col("more") + length).alias("end"))

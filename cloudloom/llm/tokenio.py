@@ -3,7 +3,7 @@
 File format: Parquet rows, one for each block: part and block (their order is the order of the ids),
 first (ids of the part before the block), keys and counts (its documents and their numbers of ids) and
 payload. A payload is a header (magic, ids, lanes, vocabulary, CRC-32 of the ids as little-endian 32-bit
-integers), the lengths of its lanes and the lanes themselves. A block's ids are dealt to lanes of
+integers, CRC-32 of all other bytes of the payload), the lengths of its lanes and the lanes themselves. A block's ids are dealt to lanes of
 equal length that are coded in step, so that numpy handles one id of every lane at a time; all lanes of
 a block share one model, which starts afresh with each block: any block can be read alone.
 
@@ -32,29 +32,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .bpe import PATTERN, _Index
-from .common import parallelism, ragged, text_steps
-
-import regex  # isort: skip
+from . import pretoken
+from .common import parallelism, ragged, span_hash, text_steps
 
 U = np.uint64
 MAGIC = b"CMR1"
-_HEAD = struct.Struct("<4sIIII")
-LANES, LANE_IDS = 2048, 256
+_HEAD = struct.Struct("<4sIIIII")
+LANES, LANE_IDS = 8192, 256
 BLOCK_IDS = LANES * LANE_IDS
 _STEP = 32  # weight of one occurrence in the order-0 frequencies
-_STATES = 16
+_STATES, _BITS = 16, 4
 _MOST = U(64)  # a prediction weighs at most so many times all of order 0
 _LOW, _TOP = U(1 << 40), U(1 << 48)
 _CONTEXTS = 17  # bits of the order-2 table
 END_ID = 0
+#: Distinct pre-tokens (named by 64-bit hashes) that a worker remembers before it starts afresh.
+CACHE_WORDS = 500_000
 
 
 class _Model:
     def __init__(self, vocab: int, lanes: int):
         self.counts = np.ones(vocab, np.int64)
-        self.ids1, self.sure1 = np.zeros(vocab, np.int64), np.zeros(vocab, np.int64)
-        self.ids2, self.sure2 = np.zeros(1 << _CONTEXTS, np.int64), np.zeros(1 << _CONTEXTS, np.int64)
+        # a prediction: the id times _STATES, plus its confidence
+        self.table1, self.table2 = np.zeros(vocab, np.int64), np.zeros(1 << _CONTEXTS, np.int64)
         self.right, self.wrong = np.zeros((2, _STATES), np.int64), np.full((2, _STATES), 4, np.int64)
         self.before = self.before2 = np.zeros(lanes, np.int64)
         self.fresh: list[np.ndarray] = []
@@ -74,18 +74,19 @@ class _Model:
     def predict(self) -> tuple[np.ndarray, ...]:
         """The two predicted ids of each lane, and the weights that they add."""
         self.at2 = ((self.before2 * 0x2545F491 + self.before * 0x9E3779B1) >> 7) & ((1 << _CONTEXTS) - 1)
-        self.s1, self.s2 = self.sure1[self.before], self.sure2[self.at2]
-        self.c1, self.c2 = self.ids1[self.before], self.ids2[self.at2]
+        self.p1, self.p2 = self.table1[self.before], self.table2[self.at2]
+        self.s1, self.s2 = self.p1 & (_STATES - 1), self.p2 & (_STATES - 1)
+        self.c1, self.c2 = self.p1 >> _BITS, self.p2 >> _BITS
         return self.c1, self.c2, self.bonus[0][self.s1], self.bonus[1][self.s2]
 
     def update(self, x: np.ndarray) -> None:
-        for k, at, ids, sure, c, s in ((0, self.before, self.ids1, self.sure1, self.c1, self.s1), (1, self.at2, self.ids2, self.sure2, self.c2, self.s2)):
+        for k, at, table, p, c, s in ((0, self.before, self.table1, self.p1, self.c1, self.s1), (1, self.at2, self.table2, self.p2, self.c2, self.s2)):
             hit = x == c
             both = np.bincount(s + _STATES * hit, minlength=2 * _STATES)
             self.wrong[k] += both[:_STATES]
             self.right[k] += both[_STATES:]
-            sure[at] = np.where(hit, np.minimum(s + 1, _STATES - 1), s >> 1)
-            ids[at] = np.where(hit | (s > 0), c, x)
+            missed = np.where(s > 0, p - s + (s >> 1), x << _BITS)
+            table[at] = np.where(hit, p + (s < _STATES - 1), missed)
         self.before2, self.before = self.before, x
         self.fresh.append(x)
         self.seen += len(x)
@@ -103,7 +104,7 @@ def encode_block(ids: np.ndarray) -> bytes:
     n = len(ids)
     crc = zlib.crc32(ids.astype("<u4").tobytes())
     if not n:
-        return _HEAD.pack(MAGIC, 0, 0, 0, crc)
+        return _sealed(0, 0, 0, crc, b"")
     lanes, steps = _shape(n)
     vocab = int(ids.max()) + 1
     grid = np.zeros(lanes * steps, np.int64)
@@ -142,15 +143,22 @@ def encode_block(ids: np.ndarray) -> bytes:
     lane, word = np.concatenate(out_lane), np.concatenate(out_word)
     order = np.argsort(lane, kind="stable")
     sizes = np.bincount(lane, minlength=lanes).astype("<u4")
-    return _HEAD.pack(MAGIC, n, lanes, vocab, crc) + sizes.tobytes() + word[order].astype("<u2").tobytes()
+    return _sealed(n, lanes, vocab, crc, sizes.tobytes() + word[order].astype("<u2").tobytes())
+
+
+def _sealed(n: int, lanes: int, vocab: int, crc: int, body: bytes) -> bytes:
+    head = _HEAD.pack(MAGIC, n, lanes, vocab, crc, 0)
+    return _HEAD.pack(MAGIC, n, lanes, vocab, crc, zlib.crc32(body, zlib.crc32(head))) + body
 
 
 def decode_block(payload: bytes) -> np.ndarray:
     """The ids of a block; ValueError if it is damaged."""
     if len(payload) < _HEAD.size:
         raise ValueError("damaged block: no header")
-    magic, n, lanes, vocab, crc = _HEAD.unpack_from(payload)
-    if magic != MAGIC or n and (lanes, -(-n // max(1, lanes))) != _shape(n):
+    magic, n, lanes, vocab, crc, seal = _HEAD.unpack_from(payload)
+    if magic != MAGIC or seal != zlib.crc32(payload[_HEAD.size :], zlib.crc32(_HEAD.pack(magic, n, lanes, vocab, crc, 0))):
+        raise ValueError("damaged block: the checksum differs")
+    if n and (lanes, -(-n // max(1, lanes))) != _shape(n):
         raise ValueError("damaged block: bad header")
     if not n:
         return np.empty(0, np.int64)
@@ -214,7 +222,7 @@ def decode_block(payload: bytes) -> np.ndarray:
 
 
 class Encoder:
-    """Ids by the tokenizers library. For byte-level BPE each distinct pre-token of a worker is encoded once."""
+    """Ids by the tokenizers library. For byte-level BPE a worker has the library encode each distinct pre-token once."""
 
     def __init__(self, path: str):
         import json
@@ -226,11 +234,11 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.by_word = spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.special = [t["content"] for t in spec.get("added_tokens", ())]
-        self.words = regex.compile(PATTERN).findall
         self._fresh()
 
     def _fresh(self) -> None:
-        self.index, self.store, self.used = _Index(), np.empty(1 << 16, np.int32), 0
+        self.known, self.number = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.store, self.used = np.empty(1 << 16, np.int32), 0
         self.at = self.size = np.empty(0, np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -249,28 +257,38 @@ class Encoder:
         return np.concatenate([o[0] for o in out] or [np.empty(0, np.int64)]), np.concatenate([o[1] for o in out] or [np.empty(0, np.int64)])
 
     def _by_word(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > 300_000:
+        if len(self.known) > CACHE_WORDS:
             self._fresh()
-        known = len(self.index)
-        parts = [list(map(self.index.__getitem__, self.words(t))) for t in texts]
-        if len(self.index) > known:
-            new = list(self.index)[known:]
-            got = self.lib.encode(new, is_pretokenized=True, add_special_tokens=False)
-            ids, lens = np.array(got.ids, np.int32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(new))
-            need = self.used + len(ids)
-            if need > len(self.store):
-                self.store = np.concatenate([self.store[: self.used], np.empty(max(need, 2 * len(self.store)) - self.used, np.int32)])
-            self.store[self.used : need] = ids
-            self.at, self.size, self.used = np.concatenate([self.at, self.used + np.cumsum(lens) - lens]), np.concatenate([self.size, lens]), need
-        ends = np.cumsum([0, *map(len, parts)])
-        flat = np.empty(ends[-1], np.int64)
-        for p, a in zip(parts, ends.tolist(), strict=False):
-            flat[a : a + len(p)] = p
+        begin, end, upto = pretoken.spans(texts)
+        raw = np.frombuffer("".join(texts).encode(), np.uint8)
+        names, first, place = np.unique(span_hash(raw, begin, end), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.known, names), max(len(self.known) - 1, 0))
+        new = np.flatnonzero(self.known[at] != names) if len(self.known) else np.arange(len(names))
+        if len(new):
+            data = raw.tobytes()
+            words = [data[a:b].decode() for a, b in zip(begin[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
+            self._learn(words, names[new])
+        flat = self.number[np.searchsorted(self.known, names)][place]
+        ends = np.concatenate([[0], upto])
         lens = self.size[flat]
         total = np.concatenate([[0], np.cumsum(lens)])[ends]
         return self.store[ragged(self.at[flat], lens)].astype(np.int64), np.diff(total)
 
 
+    def _learn(self, words: list[str], names: np.ndarray) -> None:
+        got = self.lib.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids, lens = np.array(got.ids, np.int32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(words))
+        need = self.used + len(ids)
+        if need > len(self.store):
+            self.store = np.concatenate([self.store[: self.used], np.empty(max(need, 2 * len(self.store)) - self.used, np.int32)])
+        self.store[self.used : need] = ids
+        number = np.arange(len(self.at), len(self.at) + len(words))
+        self.at, self.size, self.used = np.concatenate([self.at, self.used + np.cumsum(lens) - lens]), np.concatenate([self.size, lens]), need
+        known = np.concatenate([self.known, names])
+        order = np.argsort(known, kind="stable")
+        self.known, self.number = known[order], np.concatenate([self.number, number])[order]
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
     return Encoder(path)

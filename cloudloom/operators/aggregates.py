@@ -16,6 +16,11 @@ def number(c: str | Column) -> Column:
     return F.when(F.isnan(c), None).otherwise(c)
 
 
+def micros(c: str | Column) -> Column:
+    """Microseconds of a timestamp with or without a zone."""
+    return F.unix_micros((F.col(c) if isinstance(c, str) else c).cast("timestamp"))
+
+
 def whole_point() -> Column:
     """A point of which any coordinate is null is no point."""
     return F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
@@ -101,5 +106,5 @@ def presence(points: DataFrame) -> DataFrame:
 
 def rates(rows: DataFrame, group: str, ts: str, amount: str) -> DataFrame:
     """Duration, processed amount (largest gauge), total and rate of each group of telemetry rows."""
-    seconds = (F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))) / 1e6
+    seconds = (micros(F.max(ts)) - micros(F.min(ts))) / 1e6
     return rows.groupBy(group).agg(seconds.alias("duration"), F.max(amount).alias("peak"), F.count("*").alias("processed"), F.when(seconds > 0, F.count("*") / seconds).otherwise(F.lit(0.0)).alias("rate"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregates import micros
+
 #: The states of an import job, the states that may follow each, and time limits in seconds.
 FOLLOW = {
     "init": ("parsing", "cancelled", "failed"),
@@ -20,7 +22,7 @@ LIMITS = {"parsing": 120.0, "sampling": 60.0, "build_index": 120.0, "register":
 
 
 def seconds(later: Column, earlier: Column) -> Column:
-    return (F.unix_micros(later) - F.unix_micros(earlier)) / 1e6
+    return (micros(later) - micros(earlier)) / 1e6
 
 
 def _over(job: str, ts: str, tie: str) -> Window:
@@ -77,7 +79,7 @@ def throttle(rows: DataFrame, job: str, ts: str, tie: str, interval: float) -> D
 
     A job's events are folded in one task; split long jobs by time first if one job is unbounded.
     """
-    packed = rows.groupBy(job).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(ts).alias("us"), F.col(tie).alias("tie")))).alias("e"))
+    packed = rows.groupBy(job).agg(F.array_sort(F.collect_list(F.struct(micros(ts).alias("us"), F.col(tie).alias("tie")))).alias("e"))
     micros = int(round(interval * 1e6))
     start = F.struct(F.lit(None).cast("long").alias("last"), F.expr("cast(array() as array<bigint>)").alias("out"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import color, text, units
 from ..operators import aggregates as agg
 from ..operators import clouds, kdstats, numbering, octree, poisson, sampling, spatial, telemetry, updates
-from ..operators.aggregates import AXES
+from ..operators.aggregates import AXES, micros
 from ..sources import ply
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -639,7 +639,7 @@ def state_timeout(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH n AS (SELECT user_id, event_id, event_type, ts, CASE WHEN lag(event_type) {_OVER} IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS f FROM events), r AS (SELECT *, sum(f) {_OVER} AS run FROM n) SELECT user_id, run::BIGINT AS run, any_value(event_type) AS event_type, epoch_us(min(ts))::BIGINT AS first_us, epoch_us(max(ts))::BIGINT AS last_us, count(*)::BIGINT AS n FROM r GROUP BY 1, 2")
 def repeat_suppress(spark: SparkSession, sf: str) -> DataFrame:
     r = telemetry.suppress_repeats(_jobs(spark, sf), "user_id", "event_type", "ts", "event_id")
-    return r.select("user_id", "run", "event_type", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "n")
+    return r.select("user_id", "run", "event_type", micros("first_ts").alias("first_us"), micros("last_ts").alias("last_us"), "n")
 
 
 @query("""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),

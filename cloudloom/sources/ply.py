@@ -1,10 +1,11 @@
 """PLY files as a Spark data source: spark.read.format("ply").load(path), and a writer.
 
-The header is read once on the driver. Binary vertex data are split into ranges of whole records, ASCII
-data into byte ranges; each task decodes its own range with numpy and yields Arrow batches. Rows carry idx,
-their ordinal in the file: from the offset in binary files; in ASCII files the rows of each range are
-counted by a first pass over the ranges (newlines only), made in tasks too. Paths go through
-pyarrow's file systems, so a store that it knows is read without a local copy.
+The header is read once on the driver. Binary vertex data are split into ranges of whole records; each
+task decodes its own range with numpy and yields Arrow batches. Rows carry idx, their ordinal in the file,
+which follows from the offset. Paths go through pyarrow's file systems, so a store that it knows is read
+without a local copy. read_ply() scans ASCII files with Spark's own text reader (read_ascii): lines are
+numbered within each split and splits start where the counts of those before end. The data source can
+read ASCII files, too, but counts their lines on the driver.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -51,6 +52,7 @@ class Header:
     obj_info: tuple[str, ...] = ()
     skipped: int = 0  # bytes of binary elements before the vertices
     skipped_rows: int = 0  # lines of ASCII elements before them
+    filled: int = 0  # lines of the header that are not blank
 
     @property
     def binary(self) -> bool:
@@ -119,7 +121,7 @@ def parse_header(raw: bytes) -> Header:
         raise PlyError(f"vertex properties are missing: {', '.join(missing)}")
     if form != "ascii" and (odd := sorted({t for t, _ in properties} - TYPES.keys())):
         raise PlyError(f"unknown property types: {', '.join(odd)}")
-    return Header(form, version, count, tuple(properties), at, tuple(comments), tuple(info), skipped, skipped_rows)
+    return Header(form, version, count, tuple(properties), at, tuple(comments), tuple(info), skipped, skipped_rows, sum(map(bool, lines)))
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -258,10 +260,33 @@ def read_ply(spark: SparkSession, path: str, unit_scale: float | None = None, **
     from ..functions.units import scale
 
     spark.dataSource.register(PlySource)
-    df = spark.read.format("ply").options(**{k: str(v) for k, v in options.items()}).load(path)
+    head = read_header(path)
+    df = read_ascii(spark, path, head) if not head.binary else spark.read.format("ply").options(**{k: str(v) for k, v in options.items()}).load(path)
     return scale(df, unit_scale) if unit_scale else df
 
 
+def read_ascii(spark: SparkSession, path: str, head: Header | None = None) -> DataFrame:
+    """An ASCII PLY file by Spark's text reader. Blank lines do not count; missing tokens and such without a number at their start are 0."""
+    from ..functions.text import leading_float
+
+    head = head or read_header(path)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).filter(F.col("value").rlike(r"\S"))
+    counts = lines.groupBy("block").agg(F.count("*").alias("n"))
+    before = counts.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))  # a row for each split
+    place = F.col("before") + F.row_number().over(Window.partitionBy("block").orderBy("at")) - 1 - head.filled - head.skipped_rows
+    tokens = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
+    token = lambda i: leading_float(F.try_element_at(tokens, F.lit(i + 1)))
+    rgb, shade = F.lit(None).cast("long"), head.place(INTENSITY)
+    if head.color():
+        r, g, b = (token(i).cast("long").bitwiseAND(255) for i in head.color())
+        rgb = F.shiftleft(r, 16).bitwiseOR(F.shiftleft(g, 8)).bitwiseOR(b)
+    rows = lines.join(F.broadcast(before), "block").withColumn("idx", place).filter(F.col("idx") >= 0)
+    if head.count:
+        rows = rows.filter(F.col("idx") < head.count)
+    intensity = token(shade) if shade is not None else F.lit(None).cast("double")
+    return rows.select(F.col("idx").cast("long").alias("idx"), *(token(head.place((a,))).alias(a) for a in "xyz"), rgb.alias("rgb"), intensity.alias("intensity"))
+
+
 def header_info(spark: SparkSession, path: str) -> DataFrame:
     """One row: format, version, vertices, comments and obj_info of a file's header."""
     h = read_header(path)

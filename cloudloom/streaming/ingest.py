@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.units import scale
-from ..operators.aggregates import bounds, intensity_range
+from ..operators.aggregates import bounds, intensity_range, micros
 from ..operators.sampling import LEVELS
 
 
@@ -67,7 +67,7 @@ class _Throttle(StatefulProcessor):
 
 def throttle(events: DataFrame, key: str, ts: str, tie: str, interval: float) -> DataFrame:
     """Events at least `interval` seconds after the last one let through of their key; the last time is state."""
-    rows = events.select(F.col(key).cast("string").alias("key"), F.unix_micros(ts).alias("us"), F.col(tie).cast("long").alias("tie"))
+    rows = events.select(F.col(key).cast("string").alias("key"), micros(ts).alias("us"), F.col(tie).cast("long").alias("tie"))
     return rows.groupBy("key").transformWithStateInPandas(_Throttle(interval), "key string, tie long", "append", "None")
 
 
@@ -106,5 +106,5 @@ class _Hysteresis(StatefulProcessor):
 
 def hysteresis(events: DataFrame, key: str, ratio: str, ts: str, tie: str) -> DataFrame:
     """The level of detail after each event of a camera; the level is state."""
-    rows = events.select(F.col(key).cast("string").alias("key"), F.unix_micros(ts).alias("us"), F.col(tie).cast("long").alias("tie"), F.col(ratio).cast("double").alias("ratio"))
+    rows = events.select(F.col(key).cast("string").alias("key"), micros(ts).alias("us"), F.col(tie).cast("long").alias("tie"), F.col(ratio).cast("double").alias("ratio"))
     return rows.groupBy("key").transformWithStateInPandas(_Hysteresis(), "key string, tie long, level double", "append", "None")
