@@ -118,10 +118,20 @@ def jumps(bits: int = 40, modulus: int = 1 << 24) -> list[tuple[int, int]]:
     return out
 
 
-def random_color(idx: Column, seed: int, bits: int = 40) -> Column:
-    """The colour after idx + 1 steps of the generator, by jumps: no row waits for another. Only 24 bits of the state show."""
+def _digits(a: int, c: int, base: int = 16, modulus: int = 1 << 24) -> tuple[list[int], list[int]]:
+    """Multipliers and addends of 0, 1, ... base - 1 jumps of one length."""
+    steps = [(1, 0)]
+    while len(steps) < base:
+        m, k = steps[-1]
+        steps.append((m * a % modulus, (k * a + c) % modulus))
+    return [m for m, _ in steps], [k for _, k in steps]
+
+
+def random_color(idx: Column, seed: int) -> Column:
+    """The colour after idx + 1 steps of the generator, by jumps: no row waits for another. Only 24 bits of the state show, and they return after 2^24 steps."""
     state = F.lit(seed % (1 << 24)).cast("long")
-    for k, (a, c) in enumerate(jumps(bits)):
-        bit = F.shiftright(idx + 1, k).bitwiseAND(1) == 1
-        state = (state * F.when(bit, a).otherwise(1) + F.when(bit, c).otherwise(0)) % (1 << 24)  # names the state once: the expression stays linear
+    for k, (a, c) in enumerate(jumps(24)[::4]):
+        digit = F.shiftright(idx + 1, 4 * k).bitwiseAND(15).cast("int") + 1
+        by, plus = (F.element_at(F.array(*(F.lit(v).cast("long") for v in values)), digit) for values in _digits(a, c))
+        state = (state * by + plus) % (1 << 24)  # names the state once: the expression stays linear and shallow
     return pack(*(F.round(ch / 2.0 + 64) for ch in unpack(state)))
