@@ -22,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_steps
+from .common import materialize, text_steps
 
 LETTERS = re.compile(r"[^\W\d_]+").findall
 LONGEST = 5
@@ -74,9 +75,10 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
                         counts[name, size, g] += n
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int32()), pa.array([k[2] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "size", "gram", "n"])
 
-    by_word = sample(train, key, lang, rows_per_lang).mapInArrow(words, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # both tables are read more than once: written, the sampled texts are counted once
+    by_word = materialize(sample(train, key, lang, rows_per_lang).mapInArrow(words, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "words")
     by_gram = by_word.mapInArrow(grams, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    both = by_word.select("lang", F.lit(0).alias("size"), "gram", "n").unionByName(by_gram)
+    both = materialize(by_word.select("lang", F.lit(0).alias("size"), "gram", "n").unionByName(by_gram), "grams")
     # counts in halving steps: the bounded number of (language, size, step) rows gives each table its least count
     steps = both.groupBy("lang", "size", F.floor(F.log2("n") * 4).cast("int").alias("step")).agg(F.count("*").alias("grams"), F.sum("n").alias("total")).collect()
     least, totals = {}, Counter()
@@ -91,16 +93,16 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         keep = keep | ((F.col("lang") == name) & (F.col("size") == size) & (F.floor(F.log2("n") * 4) >= step))
     langs = sorted({name for name, _ in least})
     at = {name: i for i, name in enumerate(langs)}
-    rows: dict[tuple[int, str], np.ndarray] = {}
-    for r in both.filter(keep).toLocalIterator():
-        rows.setdefault((r["size"], r["gram"]), np.zeros(len(langs)))[at[r["lang"]]] = r["n"]
-    model = {"langs": langs, "index": [{} for _ in range(LONGEST + 1)], "logs": []}
+    model = {"langs": langs, "index": [], "logs": []}
+    kept = both.filter(keep).toArrow()  # words_per_lang and grams_per_lang bound it
     for size in range(LONGEST + 1):
-        own = {g: v for (s, g), v in rows.items() if s == size}
-        model["index"][size] = {g: i for i, g in enumerate(own)}
-        seen = np.array(list(own.values()), np.float64).reshape(len(own), len(langs))
+        rows = kept.filter(pc.equal(kept["size"], size))
+        own = rows["gram"].combine_chunks().dictionary_encode()
+        model["index"].append({g: i for i, g in enumerate(own.dictionary.to_pylist())})
+        seen = np.zeros((len(own.dictionary), len(langs)))
+        seen[own.indices.to_numpy(zero_copy_only=False), [at[name] for name in rows["lang"].to_pylist()]] = rows["n"].to_numpy()
         total = np.array([totals[name, size] for name in langs], np.float64)
-        model["logs"].append(np.log((seen + 0.05) / (total + 0.05 * (len(own) + 1))) if langs else seen)
+        model["logs"].append(np.log((seen + 0.05) / (total + 0.05 * (len(own.dictionary) + 1))) if langs else seen)
     return model
 
 
