@@ -34,6 +34,8 @@ LONGEST = 5
 UND = "und"
 #: Words that a worker remembers before it starts afresh.
 CACHE_WORDS = 400_000
+#: Words of a text whose scores are added up at a time.
+SUM_WORDS = 1 << 16
 
 
 def fold(df: DataFrame, key: str, parts: int) -> Column:
@@ -107,47 +109,63 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 
 class Scorer:
+    """Predicts with a model; the scores of all new words of a step are found together and remembered."""
+
     def __init__(self, model: dict):
         self.langs, self.index, self.logs = model["langs"], model["index"], model["logs"]
         self.cache: dict[str, int] = {}
         self.rows = np.zeros((1 << 12, len(self.langs)))
 
-    def word(self, w: str) -> np.ndarray:
-        at = self.index[0].get(w)
-        if at is not None:
-            return self.logs[0][at]
-        for size in range(LONGEST, 0, -1):
-            hits = [i for g in _grams(w, size) if (i := self.index[size].get(g)) is not None]
-            if hits:
-                return self.logs[size][hits].mean(axis=0)
-        return np.zeros(len(self.langs))
-
-    def number(self, w: str) -> int:
-        at = self.cache.get(w)
-        if at is None:
-            at = self.cache[w] = len(self.cache)
-            if at == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[at] = self.word(w)
-        return at
+    def learn(self, new: list[str]) -> None:
+        """Adds words to the cache: a known word's own logs, else the mean of the longest n-grams of it that are known, else zeros."""
+        at = len(self.cache)
+        while at + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[at : at + len(new)] = 0
+        slots: list[list[int]] = [[] for _ in self.index]
+        hits: list[list[int]] = [[] for _ in self.index]
+        sizes: list[list[int]] = [[] for _ in self.index]
+        known, longer = self.index[0].get, [(n, self.index[n].get) for n in range(LONGEST, 0, -1)]
+        for slot, w in enumerate(new, at):
+            self.cache[w] = slot
+            if (own := known(w)) is not None:
+                slots[0].append(slot)
+                hits[0].append(own)
+                continue
+            marked = f"<{w}>"
+            for n, get in longer:
+                own = marked if n > 1 else w
+                if found := [i for k in range(len(own) - n + 1) if (i := get(own[k : k + n])) is not None]:
+                    slots[n].append(slot)
+                    hits[n] += found
+                    sizes[n].append(len(found))
+                    break
+        if slots[0]:
+            self.rows[slots[0]] = self.logs[0][hits[0]]
+        for n in range(1, LONGEST + 1):
+            if slots[n]:
+                count = np.array(sizes[n])
+                self.rows[slots[n]] = np.add.reduceat(self.logs[n][hits[n]], np.cumsum(count) - count, axis=0) / count[:, None]
+
+    def total(self, words: list[str]) -> np.ndarray:
+        at = np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
+        return sum(self.rows[at[k : k + SUM_WORDS]].sum(axis=0) for k in range(0, len(at), SUM_WORDS))
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
+        found = [LETTERS(t.lower()) for t in texts]
+        if self.langs:
+            self.learn([w for w in set().union(*found) if w not in self.cache])
         langs, scores = [], []
-        for t in texts:
-            words = LETTERS(t.lower())
+        for words in found:
             if not words or not self.langs:
                 langs.append(UND)
                 scores.append(0.0)
                 continue
-            try:
-                at = list(map(self.cache.__getitem__, words))
-            except KeyError:
-                at = list(map(self.number, words))
-            total = self.rows[at].sum(axis=0)
+            total = self.total(words)
             best = int(total.argmax())
-            weigh = (total - total[best]) * (min(len(at), 20) / len(at))
+            weigh = (total - total[best]) * (min(len(words), 20) / len(words))
             langs.append(self.langs[best])
             scores.append(float(1.0 / np.exp(weigh).sum()))
         return langs, scores
