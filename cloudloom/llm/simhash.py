@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from .common import materialize, text_steps
 from .graph import components
+from .setjoin import near_sets
 
 BITS = 64
 #: Fingerprints from which the partitions are planned; only speed depends on it.
@@ -165,8 +166,12 @@ def clusters(df: DataFrame, key: str = "doc_id", text: str = "text", words: int
     return fps.join(named, "fp").select(key, "fp", "component_id")
 
 
-def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, distance: int = 4) -> DataFrame:
-    """The rows of df, all columns, that are the first of their group of near-duplicates. Rows that share a key stay or go together; rows with a null key stay."""
-    found = clusters(df, key, text, words, distance)
+def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of df, all columns, that are the first of their group of near-duplicates. Rows that share a key stay or go together; rows with a null key stay.
+
+    Texts link if their shingle sets have at least this similarity, which is verified. Fingerprints find no candidates here: such
+    pairs lie many bits apart, where a search by bits compares nearly all pairs and still loses some; setjoin loses none.
+    """
+    found = near_sets(df, key, text, words, similarity)
     kept = found.filter(F.col(key).isNull() | (F.col(key) == F.col("component_id"))).select(F.col(key).alias("__kept")).distinct()
     return df.join(kept, F.col(key).eqNullSafe(F.col("__kept")), "left_semi")

@@ -423,3 +423,58 @@ def test_keep_first(spark):
     rows = [(3, prose(1, 200)), (1, prose(1, 200)), (2, prose(2, 200)), (None, prose(3, 200)), (4, None), (5, "")]
     got = simhash.keep_first(frame(spark, rows).withColumn("component_id", F.lit(0)))
     assert sorted(r["doc_id"] for r in got.collect() if r["doc_id"]) == [1, 2, 4]
+
+
+def _words_sets(text, words=5):
+    own = (text or "").lower().split()
+    return {tuple(own[i : i + words]) for i in range(max(1, len(own) - words + 1))} if own else set()
+
+
+def _plain_keep_first(rows, similarity=0.8):
+    sets = [_words_sets(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9:
+                root[top(i)] = top(j)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        if k is not None:
+            least[top(i)] = min(k, least.get(top(i), k))
+    kept = {k for i, (k, _) in enumerate(rows) if k is not None and least[top(i)] == k}
+    return sorted(repr(k) for k, _ in rows if k is None or k in kept)
+
+
+def test_keep_first_takes_every_similar_pair(spark, monkeypatch):
+    from cloudloom.llm import setjoin
+
+    r, rows = random.Random(3), []
+    for k in range(60):  # copies with 1 to 8 words of 150 replaced: similarities from 0.6 to 0.95
+        own = [f"w{r.randrange(5000)}" for _ in range(150)]
+        rows.append((len(rows), " ".join(own)))
+        for at in r.sample(range(150), 1 + k % 8):
+            own[at] = f"x{r.randrange(10**6)}"
+        rows.append((len(rows), " ".join(own)))
+    run = "a b c d e f g h i j " * 400  # a repeated run decides both fingerprints, not the sets
+    rows += [(len(rows) + i, run + prose(100 + i, 60)) for i in range(2)]
+    base = prose(90, 200).split()
+    for i in range(40):  # a group of near copies that share a common passage
+        own = list(base)
+        for at in r.sample(range(200), 3):
+            own[at] = f"y{i}_{at}"
+        rows.append((len(rows), " ".join(own)))
+    rows += [(len(rows) + i, prose(200 + i, 60) + " one common passage of many words that stays " + prose(300 + i, 9)) for i in range(20)]
+    rows += [*odd_docs(), (500, ""), (501, "X"), (502, None)]
+    rows = [(None if k is None else k + 1000 * (n > 185), t) for n, (k, t) in enumerate(rows)]
+    want = _plain_keep_first(rows)
+    for share, rounds in ((0.05, 6), (1.0, 0)):
+        monkeypatch.setattr(setjoin, "SHARE", share)
+        monkeypatch.setattr(setjoin, "ROUNDS", rounds)
+        assert sorted(repr(x["doc_id"]) for x in simhash.keep_first(frame(spark, rows)).collect()) == want
+    assert simhash.keep_first(frame(spark, [])).count() == 0
