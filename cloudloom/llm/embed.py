@@ -1,14 +1,15 @@
-"""Embedding near-duplicates by sorted projection passes.
+"""Embedding near-duplicates by random projection passes.
 
-Each pass signs a vector by random hyperplanes, concatenates the signs to one key, orders all vectors of
-a label lexicographically by it and compares each with its `window` predecessors in that order; pairs
-whose cosine (double precision) reaches the threshold are links, and links of all passes are united into
-components. The number of passes follows from the number of vectors, so that a pair exactly at the
-threshold is missed with probability `miss` at most. Windows only bound the search for components:
-all links of a vector lie in its component, and there they are counted exactly, tile against tile.
+Each pass signs a vector by random hyperplanes and compares all vectors of a label that agree in all
+signs, tile against tile; pairs whose cosine (double precision) reaches the threshold are links, and
+links of all passes are united into components. Two vectors at the threshold agree in one sign with a
+fixed probability whatever the others are, so the number of passes follows from the number of signs: a
+pair at the threshold is missed with probability `miss` at most, in dense labels too. Dense labels make
+larger buckets; the number of signs is chosen by measured bucket sizes. All links of a vector lie in its
+component, and there they are counted exactly, tile against tile.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows whose
-label is null, link with nothing; vectors of unlike length never link; ties in the order go by id; rows
+label is null, link with nothing; vectors of unlike length never link; rows
 that repeat an id never link with each other; an empty table has no rows; other columns are not read.
 """
 
@@ -16,11 +17,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +31,8 @@ from .graph import components
 
 KEY_BITS = 56
 TILE = 512
+#: Signs of a pass to choose from, and what a row of a pass costs in comparisons; only speed depends on them.
+BITS, ROW_COST = tuple(range(0, 41, 4)), 2000
 
 
 def unit_vectors(df: DataFrame, key: str, vec: str, label: str) -> DataFrame:
@@ -53,13 +56,23 @@ def unit_vectors(df: DataFrame, key: str, vec: str, label: str) -> DataFrame:
     return df.mapInArrow(run, T.StructType([df.schema["id"], T.StructField("label", T.StringType()), T.StructField("dim", T.IntegerType()), T.StructField("unit", T.BinaryType())]))
 
 
-def n_passes(n: int, threshold: float, window: int, miss: float) -> int:
-    """Passes after which a pair at the threshold has shared a window with probability 1 - miss."""
-    bits = max(1.0, math.log2(max(2, n) / window) + 2)
+def n_passes(bits: int, threshold: float, miss: float) -> int:
+    """Passes after which a pair at the threshold has agreed in all `bits` signs of one with probability 1 - miss."""
+    if not bits:
+        return 1
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return max(3, math.ceil(math.log(miss) / math.log(1 - min(agree, 0.95))))
 
 
+def n_bits(vectors: DataFrame, threshold: float, miss: float) -> int:
+    """The signs of a pass for which passes and comparisons cost least, by the bucket sizes of two passes; any number is right."""
+    keyed = _keyed(vectors, 2).select("step", "label", "dim", "order", F.explode(F.array(*map(F.lit, BITS))).alias("bits"))
+    sizes = keyed.groupBy("bits", "step", "label", "dim", F.expr(f"shiftright(order, {KEY_BITS} - bits)").alias("bucket")).agg(F.count("*").cast("double").alias("n"))
+    rows = sizes.groupBy("bits").agg((F.sum("n") / 2).alias("rows"), (F.sum(F.col("n") * F.col("n")) / 4).alias("pairs")).collect()
+    cost = {r["bits"]: n_passes(r["bits"], threshold, miss) * (ROW_COST * r["rows"] + r["pairs"]) for r in rows}
+    return min(cost, key=lambda b: (cost[b], b), default=0)
+
+
 def _planes(step: int, dim: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64([step, dim])).standard_normal((dim, KEY_BITS))
 
@@ -85,61 +98,66 @@ def _keyed(vectors: DataFrame, passes: int) -> DataFrame:
     return vectors.mapInArrow(run, T.StructType(fields))
 
 
-def _near(prev: pd.DataFrame, own: pd.DataFrame, window: int, threshold: float) -> tuple[list, list]:
-    """Pairs of each row of `own` with the `window` rows before it (those before the first are in prev)."""
-    both = pd.concat([prev, own], ignore_index=True)
-    group = (both[["step", "label", "dim"]] != both[["step", "label", "dim"]].shift()).any(axis=1).cumsum().to_numpy()
-    ids, a, b = both["id"].to_numpy(), [], []
-    for g in np.unique(group[len(prev) :]):
-        rows = np.flatnonzero(group == g)
-        x = np.frombuffer(b"".join(both["unit"].iloc[rows]), np.float64).reshape(len(rows), -1)
-        first = int((rows < len(prev)).sum())
-        for at in range(first, len(rows), TILE):
-            lo, hi = max(0, at - window), min(len(rows), at + TILE)
-            i, j = np.nonzero(x[at:hi] @ x[lo:hi].T >= threshold)
-            i, j = i + at, j + lo
-            ok = (j < i) & (i - j <= window)
-            a += ids[rows[i[ok]]].tolist()
-            b += ids[rows[j[ok]]].tolist()
-    return a, b
-
-
-def candidate_links(vectors: DataFrame, threshold: float = 0.98, window: int = 64, miss: float = 1e-4) -> DataFrame:
-    """Verified pairs (a, b) found by the passes."""
+def _forest(near: np.ndarray, n: int, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A least set of links that joins what the links near[i, j] between rows one[i] and two[j] of n rows join."""
+    i, j = np.nonzero(near)
+    i, j = one[i], two[j]
+    root = np.arange(n)
+    while len(i):  # each row takes the least root next to it until all links are within one
+        a, b = root[i], root[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        if not len(i):
+            break
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+    own = np.flatnonzero(root != np.arange(n))
+    return own, root[own]
+
+
+def candidate_links(vectors: DataFrame, threshold: float = 0.98, miss: float = 1e-4) -> DataFrame:
+    """Pairs (a, b) that join the same vectors as all verified pairs that the passes find."""
     spark = vectors.sparkSession
     idt = vectors.schema["id"].dataType
-    passes = n_passes(vectors.count(), threshold, window, miss)
-    keyed = _keyed(vectors, passes)
-    ordered = keyed.repartitionByRange(parallelism(spark), "step", "label", "dim", "order", "id").sortWithinPartitions("step", "label", "dim", "order", "id")
-    # kind 0: a link; kind 1 and 2: the last and the first rows of a part, to be compared across its edges
-    out = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("a", idt), T.StructField("b", idt), *keyed.schema.fields])
-    names = [f.name for f in keyed.schema.fields]
+    bits = n_bits(vectors, threshold, miss)
+    bucket = ["step", "label", "dim", "bucket"]
+    keyed = _keyed(vectors, n_passes(bits, threshold, miss)).withColumn("bucket", F.shiftright("order", KEY_BITS - bits) if bits else F.lit(0).cast("long")).drop("order")
+    keyed = keyed.repartition(parallelism(spark), *bucket)
+    sizes = keyed.groupBy(*bucket).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # a bucket of several tiles is compared tile against tile, in tasks of their own
+    split = keyed.join(sizes, bucket).withColumn("tile", F.pmod(F.xxhash64("id", "unit"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    place = [*bucket, "i", "j"]
+    split = split.select(*bucket, F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "unit")
+    ordered = split.repartition(parallelism(spark), *place).sortWithinPartitions(*place)
+
+    def compare(rows: pd.DataFrame) -> tuple[list, list]:
+        x = np.frombuffer(b"".join(rows["unit"]), np.float64).reshape(len(rows), -1)
+        tile, ids = rows["tile"].to_numpy(), rows["id"].to_numpy()
+        one, two = np.flatnonzero(tile == rows["i"].iloc[0]), np.flatnonzero(tile == rows["j"].iloc[0])
+        own, root = _forest(x[one] @ x[two].T >= threshold, len(rows), one, two)
+        return ids[own].tolist(), ids[root].tolist()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, tail, seen = TaskContext.get().partitionId(), None, 0
-        for whole in batches:
-            for at in range(0, len(whole), 4096):
-                own = whole.iloc[at : at + 4096]
-                tail = own.iloc[:0] if tail is None else tail
-                a, b = _near(tail, own, window, threshold)
-                if a:
-                    yield pd.DataFrame({"kind": 0, "part": part, "at": 0, "a": a, "b": b, **{n: None for n in names}})
-                if seen < window:
-                    yield own.iloc[: window - seen].assign(kind=2, part=part - 1, at=np.arange(seen, seen + len(own.iloc[: window - seen])), a=None, b=None)[out.names]
-                seen += len(own)
-                tail = pd.concat([tail, own]).iloc[-window:]
-        if tail is not None:
-            yield tail.assign(kind=1, part=part, at=np.arange(len(tail)), a=None, b=None)[out.names]
-
-    both = materialize(ordered.mapInPandas(run, out), "windows")
-
-    def edge(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["kind", "at"])
-        a, b = _near(rows[rows["kind"] == 1][names], rows[rows["kind"] == 2][names], window, threshold)
-        return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
-
-    across = both.filter("kind > 0").groupBy("part").applyInPandas(edge, T.StructType([T.StructField("a", idt), T.StructField("b", idt)]))
-    return both.filter("kind = 0").select("a", "b").unionByName(across).filter("a != b")
+        held = None
+        for rows in chain(batches, [None]):
+            if rows is not None:
+                held = rows if held is None else pd.concat([held, rows], ignore_index=True)
+            if held is None or not len(held):
+                continue
+            new = np.flatnonzero((held[place] != held[place].shift()).any(axis=1).to_numpy())
+            ends = [*new[1:].tolist(), *([len(held)] if rows is None else [])]
+            a, b = [], []
+            for lo, hi in zip(new.tolist(), ends, strict=False):  # the last group may go on in the next batch
+                if hi - lo > 1:
+                    own, root = compare(held.iloc[lo:hi])
+                    a += own
+                    b += root
+            held = held.iloc[new[-1] :] if rows is not None else None
+            if a:
+                yield pd.DataFrame({"a": a, "b": b})
+
+    return ordered.mapInPandas(run, T.StructType([T.StructField("a", idt), T.StructField("b", idt)])).filter("a != b").distinct()
 
 
 def link_counts(vectors: DataFrame, found: DataFrame, threshold: float = 0.98) -> DataFrame:
@@ -168,10 +186,10 @@ def link_counts(vectors: DataFrame, found: DataFrame, threshold: float = 0.98) -
     return got.groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def near_duplicates(df: DataFrame, key: str = "vec_id", vec: str = "embedding", label: str = "label", threshold: float = 0.98, window: int = 64, miss: float = 1e-4) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "vec_id", vec: str = "embedding", label: str = "label", threshold: float = 0.98, miss: float = 1e-4) -> DataFrame:
     """key, n_links, component_id and kept (the least id of its component) of every row."""
     vectors = materialize(unit_vectors(df, key, vec, label), "vectors")
-    found = materialize(components(candidate_links(vectors, threshold, window, miss)), "components")
+    found = materialize(components(candidate_links(vectors, threshold, miss)), "components")
     counts = link_counts(vectors, found, threshold)
     named = found.join(counts, found.node == counts.id, "left").select("node", "component", "n")
     return df.select(key).join(named, F.col(key) == F.col("node"), "left").select(

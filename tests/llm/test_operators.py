@@ -297,6 +297,23 @@ def test_embeddings_recall_and_counts(spark):
     assert embed.near_duplicates(df.filter("false")).count() == 0
 
 
+def test_embeddings_recall_in_a_dense_cone(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    axis = unit(r.standard_normal((1, 64)))
+    cone = unit(axis + unit(r.standard_normal((6000, 64))) / 3)  # mutual cosine 0.9
+    n = 300
+    step = unit(r.standard_normal((n, 64)))
+    step = unit(step - (step * cone[:n]).sum(axis=1, keepdims=True) * cone[:n])
+    cone[n : 2 * n] = 0.981 * cone[:n] + np.sqrt(1 - 0.981**2) * step
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(cone)], "vec_id long, embedding array<double>, label int")
+    near = cone @ cone.T >= 0.98
+    want = {i: int(near[i].sum()) - 1 for i in range(len(cone))}
+    for bits in (embed.BITS, (4,)):
+        monkeypatch.setattr(embed, "BITS", bits)
+        assert {g["vec_id"]: g["n_links"] for g in embed.near_duplicates(df).collect()} == want
+
+
 def test_components(spark):
     r = random.Random(1)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1100)] + [(5, 5), (None, 3)]
