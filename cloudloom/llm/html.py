@@ -6,8 +6,8 @@ element; a menu, header, footer, sidebar, notice, advert, form or comment elemen
 role). A decision tree, fitted to the small labelled table LABELLED, keeps or drops the block.
 
 Defined cases: null, empty or blank html has the empty text; pages of any length are read whole;
-unclosed and misnested tags close with the element around them, an unclosed script or style runs to the
-end; repeated rows give repeated results; columns besides those asked for are not read.
+unclosed and misnested tags close with the element around them, an unclosed script, style, textarea or
+title runs to the end, a self-closed svg or math is empty; repeated rows give repeated results; columns besides those asked for are not read.
 """
 
 from __future__ import annotations
@@ -88,8 +88,10 @@ LABELLED = """
  33 0.0   2 1.0   3 1.0 0 0 1
  26 0.1   6 0.0  30 0.0 0 0 1
 """
-#: Elements whose text is never shown as text.
-SILENT = ("script", "style", "noscript", "template", "textarea", "select", "svg", "math", "iframe", "object", "canvas", "audio", "video", "title", "button", "datalist")
+#: Elements whose text runs to their end tag, or to the end of the page.
+RAW = ("script", "style", "textarea", "title")
+#: Other elements whose text is never shown as text; unclosed ones close with the element around them.
+SILENT = frozenset("noscript template select svg math iframe object canvas audio video button datalist".split())
 BOILER_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
 BOILER_WORDS = frozenset(
     "nav navbar navigation menu menus header masthead footer sidebar side aside ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay"
@@ -101,7 +103,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(SILENT) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|([^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<(?!title\s*/>)(" + "|".join(RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|([^<]+|<)",
     re.S | re.I,
 )
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -131,6 +133,7 @@ def blocks(html: str) -> list[tuple[str, int, int, int, int]]:
     out: list[tuple[str, int, int, int, int]] = []
     open_tags: list[tuple[str, int, int]] = []
     parts: list[str] = []
+    silent: list[str] = []  # an open silent element and what is open inside
     links = article = boiler = 0
     linked = 0
 
@@ -146,6 +149,8 @@ def blocks(html: str) -> list[tuple[str, int, int, int, int]]:
     for m in _TOKEN.finditer(html):
         text = m[5]
         if text is not None:
+            if silent:
+                continue
             parts.append(text)
             if links:
                 linked += len(text.split())
@@ -156,6 +161,25 @@ def blocks(html: str) -> list[tuple[str, int, int, int, int]]:
                 parts.append(" ")
             continue
         tag = tag.lower()
+        if silent:
+            if tag in VOID:
+                continue
+            if not m[2]:
+                if not m[4].endswith("/"):
+                    silent.append(tag)
+                continue
+            if tag in silent:
+                while silent.pop() != tag:  # the innermost of that name, and what is open in it
+                    pass
+                continue
+            silent.clear()  # the end of an element around it
+        elif tag in SILENT and not m[2]:
+            parts.append(" ")
+            if not (tag in ("svg", "math") and m[4].endswith("/")):
+                silent.append(tag)
+            continue
+        if tag in SILENT:
+            continue
         if tag in INLINE:
             if tag == "a":
                 links = 0 if m[2] else 1

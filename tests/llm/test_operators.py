@@ -117,6 +117,18 @@ def test_html_without_article():
     assert html.main_text(page) == "\n".join(" ".join(prose(k, 60).split()) for k in range(4))
 
 
+def test_html_silent_elements_end():
+    shown = lambda page: [b[0] for b in html.blocks(page)]
+    assert shown('<p>a <svg width="1"/> b</p><p>c</p>') == ["a b", "c"] == shown("<p>a <math/> b</p><p>c</p>")
+    for tag in html.SILENT:
+        assert shown(f"<p>a <{tag}>x</{tag}> b</p><p>c</p>") == ["a b", "c"]
+        assert shown(f"<div><p>a</p><div><{tag}>x</div><p>b</p></div><p>c</p>") == ["a", "b", "c"]
+        assert shown(f"<p>a <{tag}><b>x</b><i>y<div><p>z</p></{tag}>b</p><p>c</p>") == ["a b", "c"]
+    assert shown("<p>a <a href=x><svg><path d='M0'/></a> b</p><svg><svg>x</svg>y</svg><p>c</p>") == ["a b", "c"]
+    for tag in html.RAW:
+        assert shown(f"<p>a</p><{tag}>x<p>b</p>") == ["a"]
+
+
 def test_html_query(spark, sf):
     rows = queries.op2_html_extraction(spark, sf).collect()
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
