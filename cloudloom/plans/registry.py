@@ -222,7 +222,7 @@ def base_cache_stride(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{_with('c1')}, p AS (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS pos FROM c1), l(level, step) AS (VALUES (1.0::DOUBLE, 1), (0.5::DOUBLE, 2), (0.25::DOUBLE, 4), (0.1::DOUBLE, 10), (0.05::DOUBLE, 20)) SELECT level, (pos // step)::BIGINT AS pos, idx FROM p, l WHERE pos % step = 0")
 def lod_levels(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.levels(sampling.base_cache(clouds.events(spark, sf)))
+    return sampling.levels(sampling.by_density(clouds.events(spark, sf), 1.0))
 
 
 @query(f"{_with('c1')} SELECT idx, CASE WHEN r <= 1.5 THEN 1.0 WHEN r <= 2.5 THEN 0.5 WHEN r <= 3.5 THEN 0.25 WHEN r <= 5.0 THEN 0.1 ELSE 0.05 END::DOUBLE AS level FROM (SELECT idx, z / 80.0 AS r FROM c1)")
@@ -516,7 +516,7 @@ def anti_remainder(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{_with('c1')}, p AS (SELECT idx, rgb, row_number() OVER (ORDER BY idx) - 1 AS pos FROM c1), l(level, step) AS (VALUES (1.0::DOUBLE, 1), (0.5::DOUBLE, 2), (0.25::DOUBLE, 4), (0.1::DOUBLE, 10), (0.05::DOUBLE, 20)) SELECT level, (pos // step)::BIGINT AS pos, idx, rgb FROM p, l WHERE pos % step = 0")
 def lod_color_join(spark: SparkSession, sf: str) -> DataFrame:
     p = clouds.events(spark, sf)
-    return updates.recolor(sampling.levels(sampling.base_cache(p)), p)
+    return updates.recolor(sampling.levels(sampling.by_density(p, 1.0)), p)
 
 
 @query(f"{_with('c1')} SELECT idx, x, y, z FROM c1 WHERE idx % 10 = 3")

@@ -1,5 +1,6 @@
 import pytest
 
+from cloudloom.operators import sampling
 from cloudloom.plans import registry
 
 
@@ -18,3 +19,9 @@ def test_entry_and_keys(spark):
 
     assert e.entry(spark).columns == ["idx", "rgb"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["lod_levels", "lod_color_join"])
+def test_levels_hold_all_rows_beyond_the_display_limit(name, spark, sf, same_as_sql, monkeypatch):
+    monkeypatch.setattr(sampling.base_cache, "__defaults__", (1.0, 100, "head"))
+    same_as_sql(registry.QUERIES[name](spark, sf), registry.ORACLE_SQL[name])
