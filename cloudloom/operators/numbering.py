@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _range_of(by: Column, low: float, high: float, n: int) -> Column:
+def range_of(by: Column, low: float, high: float, n: int) -> Column:
     width = (high - low) / n
     return F.lit(0) if width <= 0 else F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor((by.cast("double") - F.lit(low)) / F.lit(width)).cast("int")))
 
@@ -24,7 +24,7 @@ def positions(df: DataFrame, by: str = "idx", tie: str | None = None, descending
     if edge["lo"] is None:
         return df.withColumn(name, F.lit(None).cast("long"))
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    part = _range_of(order, edge["lo"], edge["hi"], n)
+    part = range_of(order, edge["lo"], edge["hi"], n)
     sizes = {r["part"]: r["count"] for r in df.groupBy(part.alias("part")).count().collect()}
     before = [0, *accumulate(sizes.get(i, 0) for i in range(n))]
     window = Window.partitionBy("__part").orderBy(order, *([F.col(tie)] if tie else []))

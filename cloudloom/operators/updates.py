@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import AXES
+from .numbering import range_of
 
 
 def append(cloud: DataFrame, batch: DataFrame) -> DataFrame:
@@ -47,10 +48,20 @@ def register(catalog: DataFrame, new: DataFrame, uid: str = "import_uid") -> Dat
 
 
 def unique_names(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """The first cloud of a name keeps it, the next are `name (2)`, `name (3)` ..."""
+    """The first cloud of a name keeps it, the next are `name (2)`, `name (3)` ... `order` is numeric.
+
+    Rows are numbered within ranges of a name and start where the counts of its ranges before end: a common name is not one task.
+    """
     base = F.when(F.trim(F.coalesce(F.col(name), F.lit(""))) == "", F.lit("Point Cloud")).otherwise(F.col(name))
-    k = F.row_number().over(Window.partitionBy("__base").orderBy(order))
-    return rows.withColumn("__base", base).withColumn("unique_name", F.when(k == 1, F.col("__base")).otherwise(F.concat("__base", F.lit(" ("), k.cast("string"), F.lit(")")))).drop("__base")
+    edge = rows.agg(F.min(order).cast("double").alias("lo"), F.max(order).cast("double").alias("hi")).first()
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    part = F.lit(0) if edge["lo"] is None else range_of(F.col(order), edge["lo"], edge["hi"], n)
+    rows = rows.withColumn("__base", base).withColumn("__part", part)
+    sizes = rows.groupBy("__base", "__part").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy("__base").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__base", "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    k = F.col("__start") + F.row_number().over(Window.partitionBy("__base", "__part").orderBy(order))
+    return rows.join(starts, ["__base", "__part"]).withColumn("unique_name", F.when(k == 1, F.col("__base")).otherwise(F.concat("__base", F.lit(" ("), k.cast("string"), F.lit(")")))).drop("__base", "__part", "__start")
 
 
 def remove(catalog: DataFrame, uids: DataFrame, uid: str = "import_uid") -> DataFrame:

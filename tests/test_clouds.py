@@ -225,3 +225,19 @@ def test_settings():
     assert (s.startup_cap, s.invalidate_interval_ms, s.batch_vertices_limit, s.chunk_capacity, s.max_points_sampled, s.octree_max_points_per_node, s.octree_max_depth, s.density) == (123, 450, 789, 321, 654, 987, 11, 1.0)
     assert s.with_preset("fast").density == 0.35 and s.changed(density=0.5).import_preset == "custom"
     assert Settings.from_json(s.to_json()) == s
+
+
+def test_unique_names_of_a_common_name_in_ranges(spark):
+    from cloudloom.operators import updates
+
+    rows = [(i, "a" if i % 9 else None) for i in range(900)]
+    out = updates.unique_names(spark.createDataFrame(rows, "id long, name string"), "name", "id")
+    assert out.columns == ["id", "name", "unique_name"]
+    want, seen = {}, {}
+    for i, name in rows:
+        name = name or "Point Cloud"
+        k = seen[name] = seen.get(name, 0) + 1
+        want[i] = name if k == 1 else f"{name} ({k})"
+    assert {r["id"]: r["unique_name"] for r in out.collect()} == want
+    windows = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number" in line]
+    assert windows and all("__part" in line for line in windows)  # a task holds a range of a name, not a name
