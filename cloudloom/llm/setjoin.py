@@ -134,7 +134,7 @@ def near_sets(df: DataFrame, key: str, text: str, words: int, similarity: float)
     shared = materialize(shared, "shared")
     bags = materialize(_bags(df, text, words).join(shared.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]), "bags")
     fits = (F.col("n_a") >= similarity * F.col("n_b") - 1e-9) & (F.col("n_b") >= similarity * F.col("n_a") - 1e-9)
-    links = found = None
+    links = found = before = None
     for turn in range(ROUNDS + 1):
         now = shared.withColumn("component", F.col("sid"))
         if found is not None:
@@ -146,7 +146,9 @@ def near_sets(df: DataFrame, key: str, text: str, words: int, similarity: float)
         if not size["rows"]:
             break
         now = now.join(open_.select("g", "low", "high"), "g")
-        last = turn == ROUNDS or size["pairs"] <= 4 * size["rows"]
+        # the rest is compared once it is small or a round hardly lessens it
+        last = turn == ROUNDS or size["pairs"] <= 4 * size["rows"] or (before is not None and size["pairs"] > 0.9 * before)
+        before = size["pairs"]
         if last:
             other = now.select("g", F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("in_b"))
             pairs = now.select("g", F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("in_a")).join(other, "g").filter((F.col("a") < F.col("b")) & (F.col("in_a") != F.col("in_b")) & fits)
