@@ -23,7 +23,7 @@ def _stars(links: DataFrame, small: bool) -> DataFrame:
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """links (a, b) of comparable ids -> (node, component): the least node reachable, for each node that has a link.
 
-    Alternates large-star and small-star steps until nothing changes. Each round is written to the
+    Alternates large-star and small-star steps until nothing changes; raises if `rounds` steps do not get there. Each round is written to the
     shared folder, so a lost executor costs one round at most. Self links and repeats are ignored,
     no links give no rows. The driver only ever sees one row of sums.
     """
@@ -35,4 +35,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             break
         before = mark
         now = materialize(_stars(_stars(now, small=False), small=True), "stars")
+    else:
+        raise RuntimeError(f"components: links still change after {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

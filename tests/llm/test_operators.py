@@ -339,6 +339,11 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_never_returns_unfinished_ones(spark):
+    with pytest.raises(RuntimeError):
+        graph.components(spark.createDataFrame([(k, k + 1) for k in range(100)], "a long, b long"), rounds=1)
+
+
 # --- decontamination -------------------------------------------------------------------------------
 
 
