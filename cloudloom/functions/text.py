@@ -9,7 +9,8 @@ from ..operators.aggregates import finite
 
 
 def fixed(v: Column, places: int) -> Column:
-    return F.format_string(f"%.{places}f", v)
+    """v with so many places, rounded from its binary value (format_string rounds the shortest decimal digits instead)."""
+    return F.regexp_replace(F.format_number(v.cast("double"), places), ",", "")
 
 
 def count(v: Column, suffix: str = "") -> Column:
@@ -93,7 +94,7 @@ def stem(path: Column) -> Column:
 
 
 def point(x: Column, y: Column, z: Column) -> Column:
-    return F.format_string("(%.3f, %.3f, %.3f)", x, y, z)
+    return F.concat(F.lit("("), F.concat_ws(", ", *(fixed(c, 3) for c in (x, y, z))), F.lit(")"))
 
 
 def memory_limit(s: Column) -> Column:

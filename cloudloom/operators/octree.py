@@ -64,16 +64,19 @@ def stats(tree: DataFrame) -> DataFrame:
     return tree.agg(F.count("*").alias("total_nodes"), F.count_if(leaf).alias("leaf_count"), F.avg(F.when(leaf, F.col("n"))).alias("avg_points_per_leaf"), F.max("depth").alias("max_depth"))
 
 
-def node_boxes(tree: DataFrame, box: Box, depth: int = 8) -> DataFrame:
-    """tree with the box of each node."""
-    df = tree.withColumns({f"{n}_{a}": F.lit(float(getattr(box, f"{n}_{a}"))) for n in ("min", "max") for a in AXES})
-    for k in range(depth):
-        digit = F.substring("node", k + 1, 1).try_cast("int")
-        here = F.col("depth") > k
-        mid = {a: (F.col(f"min_{a}") + F.col(f"max_{a}")) / 2 for a in AXES}
+def node_box(node: Column, box: Box) -> Column:
+    """The box of a node as a struct: a fold over the digits of its path, so the expression has one size at every depth."""
+    names = [f"{n}_{a}" for n in ("min", "max") for a in AXES]
+    whole = F.struct(*(F.lit(float(getattr(box, n))).alias(n) for n in names))
+
+    def halve(b: Column, digit: Column) -> Column:
+        mid = {a: (b[f"min_{a}"] + b[f"max_{a}"]) / 2 for a in AXES}
         up = {a: F.shiftright(digit, i).bitwiseAND(1) == 1 for i, a in enumerate(AXES)}
-        df = df.withColumns({f"min_{a}": F.when(here & up[a], mid[a]).otherwise(F.col(f"min_{a}")) for a in AXES} | {f"max_{a}": F.when(here & ~up[a], mid[a]).otherwise(F.col(f"max_{a}")) for a in AXES})
-    return df
+        low = [F.when(up[a], mid[a]).otherwise(b[f"min_{a}"]).alias(f"min_{a}") for a in AXES]
+        return F.struct(*low, *(F.when(up[a], b[f"max_{a}"]).otherwise(mid[a]).alias(f"max_{a}") for a in AXES))
+
+    digits = F.transform(F.filter(F.split(node, ""), lambda d: d != ""), lambda d: d.cast("int"))
+    return F.aggregate(digits, whole, halve)
 
 
 def box_corners(lo: tuple[Column, ...], hi: tuple[Column, ...]) -> list[tuple[Column, Column, Column]]:
@@ -107,8 +110,9 @@ def frustum(eye: tuple, target: tuple, up: tuple = (0.0, 0.0, 1.0), fov: float =
     width = height * aspect
     corner = lambda v, h: tuple(f + a * v * height + s * h * width for f, a, s in zip(forward, above, side, strict=True))
     out = [(at(near), forward), (at(far), tuple(-c for c in forward))]
-    for a, b in (((-1, -1), (1, -1)), ((1, 1), (-1, 1)), ((1, 1), (1, -1)), ((-1, -1), (-1, 1))):
-        normal = cross(corner(*a), corner(*b))
+    rim = [(-1, -1), (1, -1), (1, 1), (-1, 1)]
+    for k in range(4):  # once around the far end: each side spans two neighbouring corners
+        normal = cross(corner(*rim[k]), corner(*rim[(k + 1) % 4]))
         if any(normal):
             normal = unit(normal)
             if sum(n * f for n, f in zip(normal, forward, strict=True)) < 0:
@@ -122,44 +126,53 @@ def plane_distance(plane: tuple[tuple, tuple], at: tuple[Column, Column, Column]
     return (at[0] - px) * nx + (at[1] - py) * ny + (at[2] - pz) * nz
 
 
-def _corners() -> list[tuple]:
-    return box_corners(tuple(F.col(f"min_{a}") for a in AXES), tuple(F.col(f"max_{a}") for a in AXES))
+def _extreme(box: Column, plane: tuple[tuple, tuple], most: bool) -> Column:
+    """The largest (or least) distance of a corner of the box: each axis takes its own end, as rounded sums grow with their terms."""
+    pick = F.greatest if most else F.least
+    part = [pick(*((box[f"{n}_{a}"] - plane[0][i]) * plane[1][i] for n in ("min", "max"))) for i, a in enumerate(AXES)]
+    return part[0] + part[1] + part[2]
 
 
-def intersects(planes: list) -> Column:
-    """Not all corners of the row's box lie behind one plane."""
+def intersects(box: Column, planes: list) -> Column:
+    """Not all corners of the box (a struct) lie behind one plane."""
     out = F.lit(bool(planes))
     for p in planes:
-        out = out & (F.greatest(*(plane_distance(p, c) for c in _corners())) >= 0.0)
+        out = out & (_extreme(box, p, True) >= 0.0)
     return out
 
 
-def contains(planes: list) -> Column:
+def contains(box: Column, planes: list) -> Column:
     out = F.lit(bool(planes))
     for p in planes:
-        out = out & (F.least(*(plane_distance(p, c) for c in _corners())) >= 0.0)
+        out = out & (_extreme(box, p, False) >= 0.0)
     return out
 
 
-def frustum_leaves(tree: DataFrame, box: Box, planes: list, depth: int = 8) -> DataFrame:
+def _marked(tree: DataFrame, box: Box, planes: list) -> DataFrame:
+    """tree with meets and inside. The box is named once (a lambda variable), so no optimizer rule multiplies its expression."""
+    both = F.transform(F.array(node_box(F.col("node"), box)), lambda b: F.struct(intersects(b, planes).alias("meets"), contains(b, planes).alias("inside")))
+    return tree.withColumn("__m", both[0]).select(*tree.columns, F.col("__m.meets").alias("meets"), F.col("__m.inside").alias("inside"))
+
+
+def frustum_leaves(tree: DataFrame, box: Box, planes: list) -> DataFrame:
     """The leaves that meet the frustum, and whether they lie inside. A box behind a plane has all its children behind it, so leaves alone decide."""
-    return node_boxes(tree.filter("leaf"), box, depth).filter(intersects(planes)).select("node", "depth", "n", contains(planes).alias("inside"))
+    return _marked(tree.filter("leaf"), box, planes).filter("meets").select("node", "depth", "n", "inside")
 
 
 def frustum_query(points: DataFrame, planes: list, most: int, depth: int = 8) -> DataFrame:
     """All points of the leaves that meet the frustum (whole leaves, no test of single points), with leaf."""
     box = box_of(points)
     placed = paths(points, box, depth)
-    seen = frustum_leaves(nodes(placed, most, depth), box, planes, depth).select(F.col("node").alias("leaf"))
+    seen = frustum_leaves(nodes(placed, most, depth), box, planes).select(F.col("node").alias("leaf"))
     ups = placed.select("path").distinct().select("path", F.explode(F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda d: F.substring(F.col("path"), F.lit(1), d))).alias("leaf"))
     return placed.join(ups.join(seen, "leaf"), "path").drop("path")
 
 
-def frustum_stats(tree: DataFrame, box: Box, planes: list, depth: int = 8) -> DataFrame:
+def frustum_stats(tree: DataFrame, box: Box, planes: list) -> DataFrame:
     """Nodes visited and culled, and points returned. Below a node inside the frustum nothing is visited."""
-    marked = node_boxes(tree, box, depth).select("node", "depth", "n", "leaf", intersects(planes).alias("meets"), contains(planes).alias("inside"))
+    marked = _marked(tree, box, planes)
     stop = marked.filter(~F.col("meets") | F.col("inside")).select(F.col("node").alias("above"))
-    ups = marked.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda d: F.substring(F.col("node"), F.lit(1), d))).alias("above")).filter(F.length("above") < F.col("depth"))
+    ups = marked.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.length("node")), lambda d: F.substring(F.col("node"), F.lit(1), d))).alias("above")).filter(F.length("above") < F.col("depth"))
     hidden = ups.join(stop, "above", "left_semi").select("node").distinct()
     seen = marked.join(hidden, "node", "left_anti")
     taken = F.col("inside") | (F.col("leaf") & F.col("meets"))

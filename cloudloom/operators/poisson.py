@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.units import INCHES_PER_METER
 from .aggregates import AXES, box_of, distance2, whole_point
 from .numbering import positions
+from .lineage import written
 from .spatial import curvature, radius_join
 
 TARGET, MIN_METERS = 50_000, 0.05
@@ -27,13 +28,13 @@ def adaptive_radius(distance: float, bounding: float, target: int = TARGET, leas
 
 def greedy(candidates: DataFrame, blocks: DataFrame, target: int | None = None) -> DataFrame:
     """candidates (idx, rank), blocks (early, late: idx of a pair, the first excludes the second if taken) -> taken rows (idx, rank)."""
-    state = candidates.select("idx", "rank", F.lit(0).alias("state")).checkpoint()  # 0 open, 1 taken, 2 excluded
-    pairs = blocks.select("early", "late").checkpoint()
+    state = written(candidates.select("idx", "rank", F.lit(0).alias("state")))  # 0 open, 1 taken, 2 excluded
+    pairs = written(blocks.select("early", "late"))
     while True:
         early = pairs.join(state.select(F.col("idx").alias("early"), F.col("state").alias("was")), "early").filter("was != 2")
         worst = early.groupBy(F.col("late").alias("idx")).agg(F.max(F.when(F.col("was") == 1, 2).otherwise(1)).alias("by"))
         now = F.when(F.col("state") != 0, F.col("state")).when(F.col("by").isNull(), 1).when(F.col("by") == 2, 2).otherwise(0)
-        state = state.join(worst, "idx", "left").select("idx", "rank", now.alias("state")).checkpoint()
+        state = written(state.join(worst, "idx", "left").select("idx", "rank", now.alias("state")))
         if state.filter("state = 0").isEmpty():
             break
     taken = state.filter("state = 1").select("idx", "rank")
@@ -53,7 +54,7 @@ def candidate_order(points: DataFrame) -> DataFrame:
 
 def poisson(points: DataFrame, target: int = TARGET, least: float = MIN_METERS * INCHES_PER_METER) -> DataFrame:
     """The Poisson-disk sample: idx, rank."""
-    ranked = candidate_order(points).checkpoint()
+    ranked = written(candidate_order(points))
     bounding = ranked.agg(F.max("distance")).first()[0] or 0.0
     base = max(bounding / math.sqrt(target + 1.0) if bounding > 0 else least, least)
     own = ranked.select("idx", "rank", (F.lit(base) * (1.0 + 0.5 * (F.least(F.col("distance") / F.lit(bounding), F.lit(1.0)) if bounding > 0 else F.lit(0.0)))).alias("r"))
@@ -66,7 +67,7 @@ def poisson(points: DataFrame, target: int = TARGET, least: float = MIN_METERS *
 def curvature_sample(points: DataFrame, radius: float, exclude: float, target: int = TARGET) -> DataFrame:
     """Points of positive curvature, most curved first, none within `exclude` of an earlier one: idx, rank."""
     bent = curvature(points, radius).filter("curvature > 0")
-    ranked = _ranked(bent, "curvature").select("idx", "rank").checkpoint()
+    ranked = written(_ranked(bent, "curvature").select("idx", "rank"))
     p = points.join(ranked, "idx").select("idx", "rank", *AXES)
     near = radius_join(p.select("idx", *AXES), p.select("idx", *AXES), exclude, same=False)
     pairs = near.join(ranked.select(F.col("idx").alias("q_idx"), F.col("rank").alias("q_rank")), "q_idx").join(ranked, "idx")

@@ -87,6 +87,17 @@ def next_level(ratio: Column, level: Column) -> Column:
     return F.when(ratio.isNull() | F.isnan(ratio), F.lit(1.0)).when(level.isNull(), first_level(ratio)).otherwise(out)
 
 
+def step_level(ratio: float, level: int | None) -> int:
+    """next_level for a single value, by the number of the level (None: the camera had none)."""
+    if ratio is None or math.isnan(ratio):
+        return 0
+    if level is None or ratio > LEVELS[level][2]:
+        return next((k for k in range(level or 0, len(LEVELS)) if ratio <= LEVELS[k][2]), len(LEVELS) - 1)
+    if ratio < LEVELS[level][1]:
+        return next((k for k in range(level, 0, -1) if ratio >= LEVELS[k][1]), 0)
+    return level
+
+
 def fade(elapsed: Column) -> Column:
     return F.least(F.greatest(elapsed / FADE_SECONDS, F.lit(0.0)), F.lit(1.0))
 

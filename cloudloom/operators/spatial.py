@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import AXES, Box, box_of, whole_point
+from .lineage import written
 
 _CELL = ("cx", "cy", "cz")
 
@@ -56,19 +57,21 @@ def nearest_join(queries: DataFrame, points: DataFrame, k: int = 1, most: float
     out, left = None, queries
     while True:
         found = radius_join(left, points, size, same)
-        # aggregated per query before anything else: the k least (distance, idx)
-        best = found.groupBy("q_idx").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(F.struct("d2", "idx"))), 1, k).alias("best")) if k > 1 else found.groupBy("q_idx").agg(F.count("*").alias("n"), F.array(F.min(F.struct("d2", "idx"))).alias("best"))
+        # the k least (distance, idx) of a query: each task keeps k of its rows before they are shuffled
+        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("q_idx").orderBy("d2", "idx"))).filter(F.col("rank") <= k).select("q_idx", "rank", "idx", "d2")
         last = size >= reach or (most is not None and size >= most)
-        done = best if last else best.filter(F.col("n") >= k)
-        out = done if out is None else out.unionByName(done)
         if last:
+            out = ranked if out is None else out.unionByName(ranked)
             break
-        left = left.join(done.select(F.col("q_idx").alias("idx")), "idx", "left_anti").persist()
+        ranked = written(ranked)
+        full = ranked.filter(F.col("rank") == k).select("q_idx")
+        done = ranked.join(full, "q_idx", "left_semi")
+        out = done if out is None else out.unionByName(done)
+        left = written(left.join(full.select(F.col("q_idx").alias("idx")), "idx", "left_anti"))
         if left.isEmpty():
             break
         size = min(size * 2, most) if most is not None else size * 2
-    rows = out.select("q_idx", F.posexplode("best").alias("pos", "b")).select("q_idx", (F.col("pos") + 1).alias("rank"), "b.idx", "b.d2")
-    return rows.filter(F.col("d2") <= most * most) if most is not None else rows
+    return out.filter(F.col("d2") <= most * most) if most is not None else out
 
 
 def slab(origin: tuple[Column, ...], direction: tuple[Column, ...], lo: tuple[Column, ...], hi: tuple[Column, ...]) -> tuple[Column, Column, Column]:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .aggregates import micros
 
@@ -74,31 +79,50 @@ def suppress_repeats(rows: DataFrame, job: str, text: str, ts: str, tie: str) ->
     return runs.groupBy(job, "run").agg(F.first(text).alias(text), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("n"))
 
 
-def throttle(rows: DataFrame, job: str, ts: str, tie: str, interval: float) -> DataFrame:
-    """Events at least `interval` seconds after the last one let through. Sequential within a job: a fold over its ordered events.
+def _in_order(rows: DataFrame, job: str, *by: str | Column) -> DataFrame:
+    """The events of a job in one partition, in order: they flow through it in batches and are never held together."""
+    return rows.repartition(F.col(job)).sortWithinPartitions(job, *by)
 
-    A job's events are folded in one task; split long jobs by time first if one job is unbounded.
-    """
-    packed = rows.groupBy(job).agg(F.array_sort(F.collect_list(F.struct(micros(ts).alias("us"), F.col(tie).alias("tie")))).alias("e"))
-    micros = int(round(interval * 1e6))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.expr("cast(array() as array<bigint>)").alias("out"))
 
-    def step(acc: Column, e: Column) -> Column:
-        go = acc["last"].isNull() | (e["us"] - acc["last"] >= micros)
-        return F.struct(F.when(go, e["us"]).otherwise(acc["last"]).alias("last"), F.when(go, F.concat(acc["out"], F.array(e["tie"].cast("long")))).otherwise(acc["out"]).alias("out"))
+def throttle(rows: DataFrame, job: str, ts: str, tie: str, interval: float) -> DataFrame:
+    """Events at least `interval` seconds after the last one let through, and the first of each job.
 
-    return packed.select(job, F.explode(F.aggregate("e", start, step)["out"]).alias(tie))
+    An event that comes `interval` or more after the one before is always let through, so a job falls into
+    bursts that are folded apart, each in a stream of sorted batches: only the time last let through is held.
+    """
+    step = int(round(interval * 1e6))
+    timed = rows.select(job, tie, micros(ts).alias("__us"))
+    window = Window.partitionBy(job).orderBy("__us", tie)
+    new = F.coalesce((F.col("__us") - F.lag("__us").over(window) >= step).cast("int"), F.lit(1))
+    bursts = timed.withColumn("__new", new).withColumn("__burst", F.sum("__new").over(window))
+    ordered = bursts.select(job, tie, "__us", "__burst").repartition(F.col(job), F.col("__burst")).sortWithinPartitions(job, "__burst", "__us", tie)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, last = None, 0
+        for b in batches:
+            us, burst, keys = b["__us"].to_numpy(), b["__burst"].to_numpy(), b[job].to_numpy()
+            go = np.zeros(len(b), bool)
+            for i in range(len(b)):
+                if at != (here := (keys[i], burst[i])) or us[i] - last >= step:
+                    go[i], at, last = True, here, us[i]
+            yield b.loc[go, [job, tie]]
+
+    return ordered.mapInPandas(run, T.StructType([rows.schema[job], rows.schema[tie]]))
 
 
 def hysteresis(rows: DataFrame, job: str, ratio: str, ts: str, tie: str) -> DataFrame:
     """The level of detail after each event of a camera: each depends on the one before."""
-    from .sampling import next_level
+    from .sampling import LEVELS, step_level
 
-    packed = rows.groupBy(job).agg(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"), F.col(ratio).alias("ratio")))).alias("e"))
-    start = F.struct(F.lit(None).cast("double").alias("level"), F.expr("cast(array() as array<struct<tie: bigint, level: double>>)").alias("out"))
+    ordered = _in_order(rows.select(job, ts, tie, F.col(ratio).cast("double").alias("__ratio")), job, ts, tie)
 
-    def step(acc: Column, e: Column) -> Column:
-        level = next_level(e["ratio"], acc["level"])
-        return F.struct(level.alias("level"), F.concat(acc["out"], F.array(F.struct(e["tie"].cast("long").alias("tie"), level.alias("level")))).alias("out"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, level = None, None
+        for b in batches:
+            out = np.empty(len(b))
+            for i, (key, r) in enumerate(zip(b[job].to_numpy(), b["__ratio"].to_numpy(np.float64, na_value=np.nan), strict=True)):
+                level = step_level(r, level if at == key else None)
+                at, out[i] = key, LEVELS[level][0]
+            yield pd.DataFrame({job: b[job], tie: b[tie], "level": out})
 
-    return packed.select(job, F.explode(F.aggregate("e", start, step)["out"]).alias("o")).select(job, F.col("o.tie").alias(tie), F.col("o.level").alias("level"))
+    return ordered.mapInPandas(run, T.StructType([rows.schema[job], rows.schema[tie], T.StructField("level", T.DoubleType())]))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import AXES
-from .numbering import range_of
+from .numbering import with_range
 
 
 def append(cloud: DataFrame, batch: DataFrame) -> DataFrame:
@@ -53,10 +53,7 @@ def unique_names(rows: DataFrame, name: str, order: str) -> DataFrame:
     Rows are numbered within ranges of a name and start where the counts of its ranges before end: a common name is not one task.
     """
     base = F.when(F.trim(F.coalesce(F.col(name), F.lit(""))) == "", F.lit("Point Cloud")).otherwise(F.col(name))
-    edge = rows.agg(F.min(order).cast("double").alias("lo"), F.max(order).cast("double").alias("hi")).first()
-    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    part = F.lit(0) if edge["lo"] is None else range_of(F.col(order), edge["lo"], edge["hi"], n)
-    rows = rows.withColumn("__base", base).withColumn("__part", part)
+    rows = with_range(rows.withColumn("__base", base), F.col(order))
     sizes = rows.groupBy("__base", "__part").agg(F.count("*").alias("__n"))
     earlier = Window.partitionBy("__base").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__base", "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))

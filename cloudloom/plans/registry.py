@@ -329,7 +329,7 @@ def _sql_boxes() -> str:
 @query(f"{_with('c3')}, {_sql_octree('c3')}, {_sql_boxes()} SELECT node, depth::BIGINT AS depth, n::BIGINT AS n, inside FROM mk WHERE leaf AND meets")
 def frustum_nodes(spark: SparkSession, sf: str) -> DataFrame:
     tree, box = _tree(spark, sf)
-    return octree.frustum_leaves(tree, box, PLANES, DEPTH).withColumn("depth", F.col("depth").cast("long"))
+    return octree.frustum_leaves(tree, box, PLANES).withColumn("depth", F.col("depth").cast("long"))
 
 
 @query(f"{_with('c3')}, {_sql_octree('c3')}, {_sql_boxes()} SELECT p.idx, m.node AS leaf FROM pts p JOIN mk m ON m.leaf AND m.meets AND m.node = p.path[1:m.depth]")
@@ -340,7 +340,7 @@ def frustum_query(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{_with('c3')}, {_sql_octree('c3')}, {_sql_boxes()}, seen AS (SELECT m.* FROM mk m WHERE NOT EXISTS (SELECT 1 FROM mk u WHERE u.depth < m.depth AND u.node = m.node[1:u.depth] AND (NOT u.meets OR u.inside))) SELECT count(*)::BIGINT AS visited, count(*) FILTER (WHERE NOT meets)::BIGINT AS culled, coalesce(sum(n) FILTER (WHERE inside OR (leaf AND meets)), 0)::BIGINT AS points FROM seen")
 def frustum_stats(spark: SparkSession, sf: str) -> DataFrame:
     tree, box = _tree(spark, sf)
-    return octree.frustum_stats(tree, box, PLANES, DEPTH)
+    return octree.frustum_stats(tree, box, PLANES)
 
 
 @query(f"{_with('c3')}, {_sql_octree('c3')}, {_sql_boxes()}, v AS (SELECT p.idx, row_number() OVER (ORDER BY p.idx) - 1 AS pos FROM pts p JOIN mk m ON m.leaf AND m.meets AND m.node = p.path[1:m.depth]), d AS (SELECT idx, pos // 2 AS pos FROM v WHERE pos % 2 = 0), l AS (SELECT idx, pos, greatest(ceil(count(*) OVER () / 500.0)::BIGINT, 1) AS step FROM d), k AS (SELECT idx FROM l WHERE pos % step = 0 AND pos // step < 500), g AS (SELECT idx, idx - row_number() OVER (ORDER BY idx) AS g FROM k) SELECT min(idx)::BIGINT AS start_idx, max(idx)::BIGINT AS end_idx, count(*)::BIGINT AS n FROM g GROUP BY g")
@@ -574,9 +574,9 @@ def catalog_json(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(F.to_json(F.struct(F.col("event_type").alias("name"), "points", F.lit(True).alias("visible"))).alias("json"))
 
 
-@query("SELECT event_id, CASE WHEN k = 1 THEN event_type ELSE event_type || ' (' || k || ')' END AS unique_name FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events WHERE user_id % 10 = 1)")
+@query("SELECT event_id, CASE WHEN k = 1 THEN event_type ELSE event_type || ' (' || k || ')' END AS unique_name FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events)")
 def unique_names(spark: SparkSession, sf: str) -> DataFrame:
-    return updates.unique_names(clouds.table(spark, sf, "events").filter("user_id % 10 = 1"), "event_type", "event_id").select("event_id", "unique_name")
+    return updates.unique_names(clouds.table(spark, sf, "events"), "event_type", "event_id").select("event_id", "unique_name")
 
 
 @query("SELECT c_custkey AS uid FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 <> 0")
@@ -651,7 +651,7 @@ def throttle(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sql_levels() -> str:
     lv = sampling.LEVELS
-    up = lambda k: "CASE " + " ".join(f"WHEN r <= {lv[j][2]} THEN {j}" for j in range(k, len(lv) - 1)) + f" ELSE {len(lv) - 1} END"
+    up = lambda k: "CASE " + " ".join(f"WHEN r <= {lv[j][2]} THEN {j}" for j in range(k, len(lv) - 1)) + f" ELSE {len(lv) - 1} END" if k < len(lv) - 1 else str(k)
     down = lambda k: "CASE " + " ".join(f"WHEN r >= {lv[j][1]} THEN {j}" for j in range(k, 0, -1)) + " ELSE 0 END" if k else "0"
     return "CASE l " + " ".join(f"WHEN {k} THEN CASE WHEN {'r > ' + str(lv[k][2]) if k < len(lv) - 1 else 'false'} THEN {up(k)} WHEN r < {lv[k][1]} THEN {down(k)} ELSE {k} END" for k in range(len(lv))) + " END"
 

@@ -296,12 +296,13 @@ def header_info(spark: SparkSession, path: str) -> DataFrame:
 def ply_line(rgb: bool, intensity: bool) -> Column:
     """The text of a vertex: six decimals, white for no colour, 0 for no intensity."""
     from ..functions.color import WHITE, unpack
+    from ..functions.text import fixed
 
-    parts = [F.format_string("%.6f %.6f %.6f", "x", "y", "z")]
+    parts = [fixed(F.col(a), 6) for a in "xyz"]
     if rgb:
         parts += [c.cast("string") for c in unpack(F.coalesce(F.col("rgb"), F.lit(WHITE)))]
     if intensity:
-        parts.append(F.format_string("%.6f", F.coalesce(F.col("intensity"), F.lit(0.0))))
+        parts.append(fixed(F.coalesce(F.col("intensity"), F.lit(0.0)), 6))
     return F.concat_ws(" ", *parts)
 
 
