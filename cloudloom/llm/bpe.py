@@ -24,19 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import ragged, text_steps
-from .pretoken import PATTERN
+from .pretoken import PATTERN, byte_chars
 
 #: Distinct pre-tokens that a worker remembers before it starts afresh.
 CACHE_WORDS = 300_000
 
 
-def _byte_chars() -> list[str]:
-    """The printable character that stands for each byte: itself if printable, else the next from 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
-
-
 class _Index(dict):
     """Numbers its keys in the order in which they are first asked for."""
 
@@ -52,7 +45,7 @@ class Codec:
         vocab: dict[str, int] = model["vocab"]
         if model["type"] != "BPE" or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec.get("normalizer"):
             raise ValueError(f"{path} is not a plain byte-level BPE")
-        chars = _byte_chars()
+        chars = byte_chars()
         byte_of = {c: b for b, c in enumerate(chars)}
         self.byte_id = np.array([vocab[c] for c in chars], np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -120,7 +113,7 @@ class Codec:
         return sym[order].astype(np.int32), np.bincount(word, minlength=len(words)).astype(np.int64)
 
     def pretokens(self, text: str) -> list[str]:
-        if self.split_special is None or "<" not in text:
+        if self.split_special is None or not any(s in text for s in self.special):
             return self.words(text)
         out: list[str] = []
         for part in self.split_special.split(text):

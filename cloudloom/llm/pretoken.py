@@ -18,6 +18,13 @@ LETTER, NUMBER, OTHER, SPACE = range(4)
 _BLANK, _QUOTE = 32, 39
 
 
+def byte_chars() -> list[str]:
+    """The printable character that stands for each byte: itself if printable, else the next from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+
+
 @lru_cache(maxsize=1)
 def classes() -> np.ndarray:
     """The class of each code point."""

@@ -19,6 +19,7 @@ gives files without blocks; a damaged payload raises ValueError; other columns a
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,7 +34,8 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from . import pretoken
-from .common import parallelism, ragged, span_hash, text_steps
+from .common import mix, parallelism, ragged, text_steps
+from .pretoken import byte_chars
 
 U = np.uint64
 MAGIC = b"CMR1"
@@ -45,9 +47,13 @@ _STATES, _BITS = 16, 4
 _MOST = U(64)  # a prediction weighs at most so many times all of order 0
 _LOW, _TOP = U(1 << 40), U(1 << 48)
 _CONTEXTS = 17  # bits of the order-2 table
+_SLOT_BITS = 16  # of the table that finds ids
 END_ID = 0
-#: Distinct pre-tokens (named by 64-bit hashes) that a worker remembers before it starts afresh.
-CACHE_WORDS = 500_000
+#: Distinct pre-tokens that a worker remembers before it starts afresh.
+CACHE_WORDS = 1_000_000
+_KEY_BYTES = 64
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 class _Model:
@@ -68,9 +74,22 @@ class _Model:
         self.cum = np.zeros(len(self.counts) + 1, U)
         np.cumsum(self.counts, out=self.cum[1:], dtype=U)
         self.total = self.cum[-1]
+        self.slots = None
         self.bonus = np.minimum(self.total * (2 * self.right + 1).astype(U) // (2 * self.wrong + 1).astype(U), self.total * _MOST)
         self.due = self.seen + self.seen // 8 + 1
 
+    def find(self, v: np.ndarray) -> np.ndarray:
+        """The ids whose shares of the order-0 frequencies hold the values v: by a table of slots, by bisection where a slot holds several."""
+        if self.slots is None:
+            self.shift = U(max(0, int(self.total).bit_length() - _SLOT_BITS))
+            ends = np.bincount((self.cum[1:-1] - U(1) >> self.shift).astype(np.int64) + 1, minlength=(1 << _SLOT_BITS) + 1)
+            self.slots = np.cumsum(ends)
+        x = self.slots[(v >> self.shift).astype(np.int64)]
+        far = np.flatnonzero(self.cum[x + 1] <= v)
+        if len(far):
+            x[far] = np.minimum(np.searchsorted(self.cum, v[far], "right") - 1, len(self.counts) - 1)
+        return x
+
     def predict(self) -> tuple[np.ndarray, ...]:
         """The two predicted ids of each lane, and the weights that they add."""
         self.at2 = ((self.before2 * 0x2545F491 + self.before * 0x9E3779B1) >> 7) & ((1 << _CONTEXTS) - 1)
@@ -94,6 +113,22 @@ class _Model:
             self._rebuild()
 
 
+def _shifts(low: np.ndarray, width: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Shifts settled words out of the lanes' intervals, in place: the lanes that shift, and their `low` before."""
+    settled = (low ^ (low + width)) < _TOP
+    go = np.flatnonzero(settled | (width < _LOW))
+    settled = settled[go]
+    while len(go):
+        own = low[go]
+        wide = np.where(settled, width[go], (~own + U(1)) & (_LOW - U(1))) << U(16)
+        low[go], width[go] = own << U(16), wide
+        yield go, own
+        own = low[go]
+        settled = (own ^ (own + wide)) < _TOP
+        more = settled | (wide < _LOW)
+        go, settled = go[more], settled[more]
+
+
 def _shape(n: int) -> tuple[int, int]:
     """Lanes, and ids of each, for a block of n ids."""
     steps = -(-n // max(1, min(LANES, n // LANE_IDS)))
@@ -122,19 +157,9 @@ def encode_block(ids: np.ndarray) -> bytes:
         unit = width // (model.total + w1 + w2)
         low = low + unit * begin
         width = unit * share
-        while True:
-            settled = (low ^ (low + width)) < _TOP
-            small = width < _LOW
-            go = np.flatnonzero(settled | small)
-            if not len(go):
-                break
-            own = low[go]
-            cut = ~settled[go]
-            width[go[cut]] = (~own[cut] + U(1)) & (_LOW - U(1))
+        for go, own in _shifts(low, width):
             out_lane.append(go)
             out_word.append((own >> U(48)).astype(np.uint16))
-            low[go] = own << U(16)
-            width[go] = width[go] << U(16)
         model.update(x)
     last = (low + U((1 << 32) - 1)) >> U(32)
     for shift in (16, 0):
@@ -182,32 +207,20 @@ def decode_block(payload: bytes) -> np.ndarray:
         unit = width // total
         v = np.minimum((code - low) // unit, total - U(1))
         cum = model.cum
-        swap = c1 > c2
-        lo, hi = np.where(swap, c2, c1), np.where(swap, c1, c2)
-        w_lo, w_hi = np.where(swap, w2, w1), np.where(swap, w1, w2)
-        end_lo = cum[lo + 1] + w_lo + w_hi * (lo == hi)
-        begin_hi = cum[hi] + w_lo * (lo != hi)
-        end_hi = np.where(lo == hi, end_lo, cum[hi + 1] + w_lo + w_hi)
-        at_lo = (v >= cum[lo]) & (v < end_lo)
-        at_hi = (v >= begin_hi) & (v < end_hi)
-        plain = v - w_lo * (v >= end_lo) - w_hi * (v >= end_hi)
-        plain = np.where((lo == hi) & (v >= end_lo), v - w_lo - w_hi, plain)
-        x = np.searchsorted(cum, plain, "right") - 1
-        x = np.where(at_hi, hi, np.where(at_lo, lo, np.minimum(x, vocab - 1)))
-        begin = cum[x]
-        share = cum[x + 1] - begin + w1 * (x == c1) + w2 * (x == c2)
-        low = low + unit * (begin + w1 * (x > c1) + w2 * (x > c2))
+        # the two predicted ids: where their shares begin and how wide they are (w is zero where both are one id)
+        both = c1 == c2
+        b1, b2 = cum[c1] + w2 * (c1 > c2), cum[c2] + w1 * (c2 > c1)
+        s1, s2 = cum[c1 + 1] - cum[c1] + w1 + w2 * both, cum[c2 + 1] - cum[c2] + w2 + w1 * both
+        at1, at2 = v - b1 < s1, v - b2 < s2  # unsigned: a value below the beginning wraps
+        x, begin, share = np.where(at1, c1, c2), np.where(at1, b1, b2), np.where(at1, s1, s2)
+        rest = np.flatnonzero(~(at1 | at2))
+        if len(rest):
+            after1, after2 = w1[rest] * (v[rest] >= b1[rest]), w2[rest] * (v[rest] >= b2[rest])
+            own = model.find(v[rest] - after1 - after2)
+            x[rest], begin[rest], share[rest] = own, cum[own] + after1 + after2, cum[own + 1] - cum[own]
+        low = low + unit * begin
         width = unit * share
-        while True:
-            settled = (low ^ (low + width)) < _TOP
-            go = np.flatnonzero(settled | (width < _LOW))
-            if not len(go):
-                break
-            own = low[go]
-            cut = ~settled[go]
-            width[go[cut]] = (~own[cut] + U(1)) & (_LOW - U(1))
-            low[go] = own << U(16)
-            width[go] = width[go] << U(16)
+        for go, _ in _shifts(low, width):
             code[go] = (code[go] << U(16)) | words[np.where(at[go] < stop[go], at[go], none)]
             at[go] += 1
         grid[t] = x
@@ -221,23 +234,89 @@ def decode_block(payload: bytes) -> np.ndarray:
 # --- encoding by the tokenizers library -------------------------------------------------------------
 
 
+class _Words:
+    """Numbers byte strings, vectorised: a table of slots by a 64-bit key, and the bytes of every string to compare with."""
+
+    def __init__(self) -> None:
+        self.table, self.bits = np.full(1 << 16, -1, np.int64), 16
+        self.n, self.used = 0, 0
+        self.key, self.start, self.size = (np.zeros(1 << 15, t) for t in (np.uint64, np.int64, np.int64))
+        self.raw = np.zeros(1 << 18, np.uint8)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for unknown ones."""
+        slot = (key >> U(64 - self.bits)).astype(np.int64)
+        out = self.table[slot]
+        open_ = np.flatnonzero((out >= 0) & (self.key[out] != key))
+        while len(open_):  # the next slots
+            slot[open_] = (slot[open_] + 1) & (len(self.table) - 1)
+            got = out[open_] = self.table[slot[open_]]
+            open_ = open_[(got >= 0) & (self.key[got] != key[open_])]
+        return out
+
+    def _place(self, number: np.ndarray) -> None:
+        slot = (self.key[number] >> U(64 - self.bits)).astype(np.int64)
+        while len(number):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = number[free]
+            left = self.table[slot] != number
+            number, slot = number[left], (slot[left] + 1) & (len(self.table) - 1)
+
+    def add(self, raw: np.ndarray, size: np.ndarray, key: np.ndarray | None) -> np.ndarray:
+        """Adds strings (their bytes in a row); those without keys are numbered but not found by `find`."""
+        number = np.arange(self.n, self.n + len(size))
+        while self.n + len(size) > len(self.size):
+            self.key, self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.key, self.start, self.size))
+        while self.used + len(raw) + 8 > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
+        self.raw[self.used : self.used + len(raw)] = raw
+        self.size[number], self.start[number] = size, self.used + np.cumsum(size) - size
+        self.n, self.used = self.n + len(size), self.used + len(raw)
+        if key is not None:
+            self.key[number] = key
+            self._place(number)
+        return number
+
+    def grow(self, more: int) -> None:
+        """Makes room for `more` keys."""
+        if 2 * (self.n + more) > len(self.table):
+            while 2 * (self.n + more) > 1 << self.bits:
+                self.bits += 1
+            placed = self.table[self.table >= 0]
+            self.table = np.full(1 << self.bits, -1, np.int64)
+            self._place(placed)
+
+
+def _eight(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, of bytes with eight more behind them."""
+    return np.ndarray((len(raw) - 7,), "<u8", buffer=raw, strides=(1,))
+
+
 class Encoder:
-    """Ids by the tokenizers library. For byte-level BPE a worker has the library encode each distinct pre-token once."""
+    """Ids by the tokenizers library. For byte-level BPE a worker has the library encode each distinct pre-token, by its bytes, once."""
 
     def __init__(self, path: str):
-        import json
-
         spec = json.load(open(path, encoding="utf-8"))
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        pre = spec.get("pre_tokenizer") or {}
-        self.by_word = spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        chars = byte_chars()
+        self.by_word = (
+            model["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")) and all(c in model["vocab"] for c in chars)
+        )
         self.special = [t["content"] for t in spec.get("added_tokens", ())]
+        if self.by_word:
+            self.bare = Tokenizer(self.lib.model)  # the same model; pre-tokens come as the characters that stand for their bytes
+            self.points = np.array([ord(c) for c in chars], np.uint32)
+            self.piece = np.zeros(max(model["vocab"].values()) + 1, np.int64)
+            for token, i in model["vocab"].items():
+                self.piece[i] = len(token)
         self._fresh()
 
     def _fresh(self) -> None:
-        self.known, self.number = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.known, self.odd = _Words(), {}
         self.store, self.used = np.empty(1 << 16, np.int32), 0
         self.at = self.size = np.empty(0, np.int64)
 
@@ -257,36 +336,61 @@ class Encoder:
         return np.concatenate([o[0] for o in out] or [np.empty(0, np.int64)]), np.concatenate([o[1] for o in out] or [np.empty(0, np.int64)])
 
     def _by_word(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > CACHE_WORDS:
+        if self.known.n > CACHE_WORDS:
             self._fresh()
         begin, end, upto = pretoken.spans(texts)
-        raw = np.frombuffer("".join(texts).encode(), np.uint8)
-        names, first, place = np.unique(span_hash(raw, begin, end), return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.known, names), max(len(self.known) - 1, 0))
-        new = np.flatnonzero(self.known[at] != names) if len(self.known) else np.arange(len(names))
-        if len(new):
-            data = raw.tobytes()
-            words = [data[a:b].decode() for a, b in zip(begin[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
-            self._learn(words, names[new])
-        flat = self.number[np.searchsorted(self.known, names)][place]
-        ends = np.concatenate([[0], upto])
+        flat = self._numbers("".join(texts).encode(), begin, end)
         lens = self.size[flat]
-        total = np.concatenate([[0], np.cumsum(lens)])[ends]
+        total = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], upto])]
         return self.store[ragged(self.at[flat], lens)].astype(np.int64), np.diff(total)
 
-
-    def _learn(self, words: list[str], names: np.ndarray) -> None:
-        got = self.lib.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids, lens = np.array(got.ids, np.int32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(words))
+    def _numbers(self, text: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each pre-token text[begin:end]. A key finds what may be equal, its bytes decide; what has the key
+        of another string, or is longer than a key looks at, is numbered by a dictionary."""
+        raw = np.frombuffer(text + bytes(8), np.uint8)
+        lens, eight = end - begin, _eight(raw)
+        deep = [(j, np.flatnonzero(lens > j)) for j in range(8, _KEY_BYTES, 8)]
+        first = eight[begin] & _FIRST[np.minimum(lens, 8)]
+        more = [eight[begin[i] + j] & _FIRST[np.minimum(lens[i] - j, 8)] for j, i in deep]
+        key = mix(first + lens.astype(U) * U(0x9E3779B97F4A7C15))
+        for (_, i), x in zip(deep, more, strict=True):
+            key[i] = mix(key[i] + x)
+        short = lens <= _KEY_BYTES
+        flat = self.known.find(key)
+        new = np.flatnonzero((flat < 0) & short)
+        if len(new):
+            once = new[np.unique(key[new], return_index=True)[1]]
+            self.known.grow(len(once))
+            self._learn(raw[ragged(begin[once], lens[once])], lens[once], key[once])
+            flat[new] = self.known.find(key[new])
+        start, held = self.known.start[flat], _eight(self.known.raw)
+        same = short & (self.known.size[flat] == lens) & (held[start] & _FIRST[np.minimum(lens, 8)] == first)
+        for (j, i), x in zip(deep, more, strict=True):
+            same[i] &= held[np.minimum(start[i] + j, len(held) - 1)] & _FIRST[np.minimum(lens[i] - j, 8)] == x
+        for at in np.flatnonzero(~same).tolist():
+            word = text[begin[at] : end[at]]
+            if word not in self.odd:
+                self.odd[word] = int(self._learn(np.frombuffer(word, np.uint8), np.array([len(word)]), None)[0])
+            flat[at] = self.odd[word]
+        return flat
+
+    def _learn(self, raw: np.ndarray, size: np.ndarray, key: np.ndarray | None) -> np.ndarray:
+        """Has the library encode new pre-tokens (their bytes in a row), and numbers them."""
+        shown, ends = self.points[raw].tobytes().decode("utf-32-le"), np.cumsum(size)
+        parts = [shown[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+        ids = np.array(self.bare.encode_batch_fast([parts], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int32)
+        # an id stands for as many bytes as its token has characters, so the ends of the words divide the ids
+        stop = np.searchsorted(np.cumsum(self.piece[ids]), ends, "left") + 1
+        lens = np.diff(stop, prepend=0)
         need = self.used + len(ids)
         if need > len(self.store):
             self.store = np.concatenate([self.store[: self.used], np.empty(max(need, 2 * len(self.store)) - self.used, np.int32)])
         self.store[self.used : need] = ids
-        number = np.arange(len(self.at), len(self.at) + len(words))
-        self.at, self.size, self.used = np.concatenate([self.at, self.used + np.cumsum(lens) - lens]), np.concatenate([self.size, lens]), need
-        known = np.concatenate([self.known, names])
-        order = np.argsort(known, kind="stable")
-        self.known, self.number = known[order], np.concatenate([self.number, number])[order]
+        number = self.known.add(raw, size, key)
+        if number[-1] >= len(self.size):
+            self.at, self.size = (np.concatenate([x, np.zeros(max(len(x), int(number[-1]) + 1), np.int64)]) for x in (self.at, self.size))
+        self.at[number], self.size[number], self.used = self.used + stop - lens, lens, need
+        return number
 
 
 @lru_cache(maxsize=2)
@@ -325,7 +429,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, key: str = "doc_id", text:
             keys, counts, ids = [k.slice(a)], [c[a:]], [i[base:]]
 
         held = 0
-        for rows, col in text_steps(batches, text):
+        for rows, col in text_steps(batches, text, 1 << 20):
             flat, n = own.encode(col.to_pylist())
             keys.append(rows.column(0))
             counts.append(n + 1)

@@ -203,6 +203,23 @@ def test_token_files_odd(spark, lib, tmp_path):
     assert tokenio.digest(spark, str(tmp_path / "e")).count() == 0
 
 
+def _thue_morse(n, a="a", b="b"):
+    return "".join(b if k.bit_count() & 1 else a for k in range(n))
+
+
+def test_token_files_do_not_confuse_words(spark, lib, tmp_path, monkeypatch):
+    # words whose names by a polynomial modulo 2^64 are equal, and words around the longest key
+    texts = [_thue_morse(1024), _thue_morse(1024, "b", "a"), "x" * 64, "x" * 65, "x" * 64 + "y", "ab\x00", "ab", "ab\x00\x00", *(prose(k, 40) for k in range(5))]
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    for broken in (False, True):
+        if broken:  # every pre-token has the same key: bytes alone must decide
+            monkeypatch.setattr(tokenio, "mix", lambda h: h * np.uint64(0))
+        own = tokenio.Encoder(BPE)
+        for _ in range(2):
+            ids, counts = own.encode(texts)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
 # --- LM scoring ------------------------------------------------------------------------------------
 
 
