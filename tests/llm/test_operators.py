@@ -56,6 +56,20 @@ def test_same_as_sql(name, spark, sf, same_as_sql):
 # --- line dedup ------------------------------------------------------------------------------------
 
 
+def _plain_gone(rows, min_lines=2):
+    """The removed lines (none is blank) of each document."""
+    seen, out = set(), {}
+    for k, t in rows:
+        lines = t.split("\n") if t else []
+        out[k] = set()
+        for i in range(len(lines) - min_lines + 1):
+            run = tuple(lines[i : i + min_lines])
+            if run in seen:
+                out[k] |= {*range(i, i + min_lines)}
+            seen.add(run)
+    return out
+
+
 def _plain_lines(rows, min_lines=2, min_chars=200):
     docs = [(k, (t or "").split("\n")) for k, t in rows]
     seen, out = set(), []
@@ -83,7 +97,7 @@ def test_line_dedup_is_the_plain_one(spark, min_lines):
 
 
 def test_line_dedup_odd(spark):
-    df = frame(spark, odd_docs()).withColumns({"n_lines": F.lit("x"), "rank": F.lit(1), "a.b": F.lit(2), "first": F.lit(3)})
+    df = frame(spark, odd_docs()).withColumns({"n_lines": F.lit("x"), "rank": F.lit(1), "a.b": F.lit(2), "first": F.lit(3), "__gone": F.lit(4), "__doc": F.lit(5), "row": F.lit(6), "hash": F.lit(7), "kept": F.lit(8), "runs": F.lit(9)})
     out = linededup.dedup(df)
     rows = out.collect()
     assert len(rows) == len(odd_docs()) and {"rank", "a.b", "first"} <= {*out.columns}
@@ -92,9 +106,29 @@ def test_line_dedup_odd(spark):
     assert sum(r["n_removed"] for r in rows if r["doc_id"] == 2) == 1
     assert linededup.dedup(frame(spark, [])).count() == 0
     kept = linededup.clean(df)
+    assert {r["a.b"] for r in rows} == {2} and {r["kept"] for r in rows} == {8}
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} >= {1, 3, 4, 5, 6} and not {2} & {r["doc_id"] for r in kept.collect()}
 
 
+def test_line_dedup_finds_maximal_runs(spark):
+    r = random.Random(8)
+    rows = [(k, "\n".join(r.choice("abc") for _ in range(r.randrange(30)))) for k in range(20)] + [(50 + k, "\n".join(f"line {i}" for i in range(100 * k, 137))) for k in range(2)]
+    df = frame(spark, rows)
+    deepest = linededup.copies(df).agg(F.max("n")).first()[0]
+    assert deepest == 32  # 37 lines repeat: the doubling goes on to 32, and 64 tells all apart
+    runs = {(x["doc"], x["first_line"], x["n_lines"]) for x in linededup.maximal_runs(df).collect()}
+    want = set()
+    for (k, _), (_, text, n, gone) in zip(rows, _plain_lines(rows), strict=True):
+        own = sorted(_plain_gone(rows)[k])
+        start = None
+        for i in own:
+            if i - 1 not in own:
+                start = i
+            if i + 1 not in own:
+                want.add((k, start, i - start + 1))
+    assert runs == want
+
+
 # --- HTML ------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
