@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -163,6 +164,82 @@ def test_html_silent_elements_end():
         assert shown(f"<p>a</p><{tag}>x<p>b</p>") == ["a"]
 
 
+def test_html_tree_and_held_out_pages():
+    x, y = html.labelled_blocks()
+    used, todo = set(), [html.default_tree()]
+    while todo:
+        t = todo.pop()
+        if len(t) > 1:
+            used.add(html.FEATURES[t[0]])
+            todo += t[2:]
+    assert {"words", "links"} <= used and used & {"links_before", "links_after"} and used & {"words_before", "words_after"}
+    assert ((html.apply_tree(html.default_tree(), x) > 0.5) == y).mean() >= 0.97
+    pages = html.LABELLED.strip().splitlines()
+    right = n = 0
+    for k in range(len(pages)):  # each page by a tree that has not seen it
+        tree = html.fit_tree(*html.labelled_blocks("\n".join(pages[:k] + pages[k + 1 :])))
+        x, y = html.labelled_blocks(pages[k])
+        right, n = right + int(((html.apply_tree(tree, x) > 0.5) == y).sum()), n + len(y)
+    assert right >= 0.93 * n
+
+
+def test_html_hostile_markup():
+    import time
+
+    page = "<body><article><p>%s</p></article></body>"
+    text = " ".join(prose(1, 60).split())
+    for odd in ('<video-player src="x"></video-player>', '<title-bar>t</title-bar>', "<svg width=1 />", '<object-x/>'):
+        assert html.main_text(page % (odd + text)).endswith(text)
+    assert html.main_text(page % f'{text}</p><section id="search"><p>{text}</p></section><section class="legal"><p>{text}') == "\n".join([text] * 3)
+    began = time.perf_counter()
+    for bad in ("<a ", "<a '", '<a "', "<!", "<!--", "<script ", "</", "<p title='\">"):
+        html.main_text(page % (bad * 100_000))
+    assert time.perf_counter() - began < 20
+
+
+class _Article(HTMLParser):
+    """Another way to the main text of the given pages: what the parser of the standard library finds inside the article element."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks, self.parts = False, [], []
+        self.feed(page)
+        self.close()
+
+    def end(self):
+        text = " ".join("".join(self.parts).split())
+        self.parts = []
+        if text:
+            self.blocks.append(text)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("p", "h1", "h2", "h3", "li", "ul", "div", "article"):
+            self.end()
+        self.parts += [" "] * (tag == "br")
+        self.inside |= tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "h2", "h3", "li", "ul", "div", "article"):
+            self.end()
+        self.inside &= tag != "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.parts.append(data)
+
+
+def test_html_is_the_article_of_each_page(spark, sf):
+    rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    got = {r["page_id"]: r["text"] for r in queries.op2_html_extraction(spark, sf).collect()}
+    assert got == {r["page_id"]: "\n".join(_Article(r["html"]).blocks) for r in rows}
+
+
+def test_html_empty_table_and_other_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<p>" + prose(1, 60) + "</p>", "x", 3)], "page_id long, url string, html string, text string, n_chars int")
+    assert html.extract(df).first()["text"] == " ".join(prose(1, 60).split())
+    assert html.extract(df.filter("false")).count() == 0
+
+
 def test_html_query(spark, sf):
     rows = queries.op2_html_extraction(spark, sf).collect()
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
