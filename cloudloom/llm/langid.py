@@ -4,9 +4,10 @@ A word known from the labelled rows scores by its log frequency in each language
 back to the longest of its character n-grams (5 letters down to 1, word ends marked) of which any is
 known. A text gets the language with the largest sum.
 
-The classifier is fitted on a sample of labelled rows whose size is bounded by `rows_per_lang` for each
-language (rows are taken by a hash of their key), and keeps `words_per_lang` words and `grams_per_lang`
-n-grams of each language; these bounds also bound what is broadcast. Every row is predicted from its whole text.
+The classifier is fitted on a sample of labelled rows of bounded size: about `rows_per_lang` rows of each language, about
+`sample_rows` in all, taken by a hash of their key, and none of over `row_chars` characters. All words and n-grams of
+the sampled rows are kept, for every language, in sparse tables; only the sample bounds what is broadcast.
+Every row is predicted from its whole text.
 
 Defined cases: null text, or one without a letter: `und`, score 0; no labelled row at all: `und` for
 every text; a tie goes to the language that sorts first; repeated rows are predicted alike; columns
@@ -19,17 +20,18 @@ import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, text_steps
+from .common import materialize, ragged, text_steps
 
-LETTERS = re.compile(r"[^\W\d_]+").findall
+#: Runs of letters. In `re`, numbers that are no decimal digits count as letters (one half, circled and Roman ones): they are taken out by their category.
+LETTERS = re.compile(r"[^\W\d_" + "".join(chr(c) for c in range(128, 0x110000) if category(chr(c)) in ("Nl", "No")) + "]+").findall
 LONGEST = 5
 UND = "und"
 #: Words that a worker remembers before it starts afresh.
@@ -43,13 +45,13 @@ def fold(df: DataFrame, key: str, parts: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % parts
 
 
-def sample(train: DataFrame, key: str, lang: str, rows_per_lang: int) -> DataFrame:
-    """About rows_per_lang rows of each language at most, chosen by a hash of the key."""
-    sizes = train.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(1000).collect()
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col(lang) == r[0], F.lit(min(1.0, rows_per_lang / r["count"]))).otherwise(share)
-    return train.filter(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 20)) < share * (1 << 20))
+def sample(train: DataFrame, key: str, text: str, lang: str, rows_per_lang: int, sample_rows: int, row_chars: int) -> DataFrame:
+    """About rows_per_lang rows of each language and sample_rows of all at most, chosen by a hash of the key."""
+    fit = train.filter(F.length(text) <= row_chars)
+    sizes = fit.groupBy(F.col(lang).alias("__lang")).agg(F.count("*").alias("__rows"))
+    each = sizes.agg(F.least(F.lit(float(rows_per_lang)), F.lit(float(sample_rows)) / F.greatest(F.count("*"), F.lit(1)))).first()[0]
+    share = F.lit(each) / F.col("__rows") * (1 << 30)
+    return fit.join(sizes, fit[lang] == sizes["__lang"]).filter(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) < share).select(*train.columns)
 
 
 def _grams(word: str, n: int) -> list[str]:
@@ -57,8 +59,8 @@ def _grams(word: str, n: int) -> list[str]:
     return [word[i : i + n] for i in range(len(word) - n + 1)]
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_lang: int = 2500, words_per_lang: int = 60_000, grams_per_lang: int = 40_000) -> dict:
-    """The model: languages, and log frequencies of words and n-grams in each."""
+def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_lang: int = 2500, sample_rows: int = 50_000, row_chars: int = 200_000) -> dict:
+    """The model: languages, and for words and n-grams of each size the log frequency of those unseen in a language, and what those seen are above it."""
     train = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key, text, lang)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,111 +80,129 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int32()), pa.array([k[2] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "size", "gram", "n"])
 
     # both tables are read more than once: written, the sampled texts are counted once
-    by_word = materialize(sample(train, key, lang, rows_per_lang).mapInArrow(words, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "words")
+    by_word = materialize(sample(train, key, text, lang, rows_per_lang, sample_rows, row_chars).mapInArrow(words, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "words")
     by_gram = by_word.mapInArrow(grams, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    both = materialize(by_word.select("lang", F.lit(0).alias("size"), "gram", "n").unionByName(by_gram), "grams")
-    # counts in halving steps: the bounded number of (language, size, step) rows gives each table its least count
-    steps = both.groupBy("lang", "size", F.floor(F.log2("n") * 4).cast("int").alias("step")).agg(F.count("*").alias("grams"), F.sum("n").alias("total")).collect()
-    least, totals = {}, Counter()
-    for r in sorted(steps, key=lambda r: (r["lang"], r["size"], -r["step"])):
-        totals[r["lang"], r["size"]] += r["total"]
-        got = least.setdefault((r["lang"], r["size"]), [0, None])
-        got[0] += r["grams"]
-        if got[0] <= (grams_per_lang if r["size"] else words_per_lang) or got[1] is None:
-            got[1] = r["step"]
-    keep = F.lit(False)
-    for (name, size), (_, step) in least.items():
-        keep = keep | ((F.col("lang") == name) & (F.col("size") == size) & (F.floor(F.log2("n") * 4) >= step))
-    langs = sorted({name for name, _ in least})
-    at = {name: i for i, name in enumerate(langs)}
-    model = {"langs": langs, "index": [], "logs": []}
-    kept = both.filter(keep).toArrow()  # words_per_lang and grams_per_lang bound it
+    kept = by_word.select("lang", F.lit(0).alias("size"), "gram", "n").unionByName(by_gram).toArrow()  # the sample bounds it
+    names = kept["lang"].combine_chunks().dictionary_encode()
+    langs = sorted(names.dictionary.to_pylist())
+    place = {name: i for i, name in enumerate(langs)}
+    at = np.array([place[name] for name in names.dictionary.to_pylist()], np.int32)[names.indices.to_numpy(zero_copy_only=False)] if langs else np.empty(0, np.int32)
+    count, sizes = kept["n"].to_numpy(), kept["size"].to_numpy()
+    model: dict = {"langs": langs, "index": [], "first": [], "lang": [], "above": [], "unseen": []}
     for size in range(LONGEST + 1):
-        rows = kept.filter(pc.equal(kept["size"], size))
-        own = rows["gram"].combine_chunks().dictionary_encode()
+        rows = np.flatnonzero(sizes == size)
+        own = kept["gram"].take(pa.array(rows)).combine_chunks().dictionary_encode()
+        gram = own.indices.to_numpy(zero_copy_only=False)
+        order = np.lexsort((at[rows], gram))
+        rows, gram = rows[order], gram[order]
+        total = np.bincount(at[rows], count[rows], len(langs)) + 0.05 * (len(own.dictionary) + 1)
         model["index"].append({g: i for i, g in enumerate(own.dictionary.to_pylist())})
-        seen = np.zeros((len(own.dictionary), len(langs)))
-        seen[own.indices.to_numpy(zero_copy_only=False), [at[name] for name in rows["lang"].to_pylist()]] = rows["n"].to_numpy()
-        total = np.array([totals[name, size] for name in langs], np.float64)
-        model["logs"].append(np.log((seen + 0.05) / (total + 0.05 * (len(own.dictionary) + 1))) if langs else seen)
+        model["first"].append(np.concatenate([[0], np.cumsum(np.bincount(gram, minlength=len(own.dictionary)))]).astype(np.int64))
+        model["lang"].append(at[rows])
+        model["above"].append(np.log((count[rows] + 0.05) / 0.05))
+        model["unseen"].append(np.log(0.05 / total))
     return model
 
 
 class Scorer:
-    """Predicts with a model; the scores of all new words of a step are found together and remembered."""
+    """Predicts with a model; what is found for the new words of a step is found together and remembered."""
 
     def __init__(self, model: dict):
-        self.langs, self.index, self.logs = model["langs"], model["index"], model["logs"]
+        self.langs, self.index, self.model = model["langs"], model["index"], model
+        self.unseen = np.array(model["unseen"]).reshape(LONGEST + 1, -1)
+        self._fresh()
+
+    def _fresh(self) -> None:
         self.cache: dict[str, int] = {}
-        self.rows = np.zeros((1 << 12, len(self.langs)))
+        # of a remembered word: its size in the backoff (-1: nothing of it is known), and the languages that have seen it or its n-grams
+        self.size, self.first, self.n = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.lang, self.above, self.used = np.empty(1 << 12, np.int32), np.empty(1 << 12), 0
 
     def learn(self, new: list[str]) -> None:
-        """Adds words to the cache: a known word's own logs, else the mean of the longest n-grams of it that are known, else zeros."""
-        at = len(self.cache)
-        while at + len(new) > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[at : at + len(new)] = 0
-        slots: list[list[int]] = [[] for _ in self.index]
-        hits: list[list[int]] = [[] for _ in self.index]
-        sizes: list[list[int]] = [[] for _ in self.index]
+        """Adds words to the cache: a known word's own logs, else the mean of the longest n-grams of it that are known."""
         known, longer = self.index[0].get, [(n, self.index[n].get) for n in range(LONGEST, 0, -1)]
-        for slot, w in enumerate(new, at):
-            self.cache[w] = slot
+        hits: list[list[int]] = [[] for _ in self.index]
+        owner: list[list[int]] = [[] for _ in self.index]
+        size, share = np.full(len(new), -1), np.ones(len(new))
+        base = len(self.cache)
+        for k, w in enumerate(new):
+            self.cache[w] = base + k
             if (own := known(w)) is not None:
-                slots[0].append(slot)
                 hits[0].append(own)
+                owner[0].append(k)
+                size[k] = 0
                 continue
             marked = f"<{w}>"
             for n, get in longer:
                 own = marked if n > 1 else w
-                if found := [i for k in range(len(own) - n + 1) if (i := get(own[k : k + n])) is not None]:
-                    slots[n].append(slot)
+                if found := [i for j in range(len(own) - n + 1) if (i := get(own[j : j + n])) is not None]:
                     hits[n] += found
-                    sizes[n].append(len(found))
+                    owner[n] += [k] * len(found)
+                    size[k], share[k] = n, 1.0 / len(found)
                     break
-        if slots[0]:
-            self.rows[slots[0]] = self.logs[0][hits[0]]
-        for n in range(1, LONGEST + 1):
-            if slots[n]:
-                count = np.array(sizes[n])
-                self.rows[slots[n]] = np.add.reduceat(self.logs[n][hits[n]], np.cumsum(count) - count, axis=0) / count[:, None]
-
-    def total(self, words: list[str]) -> np.ndarray:
+        keys, above = [], []
+        for n, own in enumerate(hits):
+            if own:
+                rows = np.array(own)
+                begin = self.model["first"][n][rows]
+                lens = self.model["first"][n][rows + 1] - begin
+                at, word = ragged(begin, lens), np.repeat(np.array(owner[n]), lens)
+                keys.append(word * len(self.langs) + self.model["lang"][n][at])
+                above.append(self.model["above"][n][at] * share[word])
+        key, place = np.unique(np.concatenate(keys or [np.empty(0, np.int64)]), return_inverse=True)
+        value = np.bincount(place, np.concatenate(above or [np.empty(0)]), len(key))
+        lens = np.bincount(key // len(self.langs), minlength=len(new))
+        while self.used + len(key) > len(self.lang):
+            self.lang, self.above = np.concatenate([self.lang, self.lang]), np.concatenate([self.above, self.above])
+        self.lang[self.used : self.used + len(key)], self.above[self.used : self.used + len(key)] = key % len(self.langs), value
+        self.size, self.n = np.concatenate([self.size, size]), np.concatenate([self.n, lens])
+        self.first, self.used = np.concatenate([self.first, self.used + np.cumsum(lens) - lens]), self.used + len(key)
+
+    def total(self, words: list[str]) -> tuple[np.ndarray, int]:
+        """The sum of the logs of all words in each language, and the number of words of which anything is known."""
         at = np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
-        return sum(self.rows[at[k : k + SUM_WORDS]].sum(axis=0) for k in range(0, len(at), SUM_WORDS))
-
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        sizes = np.bincount(self.size[at] + 1, minlength=LONGEST + 2)[1:]
+        out = sizes @ self.unseen
+        for k in range(0, len(at), SUM_WORDS):
+            own = at[k : k + SUM_WORDS]
+            i = ragged(self.first[own], self.n[own])
+            out += np.bincount(self.lang[i], self.above[i], len(self.langs))
+        return out, int(sizes.sum())
+
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[bool]]:
+        """Language, score and whether any word or n-gram of the text is known, of each text."""
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
+            self._fresh()
         found = [LETTERS(t.lower()) for t in texts]
         if self.langs:
             self.learn([w for w in set().union(*found) if w not in self.cache])
-        langs, scores = [], []
+        langs, scores, sure = [], [], []
         for words in found:
             if not words or not self.langs:
                 langs.append(UND)
                 scores.append(0.0)
+                sure.append(False)
                 continue
-            total = self.total(words)
+            total, known = self.total(words)
             best = int(total.argmax())
             weigh = (total - total[best]) * (min(len(words), 20) / len(words))
             langs.append(self.langs[best])
             scores.append(float(1.0 / np.exp(weigh).sum()))
-        return langs, scores
+            sure.append(known > 0)
+        return langs, scores, sure
 
 
 _SCORERS: dict[int, Scorer] = {}
 
 
 def keep_known(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """The rows of df, all columns whatever their names, whose text has a language (is not `und`)."""
+    """The rows of df, all columns whatever their names, whose text has a language: it has letters, and the model knows a word or an n-gram of it."""
     held = df.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _scorer(held)
         for rows, col in text_steps(batches, text):
-            langs, _ = own.predict(col.to_pylist())
-            yield rows.filter(pa.array([name != UND for name in langs], pa.bool_()))
+            yield rows.filter(pa.array(own.predict(col.to_pylist())[2], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
@@ -195,7 +215,7 @@ def predict(df: DataFrame, model: dict, key: str = "doc_id", text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _scorer(held)
         for rows, col in text_steps(batches, text):
-            langs, scores = own.predict(col.to_pylist())
+            langs, scores, _ = own.predict(col.to_pylist())
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [key, "lang_pred", "score"])
 
     return df.mapInArrow(run, T.StructType([df.schema[key], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -7,6 +7,8 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import regex
+
 
 def suffix_dedup(docs: list[tuple[object, str | None]], length: int = 200) -> list[tuple]:
     """(key, n_bytes, n_removed, n_spans, kept_sha256)."""
@@ -92,3 +94,47 @@ def token_rows(docs: list[tuple[int, str | None]], encode, end: int = 0) -> list
         out.append((k, start, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
         start += len(ids)
     return out
+
+
+class WordFirst:
+    """Word-first backoff over dictionaries."""
+
+    def __init__(self, labelled: list[tuple[str, str]]):
+        self.counts = [defaultdict(Counter) for _ in range(6)]  # by size (0: whole words): gram -> language -> n
+        for text, lang in labelled:
+            for w in self.words(text):
+                self.counts[0][w][lang] += 1
+                for n in range(1, 6):
+                    for g in self.grams(w, n):
+                        self.counts[n][g][lang] += 1
+        self.langs = sorted({lang for _, lang in labelled})
+        self.totals = [{y: sum(c[y] for c in own.values()) for y in self.langs} for own in self.counts]
+
+    @staticmethod
+    def words(text: str) -> list[str]:
+        return regex.findall(r"\p{L}+", text.lower())
+
+    @staticmethod
+    def grams(word: str, n: int) -> list[str]:
+        word = f"<{word}>" if n > 1 else word
+        return [word[i : i + n] for i in range(len(word) - n + 1)]
+
+    def log(self, n: int, gram: str, lang: str) -> float:
+        return math.log((self.counts[n][gram][lang] + 0.05) / (self.totals[n][lang] + 0.05 * (len(self.counts[n]) + 1)))
+
+    def predict(self, text: str) -> tuple[str, float, bool]:
+        words, known = self.words(text), False
+        if not words:
+            return "und", 0.0, False
+        total = dict.fromkeys(self.langs, 0.0)
+        for w in words:
+            size, found = 0, [w] if w in self.counts[0] else []
+            for size in [] if found else range(5, 0, -1):
+                found = [g for g in self.grams(w, size) if g in self.counts[size]]
+                if found:
+                    break
+            known |= bool(found)
+            for y in self.langs if found else ():
+                total[y] += sum(self.log(size, g, y) for g in found) / len(found)
+        best = max(self.langs, key=lambda y: (total[y], -self.langs.index(y)))
+        return best, 1 / sum(math.exp((total[y] - total[best]) * min(len(words), 20) / len(words)) for y in self.langs), known

@@ -505,11 +505,34 @@ def test_language_held_out(spark, sf, documents):
     assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.95 * len(held) and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_language_is_the_plain_one(spark, documents, doc_rows):
+    rows = [(r["text"], r["lang"]) for r in documents.collect()]
+    want = plain.WordFirst([(t, y) for t, y in rows if t is not None and y is not None])
+    texts = [t or "" for t, _ in rows] + ["½ ② Ⅷ", "zzqx", "Straße 123", "ñandú ñandú", "xx " * 500 + "der und die"]
+    langs, scores, sure = langid.Scorer(langid.fit(documents)).predict(texts)
+    for t, name, score, known in zip(texts, langs, scores, sure, strict=True):
+        top, value, any_known = want.predict(t)
+        assert (name, known) == (top, any_known) and abs(score - value) < 1e-9
+    assert langs[-5] == "und" and scores[-5] == 0
+
+
+def test_language_many_and_long_rows(spark):
+    rows = [(k, f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" * 2, f"l{k:04d}") for k in range(1300)]  # more languages than any cap
+    labelled = spark.createDataFrame([*rows, (9999, "x" * 300_000, "l0000")], "doc_id long, text string, lang string")
+    model = langid.fit(labelled)
+    assert len(model["langs"]) == 1300 and max(map(len, model["index"][0])) < 300_000
+    got = langid.predict(labelled.filter("doc_id < 9999"), model).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {k: y for k, _, y in rows}
+    few = langid.fit(labelled, sample_rows=130)
+    assert 60 <= len(few["langs"]) <= 230  # the bound of the sample
+
+
 def test_language_odd(spark, documents):
     model = langid.fit(documents)
     got = langid.predict(frame(spark, odd_docs()), model).collect()
     assert len(got) == len(odd_docs()) and sum(r["lang_pred"] == "und" for r in got) == 4
     df = frame(spark, odd_docs()).withColumns({"lang_pred": F.lit("x"), "score": F.lit(1)})
+    assert langid.keep_known(frame(spark, [(1, "½ Ⅷ"), (2, "\u4e2d"), (3, "the")]), model).first()["doc_id"] == 3  # nothing of the second is known
     kept = langid.keep_known(df, model)
     assert kept.columns == df.columns and kept.count() == len(odd_docs()) - 4
     none = langid.fit(documents.filter("false"))
