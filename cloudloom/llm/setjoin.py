@@ -5,7 +5,8 @@ least ceil(s * n) of its n shingles, so their first n - ceil(s * n) + 1 shingles
 these are joined. Any order is right; common shingles, as a sample shows them, come last, so that the
 joined ones are rare. Every candidate is verified by the whole sets.
 
-Texts with equal sets are one set before anything is joined. A shingle that many sets share would join
+Texts with equal sets are one set before anything is joined. A first guess of the groups (`guess`) may be given: each set is
+verified against the first of its group, and pairs in one component by then need no comparison. A shingle that many sets share would join
 them all with each other: rounds first verify every set against two sets drawn from those that share a shingle with it,
 and pairs that are in one component by then need no comparison. All other pairs are compared at the end,
 so rounds decide the time and never a link.
@@ -17,7 +18,7 @@ sets without a shingle are alike. Shingles and sets are named by 64-bit hashes.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,8 +81,8 @@ def common_shingles(df: DataFrame, text: str, words: int) -> tuple[np.ndarray, n
     return g[order], (len(g) - np.arange(len(g)))[order]
 
 
-def _named(df: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
-    """key, sid, n (shingles) and the prefix of every row."""
+def _named(df: DataFrame, key: str, text: str, words: int, similarity: float, mark: Callable[[str], int]) -> DataFrame:
+    """key, sid, n (shingles), the prefix and the mark of every row."""
     held = df.sparkSession.sparkContext.broadcast(common_shingles(df, text, words))
     df = df.select(key, text)
 
@@ -90,11 +91,13 @@ def _named(df: DataFrame, key: str, text: str, words: int, similarity: float) ->
         for rows, col in text_steps(batches, text):
             sets = shingle_sets(col, words)
             first = [prefix(s, common, rank, similarity).view(np.int64) for s in sets]
+            marks = np.array([mark(t) for t in col.to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array([name_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))], [key, "sid", "n", "prefix"]
+                [rows.column(0), pa.array([name_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(marks)],
+                [key, "sid", "n", "prefix", "mark"],
             )
 
-    return df.mapInArrow(run, T.StructType([df.schema[key], T.StructField("sid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))]))
+    return df.mapInArrow(run, T.StructType([df.schema[key], T.StructField("sid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("mark", T.LongType())]))
 
 
 def _bags(df: DataFrame, text: str, words: int) -> DataFrame:
@@ -125,20 +128,23 @@ def _verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame
     return whole.mapInArrow(run, "a long, b long")
 
 
-def near_sets(df: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
-    """key, sid and component_id: the least key that links of at least `similarity` reach."""
-    named = materialize(_named(df, key, text, words, similarity), "named")
-    distinct = materialize(named.groupBy("sid").agg(F.min(key).alias("low"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "sets")
+def near_sets(df: DataFrame, key: str, text: str, words: int, similarity: float, mark: Callable[[str], int], guess: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """key, sid and component_id: the least key that links of at least `similarity` reach.
+
+    mark: a 64-bit mark of a text. guess: (sid, mark) of the sets -> (sid, head), the groups that the marks suggest; it decides the time and never a link.
+    """
+    named = materialize(_named(df, key, text, words, similarity, mark), "named")
+    distinct = materialize(named.groupBy("sid").agg(F.min(key).alias("low"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("mark").alias("mark")), "sets")
     posts = distinct.select("sid", "n", F.explode("prefix").alias("g")).repartition(parallelism(df.sparkSession), "g")
     shared = posts.join(posts.groupBy("g").agg(F.count("*").alias("held")).filter("held > 1"), "g").select("g", "sid", "n")
     shared = materialize(shared, "shared")
     bags = materialize(_bags(df, text, words).join(shared.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]), "bags")
     fits = (F.col("n_a") >= similarity * F.col("n_b") - 1e-9) & (F.col("n_b") >= similarity * F.col("n_a") - 1e-9)
-    links = found = before = None
+    first = guess(distinct.select("sid", "mark")).filter("sid != head").select(F.col("sid").alias("a"), F.col("head").alias("b"))
+    links, before = materialize(_verified(first, bags, similarity), "links"), None
+    found = materialize(components(links), "components")
     for turn in range(ROUNDS + 1):
-        now = shared.withColumn("component", F.col("sid"))
-        if found is not None:
-            now = shared.join(found, shared.sid == found.node, "left").select("g", "sid", "n", F.coalesce("component", "sid").alias("component"))
+        now = shared.join(found, shared.sid == found.node, "left").select("g", "sid", "n", F.coalesce("component", "sid").alias("component"))
         per = now.groupBy("g", "component").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", F.col("n").alias("m"))).alias("low"), F.max(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", F.col("n").alias("m"))).alias("high"))
         # shingles whose sets are not yet one component
         open_ = materialize(per.groupBy("g").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.min("low").alias("low"), F.max("high").alias("high")).filter("parts > 1"), "open")
@@ -157,12 +163,10 @@ def near_sets(df: DataFrame, key: str, text: str, words: int, similarity: float)
             pairs = now.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), end).select("a", "n_a", F.col("e.sid").alias("b"), F.col("e.m").alias("n_b")).filter((F.col("a") != F.col("b")) & fits)
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         new = materialize(_verified(pairs.select("a", "b").distinct(), bags, similarity), "links")
-        links = new if links is None else links.unionByName(new)
+        links = links.unionByName(new)
         found = materialize(components(links), "components")
         if last:
             break
-    if found is None:
-        return named.join(distinct.select("sid", F.col("low").alias("component_id")), "sid").select(key, "sid", "component_id")
     member = distinct.join(found, distinct.sid == found.node, "left").select("sid", "low", F.coalesce("component", "sid").alias("component"))
     least = member.groupBy("component").agg(F.min("low").alias("component_id"))
     return named.join(member.join(least, "component").select("sid", "component_id"), "sid").select(key, "sid", "component_id")

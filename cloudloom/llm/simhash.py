@@ -155,23 +155,36 @@ def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
     return a.join(b, ["part", "bits"]).filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
+def _members(distinct: DataFrame, distance: int) -> DataFrame:
+    """(fp, low, component) of distinct fingerprints: what links of at most `distance` bits reach."""
+    found = components(links(distinct.select("fp"), distance))
+    return distinct.join(found, distinct.fp == found.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+
+
 def clusters(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
     """key, fp, component_id: the least key that links of at most `distance` bits reach."""
     fps = materialize(fingerprints(df, key, text, words), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min(key).alias("low")), "distinct")
-    found = components(links(distinct.select("fp"), distance))
-    member = distinct.join(found, distinct.fp == found.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+    member = _members(distinct, distance)
     low = member.groupBy("component").agg(F.min("low").alias("component_id"))
     named = member.join(low, "component").select("fp", "component_id")
     return fps.join(named, "fp").select(key, "fp", "component_id")
 
 
-def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, distance: int = 4) -> DataFrame:
     """The rows of df, all columns, that are the first of their group of near-duplicates. Rows that share a key stay or go together; rows with a null key stay.
 
-    Texts link if their shingle sets have at least this similarity, which is verified. Fingerprints find no candidates here: such
-    pairs lie many bits apart, where a search by bits compares nearly all pairs and still loses some; setjoin loses none.
+    Texts link if their shingle sets have at least this similarity, which is verified. Fingerprint links of `distance` bits form the
+    groups to begin with. Pairs near the least similarity lie many bits apart, where a search by bits compares nearly all pairs and
+    still loses some: those are completed by setjoin, which loses none.
     """
-    found = near_sets(df, key, text, words, similarity)
+
+    def guess(sets: DataFrame) -> DataFrame:
+        distinct = materialize(sets.groupBy(F.col("mark").alias("fp")).agg(F.min("sid").alias("low")), "distinct")
+        member = _members(distinct, distance)
+        head = member.groupBy("component").agg(F.min("low").alias("head"))
+        return sets.join(member.join(head, "component").select("fp", "head"), sets.mark == F.col("fp")).select("sid", "head")
+
+    found = near_sets(df, key, text, words, similarity, lambda t: fingerprint(t, words), guess)
     kept = found.filter(F.col(key).isNull() | (F.col(key) == F.col("component_id"))).select(F.col(key).alias("__kept")).distinct()
-    return df.join(kept, F.col(key).eqNullSafe(F.col("__kept")), "left_semi")
+    return df.join(kept, df[key].eqNullSafe(kept["__kept"]), "left_semi")

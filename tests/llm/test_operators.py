@@ -663,3 +663,51 @@ def test_keep_first_takes_every_similar_pair(spark, monkeypatch):
         monkeypatch.setattr(setjoin, "ROUNDS", rounds)
         assert sorted(repr(x["doc_id"]) for x in simhash.keep_first(frame(spark, rows)).collect()) == want
     assert simhash.keep_first(frame(spark, [])).count() == 0
+
+
+# --- the pipeline ----------------------------------------------------------------------------------
+
+
+def _pipeline_rows():
+    r = random.Random(11)
+    rows = []
+    for k in range(40):
+        rows.append((len(rows), "\n".join(prose(1000 + 7 * k + i, r.randrange(5, 40)) for i in range(r.randrange(1, 8))), r.choice(["en", "de", None])))
+    rows += [(len(rows) + i, t, None if i == 5 else "en") for i, t in enumerate([rows[3][1], rows[3][1] + " more", None, "", "12 ½ 3", "\u4e2d\u6587", rows[5][1] + "\n" + rows[6][1]])]
+    own = prose(77, 150).split()
+    for i in range(6):  # near copies, on one line
+        own[20 * i] = f"zz{i}"
+        rows.append((len(rows), " ".join(own), "de"))
+    rows.append((len(rows), prose(5, 20) + " " + prose(500, 30) + " " + prose(6, 20), "en"))
+    return rows
+
+
+def test_pipeline_is_the_plain_one(spark, lib, tmp_path):
+    import corpus_pipeline
+
+    rows, items = _pipeline_rows(), [(1, prose(500, 30)), (2, prose(501, 30)), (3, None)]
+    schema = "doc_id long, text string, lang string"
+    spark.createDataFrame(rows, schema).selectExpr("*", "'s' as source", "1 as sid", "2 as row", "3 as gone", "4 as __kept").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    model = plain.WordFirst([(t, y) for _, t, y in rows if t is not None and y is not None])
+    docs = [(k, t) for k, t, _ in rows if t and model.predict(t)[2]]
+    assert {k for k, t, _ in rows} - {k for k, _ in docs} == {42, 43, 44, 45}
+    docs = [(k, t) for (k, t, _, gone), (_, old) in zip(_plain_lines(docs), docs, strict=True) if gone < sum(bool(x.strip(" \t\n\r\x0b\x0c")) for x in old.split("\n"))]
+    kept = _plain_keep_first(docs)
+    assert len(kept) < len(docs)
+    docs = [(k, t) for k, t in docs if repr(k) in kept]
+    clean = [(k, t) for k, t in docs if not _plain_contained([(k, t)], items)]
+    assert len(clean) == len(docs) - 1
+    want = []
+    for k, t in clean:
+        ids = lib.encode(t, add_special_tokens=False).ids
+        want.append((k, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == want
+
+
+def test_pipeline_of_empty_tables(spark, sf, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").filter("false").write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
