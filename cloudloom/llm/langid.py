@@ -20,7 +20,6 @@ import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
-from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +29,7 @@ from pyspark.sql import types as T
 
 from .common import materialize, ragged, text_steps
 
-#: Runs of letters. In `re`, numbers that are no decimal digits count as letters (one half, circled and Roman ones): they are taken out by their category.
-LETTERS = re.compile(r"[^\W\d_" + "".join(chr(c) for c in range(128, 0x110000) if category(chr(c)) in ("Nl", "No")) + "]+").findall
+_ALNUM = re.compile(r"[^\W\d_]+").findall
 LONGEST = 5
 UND = "und"
 #: Words that a worker remembers before it starts afresh.
@@ -54,6 +52,14 @@ def sample(train: DataFrame, key: str, text: str, lang: str, rows_per_lang: int,
     return fit.join(sizes, fit[lang] == sizes["__lang"]).filter(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) < share).select(*train.columns)
 
 
+def letters(text: str) -> list[str]:
+    """The runs of letters of a text, lower-cased. `re` takes numbers that are no decimal digits (one half, circled and Roman ones) for letters: words that hold one are divided there."""
+    words = _ALNUM(text.lower())
+    if not all(map(str.isalpha, words)):
+        words = [part for w in words for part in "".join(c if c.isalpha() else " " for c in w).split(" ") if part]
+    return words
+
+
 def _grams(word: str, n: int) -> list[str]:
     word = f"<{word}>" if n > 1 else word
     return [word[i : i + n] for i in range(len(word) - n + 1)]
@@ -67,7 +73,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         for rows, col in text_steps(batches, text):
             counts: Counter = Counter()
             for name, t in zip(rows.column(2).to_pylist(), col.to_pylist(), strict=True):
-                counts.update((name, w) for w in LETTERS(t.lower()))
+                counts.update((name, w) for w in letters(t))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "gram", "n"])
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +179,7 @@ class Scorer:
         """Language, score and whether any word or n-gram of the text is known, of each text."""
         if len(self.cache) > CACHE_WORDS:
             self._fresh()
-        found = [LETTERS(t.lower()) for t in texts]
+        found = [letters(t) for t in texts]
         if self.langs:
             self.learn([w for w in set().union(*found) if w not in self.cache])
         langs, scores, sure = [], [], []

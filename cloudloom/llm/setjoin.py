@@ -32,6 +32,8 @@ from .graph import components
 
 #: Share of the texts that shows which shingles are common, and how many of those are kept; only speed depends on them.
 SHARE, COMMON = 0.05, 1 << 18
+#: Sets of (sid, key) rows that are broadcast at most (about 16 MB); more are joined by a shuffle of the texts.
+BROADCAST_ROWS = 500_000
 #: Rounds before all remaining pairs are compared; only speed depends on it.
 ROUNDS = 6
 
@@ -100,19 +102,22 @@ def _named(df: DataFrame, key: str, text: str, words: int, similarity: float, ma
     return df.mapInArrow(run, T.StructType([df.schema[key], T.StructField("sid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("mark", T.LongType())]))
 
 
-def _bags(df: DataFrame, text: str, words: int) -> DataFrame:
-    """sid and the whole set of every row."""
+def _bags(df: DataFrame, key: str, text: str, words: int, wanted: DataFrame) -> DataFrame:
+    """sid and the whole set of the wanted sets (sid, low: the least key that has it), from the texts: no other set is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, col in text_steps(batches, text):
+        for rows, col in text_steps(batches, text):
             sets = shingle_sets(col, words)
-            yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "bag"])
+            names = np.array([name_of(s) for s in sets], np.int64)
+            own = np.flatnonzero(names == rows.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array([sets[i].tobytes() for i in own], pa.binary())], ["sid", "bag"])
 
-    return df.select(text).mapInArrow(run, "sid long, bag binary")
+    texts = df.select(F.col(key).alias("key"), F.col(text).alias(text)).join(wanted, F.col("key").eqNullSafe(F.col("low"))).select("sid", text)
+    return texts.mapInArrow(run, "sid long, bag binary").dropDuplicates(["sid"])
 
 
-def _verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose whole sets are alike."""
+def _verified(pairs: DataFrame, bags: Callable[[DataFrame], DataFrame], distinct: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b; a written table) whose whole sets are alike. Only the sets of these pairs are built, twice over the same exchange."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,8 +128,13 @@ def _verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame
                 keep.append(both >= similarity * (len(one) + len(two) - both) - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    first = pairs.join(bags.select(F.col("sid").alias("a"), F.col("bag").alias("bag_a")), "a")
-    whole = first.join(bags.select(F.col("sid").alias("b"), F.col("bag").alias("bag_b")), "b").select("a", "b", "bag_a", "bag_b")
+    sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    wanted = materialize(distinct.select("sid", "low").join(sids, "sid"), "wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    sets = bags(wanted)
+    first = pairs.join(sets.select(F.col("sid").alias("a"), F.col("bag").alias("bag_a")), "a")
+    whole = first.join(sets.select(F.col("sid").alias("b"), F.col("bag").alias("bag_b")), "b").select("a", "b", "bag_a", "bag_b")
     return whole.mapInArrow(run, "a long, b long")
 
 
@@ -138,10 +148,10 @@ def near_sets(df: DataFrame, key: str, text: str, words: int, similarity: float,
     posts = distinct.select("sid", "n", F.explode("prefix").alias("g")).repartition(parallelism(df.sparkSession), "g")
     shared = posts.join(posts.groupBy("g").agg(F.count("*").alias("held")).filter("held > 1"), "g").select("g", "sid", "n")
     shared = materialize(shared, "shared")
-    bags = materialize(_bags(df, text, words).join(shared.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]), "bags")
+    bags = lambda wanted: _bags(df, key, text, words, wanted)
     fits = (F.col("n_a") >= similarity * F.col("n_b") - 1e-9) & (F.col("n_b") >= similarity * F.col("n_a") - 1e-9)
     first = guess(distinct.select("sid", "mark")).filter("sid != head").select(F.col("sid").alias("a"), F.col("head").alias("b"))
-    links, before = materialize(_verified(first, bags, similarity), "links"), None
+    links, before = materialize(_verified(materialize(first, "pairs"), bags, distinct, similarity), "links"), None
     found = materialize(components(links), "components")
     for turn in range(ROUNDS + 1):
         now = shared.join(found, shared.sid == found.node, "left").select("g", "sid", "n", F.coalesce("component", "sid").alias("component"))
@@ -162,7 +172,7 @@ def near_sets(df: DataFrame, key: str, text: str, words: int, similarity: float,
             end = F.explode(F.array("low", "high")).alias("e")
             pairs = now.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), end).select("a", "n_a", F.col("e.sid").alias("b"), F.col("e.m").alias("n_b")).filter((F.col("a") != F.col("b")) & fits)
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        new = materialize(_verified(pairs.select("a", "b").distinct(), bags, similarity), "links")
+        new = materialize(_verified(materialize(pairs.select("a", "b").distinct(), "pairs"), bags, distinct, similarity), "links")
         links = links.unionByName(new)
         found = materialize(components(links), "components")
         if last:
