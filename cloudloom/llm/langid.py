@@ -32,6 +32,8 @@ from .common import materialize, ragged, text_steps
 _ALNUM = re.compile(r"[^\W\d_]+").findall
 LONGEST = 5
 UND = "und"
+#: Languages (a row of name and count each) that are broadcast at most.
+BROADCAST_LANGS = 100_000
 #: Words that a worker remembers before it starts afresh.
 CACHE_WORDS = 400_000
 #: Words of a text whose scores are added up at a time.
@@ -47,7 +49,9 @@ def sample(train: DataFrame, key: str, text: str, lang: str, rows_per_lang: int,
     """About rows_per_lang rows of each language and sample_rows of all at most, chosen by a hash of the key."""
     fit = train.filter(F.length(text) <= row_chars)
     sizes = fit.groupBy(F.col(lang).alias("__lang")).agg(F.count("*").alias("__rows"))
-    each = sizes.agg(F.least(F.lit(float(rows_per_lang)), F.lit(float(sample_rows)) / F.greatest(F.count("*"), F.lit(1)))).first()[0]
+    n, each = sizes.agg(F.count("*"), F.least(F.lit(float(rows_per_lang)), F.lit(float(sample_rows)) / F.greatest(F.count("*"), F.lit(1)))).first()
+    if n <= BROADCAST_LANGS:  # else the texts are dealt out by language
+        sizes = F.broadcast(sizes)
     share = F.lit(each) / F.col("__rows") * (1 << 30)
     return fit.join(sizes, fit[lang] == sizes["__lang"]).filter(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) < share).select(*train.columns)
 
@@ -116,9 +120,10 @@ class Scorer:
     def __init__(self, model: dict):
         self.langs, self.index, self.model = model["langs"], model["index"], model
         self.unseen = np.array(model["unseen"]).reshape(LONGEST + 1, -1)
-        self._fresh()
+        self.forget()
 
-    def _fresh(self) -> None:
+    def forget(self) -> None:
+        """Lets go of all words: a worker may run other stages next."""
         self.cache: dict[str, int] = {}
         # of a remembered word: its size in the backoff (-1: nothing of it is known), and the languages that have seen it or its n-grams
         self.size, self.first, self.n = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -178,7 +183,7 @@ class Scorer:
     def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[bool]]:
         """Language, score and whether any word or n-gram of the text is known, of each text."""
         if len(self.cache) > CACHE_WORDS:
-            self._fresh()
+            self.forget()
         found = [letters(t) for t in texts]
         if self.langs:
             self.learn([w for w in set().union(*found) if w not in self.cache])
@@ -209,6 +214,7 @@ def keep_known(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
         own = _scorer(held)
         for rows, col in text_steps(batches, text):
             yield rows.filter(pa.array(own.predict(col.to_pylist())[2], pa.bool_()))
+        own.forget()
 
     return df.mapInArrow(run, df.schema)
 
@@ -223,6 +229,7 @@ def predict(df: DataFrame, model: dict, key: str = "doc_id", text: str = "text")
         for rows, col in text_steps(batches, text):
             langs, scores, _ = own.predict(col.to_pylist())
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [key, "lang_pred", "score"])
+        own.forget()
 
     return df.mapInArrow(run, T.StructType([df.schema[key], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
