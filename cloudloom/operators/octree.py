@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .aggregates import AXES, Box, box_of, whole_point
 
 NEAR, FAR = 0.1, 10_000.0
+EMPTY = Box(*[0.0] * 6)  # of a cloud without points
 
 
 def octant(x: Column, y: Column, z: Column, center: tuple[Column, Column, Column]) -> Column:
@@ -50,7 +51,7 @@ def nodes(with_paths: DataFrame, most: int, depth: int = 8) -> DataFrame:
 
 def leaves(points: DataFrame, most: int, depth: int = 8, box: Box | None = None) -> DataFrame:
     """points with leaf (path of their leaf)."""
-    box = box or box_of(points)
+    box = box or box_of(points) or EMPTY
     placed = paths(points, box, depth)
     full = placed.select("path").distinct()
     tree = nodes(placed, most, depth).filter("leaf").select(F.col("node").alias("leaf"))
@@ -161,7 +162,7 @@ def frustum_leaves(tree: DataFrame, box: Box, planes: list) -> DataFrame:
 
 def frustum_query(points: DataFrame, planes: list, most: int, depth: int = 8) -> DataFrame:
     """All points of the leaves that meet the frustum (whole leaves, no test of single points), with leaf."""
-    box = box_of(points)
+    box = box_of(points) or EMPTY
     placed = paths(points, box, depth)
     seen = frustum_leaves(nodes(placed, most, depth), box, planes).select(F.col("node").alias("leaf"))
     ups = placed.select("path").distinct().select("path", F.explode(F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda d: F.substring(F.col("path"), F.lit(1), d))).alias("leaf"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color, text, units
 from ..operators import aggregates as agg
-from ..operators import clouds, kdstats, numbering, octree, poisson, sampling, spatial, telemetry, updates
+from ..operators import clouds, display, kdstats, numbering, octree, poisson, reports, sampling, spatial, telemetry, updates
 from ..operators.aggregates import AXES, micros
 from ..sources import ply
 
@@ -115,7 +115,14 @@ def hex_color(spark: SparkSession, sf: str) -> DataFrame:
     return clouds.events(spark, sf).select("idx", color.to_hex(F.col("rgb")).alias("hex")).withColumn("back", color.from_hex(F.col("hex")))
 
 
-@query("SELECT i::BIGINT AS i, [" + ", ".join(str(v) for v in color.lut("viridis")) + "][i + 1]::BIGINT AS rgb FROM (SELECT unnest(range(256)) AS i)")
+def _sql_stops(name: str) -> str:
+    """SQL for the packed colour at t, between the stops of a gradient."""
+    stops = color.GRADIENTS[name]
+    at = lambda k, c: f"round({stops[k][1][c]} + ({stops[k + 1][1][c] - stops[k][1][c]}) * ((t - {stops[k][0]}) / {stops[k + 1][0] - stops[k][0]}))::BIGINT"
+    return "CASE " + " ".join(f"WHEN t <= {stops[k + 1][0]} THEN ({at(k, 0)} << 16) | ({at(k, 1)} << 8) | {at(k, 2)}" for k in range(len(stops) - 1)) + " END"
+
+
+@query(f"SELECT i::BIGINT AS i, {_sql_stops('viridis')} AS rgb FROM (SELECT i, i::DOUBLE / 255 AS t FROM (SELECT unnest(range(256)) AS i))")
 def gradient_lut(spark: SparkSession, sf: str) -> DataFrame:
     return spark.range(256).select(F.col("id").alias("i"), color.gradient(F.col("id") / 255.0, "viridis").alias("rgb"))
 
@@ -186,6 +193,19 @@ def color_rgb_xyz(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("idx", color.rgb_xyz(*(_normalized(p, a) for a in AXES)).alias("rgb"))
 
 
+_SHOWN = [("Height", "color_height"), ("single", "color_single"), ("random", "color_random"), ("sparkling", None), ("intensity", "color_height")]
+
+
+@query(" UNION ALL ".join(f"SELECT '{mode}' AS mode, idx, rgb FROM (" + (ORACLE_SQL[other] if other else f"{_with('c1')} SELECT idx, rgb FROM c1") + ")" for mode, other in _SHOWN))
+def display_colors(spark: SparkSession, sf: str) -> DataFrame:
+    """The colours of one cloud in five modes: of these one is unknown (original) and one asks for intensities that the cloud lacks (height)."""
+    p, out = clouds.events(spark, sf).drop("intensity"), None
+    for mode, _ in _SHOWN:
+        own = display.colorize(p, mode, "viridis", "#3366ff", _SEED).select(F.lit(mode).alias("mode"), "idx", "rgb")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{label}', {str(g).lower()}, {str(s).lower()})" for k, label, g, s in color.MODES) + ") AS t(mode, label, gradient, single_color)")
 def color_modes(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(color.MODES, "mode string, label string, gradient boolean, single_color boolean")
@@ -346,11 +366,44 @@ def frustum_stats(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{_with('c3')}, {_sql_octree('c3')}, {_sql_boxes()}, v AS (SELECT p.idx, row_number() OVER (ORDER BY p.idx) - 1 AS pos FROM pts p JOIN mk m ON m.leaf AND m.meets AND m.node = p.path[1:m.depth]), d AS (SELECT idx, pos // 2 AS pos FROM v WHERE pos % 2 = 0), l AS (SELECT idx, pos, greatest(ceil(count(*) OVER () / 500.0)::BIGINT, 1) AS step FROM d), k AS (SELECT idx FROM l WHERE pos % step = 0 AND pos // step < 500), g AS (SELECT idx, idx - row_number() OVER (ORDER BY idx) AS g FROM k) SELECT min(idx)::BIGINT AS start_idx, max(idx)::BIGINT AS end_idx, count(*)::BIGINT AS n FROM g GROUP BY g")
 def view_query(spark: SparkSession, sf: str) -> DataFrame:
     """Frustum, then density, then the display limit, then runs of consecutive ordinals."""
-    seen = octree.frustum_query(clouds.orders(spark, sf), PLANES, MOST, DEPTH).select("idx")
-    return numbering.runs(sampling.by_limit(sampling.by_density(seen, 0.5).select("idx"), 500).select("idx"))
+    return display.view(clouds.orders(spark, sf), PLANES, MOST, DEPTH, density=0.5, limit=500)
 
 
-@query()
+@query(f"{_with('c3')}, {_sql_octree('c3')} SELECT p.idx, n.node AS leaf FROM pts p JOIN nodes n ON n.leaf AND n.node = p.path[1:n.depth] WHERE p.path[1:1] = '3' AND n.node[1:1] = '3'")
+def octree_subtree(spark: SparkSession, sf: str) -> DataFrame:
+    return display.subtree(octree.leaves(clouds.orders(spark, sf), MOST, DEPTH), "3").select("idx", "leaf")
+
+
+_KEY = lambda v, q: f"printf('%.3f', round(({v}) / {q}) * {q})"
+
+
+@query(f"{_with('c3')} SELECT idx, " + " || ':' || ".join([*(_KEY(v, 0.1) for v in ("x", "y", "z", "x / 3", "y / 7", "0.0")), _KEY("(idx % 120) / 3.0", 0.25)]) + " AS key FROM c3")
+def camera_keys(spark: SparkSession, sf: str) -> DataFrame:
+    x, y, z = map(F.col, AXES)
+    return clouds.orders(spark, sf).select("idx", display.camera_key((x, y, z), (x / 3, y / 7, F.lit(None).cast("double")), (F.col("idx") % 120) / 3.0).alias("key"))
+
+
+@query(f"{_with('c2')} SELECT idx FROM c2 WHERE sqrt((x * 1000 - 50) * (x * 1000 - 50) + (y * 1000 - 50) * (y * 1000 - 50)) < 20")
+def hover_snap(spark: SparkSession, sf: str) -> DataFrame:
+    return clouds.embeddings(spark, sf).filter(display.snaps(F.col("x") * 1000, F.col("y") * 1000, (50.0, 50.0))).select("idx")
+
+
+@query(f"{_with('c1')}, r AS (SELECT idx // 500 AS chunk, min(intensity) AS lo, max(intensity) AS hi FROM c1 GROUP BY 1) SELECT min(lo) AS min_intensity, max(hi) AS max_intensity FROM r")
+def range_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Partial ranges, every second one with its ends in the wrong order."""
+    p = clouds.events(spark, sf).groupBy(F.floor(F.col("idx") / 500).alias("chunk")).agg(F.min("intensity").alias("lo"), F.max("intensity").alias("hi"))
+    odd = F.col("chunk") % 2 == 1
+    return display.merge_ranges(p.select(F.when(odd, F.col("hi")).otherwise(F.col("lo")).alias("min_intensity"), F.when(odd, F.col("lo")).otherwise(F.col("hi")).alias("max_intensity")))
+
+
+@query("SELECT p_partkey AS idx, p_size = 0 OR abs(p_partkey % 100 - p_size)::DOUBLE / p_size > 0.5 AS rebuild, round(p_size + (p_retailprice - p_size) * least(greatest(p_size / 40.0 - 0.1, 0.0), 1.0), 9) AS value FROM part")
+def display_ramp(spark: SparkSession, sf: str) -> DataFrame:
+    p = clouds.table(spark, sf, "part")
+    size = F.col("p_size")
+    return p.select(F.col("p_partkey").alias("idx"), display.rebuilds(F.col("p_partkey") % 100, size).alias("rebuild"), F.round(display.lerp(size, F.col("p_retailprice"), size / 40.0 - 0.1), 9).alias("value"))
+
+
+@query("SELECT depth::BIGINT AS depth, (round(CASE i WHEN 0 THEN 0.9 WHEN 1 THEN q WHEN 2 THEN p WHEN 3 THEN p WHEN 4 THEN t ELSE 0.9 END * 255)::BIGINT << 16) | (round(CASE i WHEN 0 THEN t WHEN 1 THEN 0.9 WHEN 2 THEN 0.9 WHEN 3 THEN q ELSE p END * 255)::BIGINT << 8) | round(CASE i WHEN 0 THEN p WHEN 1 THEN p WHEN 2 THEN t WHEN 3 THEN 0.9 WHEN 4 THEN 0.9 ELSE q END * 255)::BIGINT AS rgb FROM (SELECT depth, floor(h) AS i, 0.9::DOUBLE * (1 - 0.6::DOUBLE) AS p, 0.9::DOUBLE * (1 - 0.6::DOUBLE * (h - floor(h))) AS q, 0.9::DOUBLE * (1 - 0.6::DOUBLE * (1 - (h - floor(h)))) AS t FROM (SELECT depth, (depth % 8)::DOUBLE / 8 * 6 AS h FROM (SELECT unnest(range(10)) AS depth)))")
 def depth_colors(spark: SparkSession, sf: str) -> DataFrame:
     return spark.range(10).select(F.col("id").alias("depth"), octree.depth_color(F.col("id")).alias("rgb"))
 
@@ -562,10 +615,32 @@ def history_last20(spark: SparkSession, sf: str) -> DataFrame:
     return updates.last_rows(updates.measure(_pairs(spark, sf)), "idx", 20).select("idx", F.round("distance", 9).alias("distance"))
 
 
-@query(_SQL_PAIRS + ''' SELECT idx, '"' || idx || '","' || printf('%.3f', sqrt(dx * dx + dy * dy + dz * dz)) || '","say ""hi""' || '"' AS line FROM d''')
+@query(_SQL_PAIRS + ''' SELECT idx, '"' || strftime(TIMESTAMP '1970-01-01' + to_seconds(idx * 3600), '%Y-%m-%dT%H:%M:%SZ') || '","' || printf('%.3f', sqrt(dx * dx + dy * dy + dz * dz)) || '","say ""hi""","' || ''' + """ || '","' || """.join(f"printf('%.6f', {e}_{c})" for e in ("from", "to") for c in AXES) + """ || '"' AS line FROM d""")
 def measurement_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The nine columns of a measurement, all quoted."""
     m = updates.measure(_pairs(spark, sf))
-    return m.select("idx", updates.csv_row(F.col("idx"), text.fixed(F.col("distance"), 3), F.lit('say "hi"')).alias("line"))
+    own = m.select("idx", reports.iso(reports.timestamp(F.col("idx") * 3600)).alias("timestamp"), text.fixed(F.col("distance"), 3).alias("distance"), F.lit('say "hi"').alias("label"), *(text.fixed(F.col(f"{e}_{c}"), 6).alias(f"{e}_{c}") for e in ("from", "to") for c in AXES))
+    return own.select("idx", updates.csv_row(*map(F.col, reports.COLUMNS["measurements"])).alias("line"))
+
+
+@query("SELECT o_orderkey AS idx, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(o_orderdate, '%d.%m.%Y %H:%M:%S') AS shown FROM orders")
+def timestamps(spark: SparkSession, sf: str) -> DataFrame:
+    ts = reports.timestamp(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    return clouds.table(spark, sf, "orders").select(F.col("o_orderkey").alias("idx"), reports.iso(ts).alias("iso"), reports.shown(ts).alias("shown"))
+
+
+@query("SELECT event_type AS scenario, round(sum(value), 6) AS duration, count(*)::BIGINT AS processed, max(user_id)::BIGINT AS peak_memory, round(count(*) / sum(value), 9) AS rate FROM events GROUP BY 1")
+def bench_summary(spark: SparkSession, sf: str) -> DataFrame:
+    e = clouds.table(spark, sf, "events").select(F.col("event_type").alias("scenario"), F.col("value").alias("duration"), F.lit(1).alias("processed"), F.col("user_id").alias("peak_memory"))
+    return reports.summary(e, "scenario").select("scenario", F.round("duration", 6).alias("duration"), "processed", "peak_memory", F.round("rate", 9).alias("rate"))
+
+
+@query("SELECT user_id AS job, round(sum(value), 6) AS total, round(coalesce(sum(value) FILTER (WHERE event_id % 3 = 0), 0), 6) AS parse, round(coalesce(sum(value) FILTER (WHERE event_id % 3 = 1), 0), 6) AS append, max(event_id)::BIGINT AS points, max(event_id % 1000)::BIGINT AS peak_memory FROM events GROUP BY 1")
+def import_summary(spark: SparkSession, sf: str) -> DataFrame:
+    phase = F.element_at(F.array(F.lit("parsing"), F.lit("append"), F.lit("register")), (F.col("event_id") % 3 + 1).cast("int"))
+    e = clouds.table(spark, sf, "events").select(F.col("user_id").alias("job"), phase.alias("phase"), F.col("value").alias("duration"), F.col("event_id").alias("points"), (F.col("event_id") % 1000).alias("peak_memory"))
+    s = reports.import_summary(e)
+    return s.select("job", *(F.round(c, 6).alias(c) for c in ("total", "parse", "append")), "points", "peak_memory")
 
 
 @query("""WITH c AS (SELECT event_type, count(*) AS n, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1) SELECT '{"name":"' || event_type || '","points":' || n || ',"visible":true}' AS json FROM c""")
@@ -711,6 +786,8 @@ def fmt_point(spark: SparkSession, sf: str) -> DataFrame:
     return clouds.embeddings(spark, sf).select("idx", text.point(F.col("x"), F.col("y"), F.col("z")).alias("s"))
 
 
-@query()
+@query("""WITH RECURSIVE n(name) AS (VALUES ('events'), ('orders'), ('Point Cloud'), ('')),
+h(name, i, v) AS (SELECT name, 0, 2166136261::UBIGINT FROM n UNION ALL SELECT name, i + 1, (xor(v, ascii(name[i + 1])::UBIGINT) * 16777619) % 4294967296 FROM h WHERE i < length(name))
+SELECT name, v::BIGINT AS seed FROM h WHERE i = length(name)""")
 def fnv_seed(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(n, color.fnv1a(n)) for n in ("events", "orders", "Point Cloud", "")], "name string, seed long")

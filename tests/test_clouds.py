@@ -241,3 +241,33 @@ def test_unique_names_of_a_common_name_in_ranges(spark):
     assert {r["id"]: r["unique_name"] for r in out.collect()} == want
     windows = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number" in line]
     assert windows and all("__part" in line for line in windows)  # a task holds a range of a name, not a name
+
+
+def test_display_scalars_and_fallbacks(spark):
+    from cloudloom.operators import display
+
+    assert display.world_tolerance(10.0, 0.5) == 5.0 and display.world_tolerance(10.0, None, 200.0, 100.0) == 20.0 and display.world_tolerance(10.0) == 10.0
+    assert display.first_limit(250_000, 1000, 1.0) == (1000, 0.3)
+    p = spark.createDataFrame([(0, 0.0, 0.0, 0.0, None, 1.0), (1, 1.0, 2.0, 3.0, 255, None)], "idx long, x double, y double, z double, rgb long, intensity double")
+    rgb = lambda *a: [r["rgb"] for r in display.colorize(p, *a).orderBy("idx").collect()]
+    assert rgb("original") == [0xFFFFFF, 255] == rgb(None) and rgb("rgb_xyz") == [0, 0xFFFFFF]
+    assert rgb("intensity", "nonsense")[1] == rgb("height", "viridis")[1]  # no value: by height
+    assert [r["rgb"] for r in display.colorize(p.drop("rgb"), "original").collect()] == [0xFFFFFF] * 2
+    catalog = spark.createDataFrame([("a", True, True, 3), ("b", True, False, 3), ("c", False, True, 3), ("d", True, True, 0)], "name string, visible boolean, pending boolean, points int")
+    assert [r["name"] for r in display.candidates(catalog).collect()] == ["a"]
+    assert display.view(p, octree.frustum((0.0, 0.0, -9.0), (0.0, 0.0, 0.0)), 10, 3, visible=False).count() == 0
+    ends = spark.createDataFrame([(0.5, 2.0), (0.2, None), (None, 3.5), (4.0, 1.0)], "min_intensity double, max_intensity double")
+    assert tuple(display.merge_ranges(ends).first()) == (0.2, 4.0)
+
+
+def test_report_rows_and_csv(spark, tmp_path):
+    from cloudloom.operators import reports
+
+    df = spark.createDataFrame([("b", True, 1.5, ["x", "y"], 7)], "scenario string, economy_enabled boolean, duration double, notes array<string>, other int")
+    for _ in range(2):
+        reports.append(df, "color_bench", str(tmp_path / "m"))
+    got = spark.read.option("header", True).csv(str(tmp_path / "m")).collect()
+    assert len(got) == 2 and got[0].asDict()["economy_enabled"] == "1" and got[0]["notes"] == "x|y" and [*got[0].asDict()] == reports.COLUMNS["color_bench"]
+    assert [len(reports.COLUMNS[k]) for k in ("color_rebuild", "color_bench", "stress", "measurements")] == [16, 10, 8, 9]
+    ts = spark.createDataFrame([("0",), ("2020-02-03 04:05:06",), ("never",)], "t string").select(reports.iso(reports.timestamp(F.col("t"))).alias("t")).collect()
+    assert ts[0]["t"] == "1970-01-01T00:00:00Z" and ts[1]["t"] == "2020-02-03T04:05:06Z" and ts[2]["t"] > "2024"
