@@ -102,28 +102,46 @@ def _named(df: DataFrame, key: str, text: str, words: int, similarity: float, ma
     return df.mapInArrow(run, T.StructType([df.schema[key], T.StructField("sid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("mark", T.LongType())]))
 
 
-def _bags(df: DataFrame, key: str, text: str, words: int, wanted: DataFrame) -> DataFrame:
-    """sid and the whole set of the wanted sets (sid, low: the least key that has it), from the texts: no other set is shuffled."""
+def _bags(df: DataFrame, key: str, text: str, words: int, wanted: DataFrame, short: bool) -> DataFrame:
+    """sid and the whole set of the wanted sets (sid, low: the least key that has it), from the texts: no other set is shuffled.
+
+    short: two bytes of each shingle, sorted; what two sets share, their short forms share at least.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, col in text_steps(batches, text):
             sets = shingle_sets(col, words)
             names = np.array([name_of(s) for s in sets], np.int64)
             own = np.flatnonzero(names == rows.column(0).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array([sets[i].tobytes() for i in own], pa.binary())], ["sid", "bag"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array([(np.sort(sets[i].astype(np.uint16)) if short else sets[i]).tobytes() for i in own], pa.binary())], ["sid", "bag"])
 
     texts = df.select(F.col(key).alias("key"), F.col(text).alias(text)).join(wanted, F.col("key").eqNullSafe(F.col("low"))).select("sid", text)
     return texts.mapInArrow(run, "sid long, bag binary").dropDuplicates(["sid"])
 
 
-def _verified(pairs: DataFrame, bags: Callable[[DataFrame], DataFrame], distinct: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b; a written table) whose whole sets are alike. Only the sets of these pairs are built, twice over the same exchange."""
+def _numbered(x: np.ndarray) -> np.ndarray:
+    """Sorted values made distinct: each with its place among its equals."""
+    i = np.arange(len(x))
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x.astype(np.int64) << 40 | i - np.maximum.accumulate(np.where(new, i, 0))
+
+
+def _verified(pairs: DataFrame, bags: Callable[[DataFrame, bool], DataFrame], distinct: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b; a written table) whose whole sets are alike. Short forms, a quarter of the size, rule out pairs that share too little; the others are compared by their sets."""
+    return _alike(materialize(_alike(pairs, bags, distinct, similarity, True), "likely"), bags, distinct, similarity, False)
+
+
+def _alike(pairs: DataFrame, bags: Callable[[DataFrame, bool], DataFrame], distinct: DataFrame, similarity: float, short: bool) -> DataFrame:
+    """The pairs that are alike by their sets, or can be by the short forms. Only the sets of these pairs are built, twice over the same exchange."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                one, two = (np.frombuffer(z.as_buffer(), np.uint16 if short else np.uint64) for z in (x, y))
+                if short:
+                    one, two = _numbered(one), _numbered(two)
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 keep.append(both >= similarity * (len(one) + len(two) - both) - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -132,7 +150,7 @@ def _verified(pairs: DataFrame, bags: Callable[[DataFrame], DataFrame], distinct
     wanted = materialize(distinct.select("sid", "low").join(sids, "sid"), "wanted")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    sets = bags(wanted)
+    sets = bags(wanted, short)
     first = pairs.join(sets.select(F.col("sid").alias("a"), F.col("bag").alias("bag_a")), "a")
     whole = first.join(sets.select(F.col("sid").alias("b"), F.col("bag").alias("bag_b")), "b").select("a", "b", "bag_a", "bag_b")
     return whole.mapInArrow(run, "a long, b long")
@@ -148,7 +166,7 @@ def near_sets(df: DataFrame, key: str, text: str, words: int, similarity: float,
     posts = distinct.select("sid", "n", F.explode("prefix").alias("g")).repartition(parallelism(df.sparkSession), "g")
     shared = posts.join(posts.groupBy("g").agg(F.count("*").alias("held")).filter("held > 1"), "g").select("g", "sid", "n")
     shared = materialize(shared, "shared")
-    bags = lambda wanted: _bags(df, key, text, words, wanted)
+    bags = lambda wanted, short: _bags(df, key, text, words, wanted, short)
     fits = (F.col("n_a") >= similarity * F.col("n_b") - 1e-9) & (F.col("n_b") >= similarity * F.col("n_a") - 1e-9)
     first = guess(distinct.select("sid", "mark")).filter("sid != head").select(F.col("sid").alias("a"), F.col("head").alias("b"))
     links, before = materialize(_verified(materialize(first, "pairs"), bags, distinct, similarity), "links"), None
