@@ -14,7 +14,7 @@ from cloudloom.llm.queries import BYTE_BPE
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled documents teach; null texts and texts without a letter go."""
+    """Documents in a language that the labelled documents teach; null texts, texts without a letter and those of which the model knows no word or n-gram go."""
     return langid.keep_known(docs, langid.fit(docs))
 
 
@@ -51,7 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over sf_dir's documents; each stage is written to the shared folder and read again."""
+    """All stages over sf_dir's documents; each stage is written to the shared folder and read again.
+
+    Defined cases: null, empty and letterless texts go in the first stage; empty tables give no rows; other columns, whatever
+    their names, pass all stages but the last; rows that repeat an id are kept or dropped together by the near-dedup.
+    """
     base = posixpath.join(shared_dir(spark), "cloudloom", uuid.uuid4().hex)
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
