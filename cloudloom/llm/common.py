@@ -42,6 +42,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, by: str) -> tuple[DataFrame, str]:
+    """Like materialize, in buckets of column `by`, and the name of the table: what groups or joins by that column reads them without a shuffle."""
+    spark = df.sparkSession
+    held = f"cloudloom_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/cloudloom/{uuid.uuid4().hex}/{name}"
+    n = parallelism(spark)
+    df.repartition(n, by).write.bucketBy(n, by).option("compression", "zstd").option("path", path).saveAsTable(held)
+    return spark.table(held), held
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 

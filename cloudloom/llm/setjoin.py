@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, NOT_SPACE, flat_bytes, materialize, parallelism, sequence_hash, span_hash, text_steps, word_spans
+from .common import LOWER, NOT_SPACE, bucketed, flat_bytes, materialize, parallelism, sequence_hash, span_hash, text_steps, word_spans
 from .graph import components
 
 #: Share of the texts that shows which shingles are common, and how many of those are kept; only speed depends on them.
@@ -163,16 +163,18 @@ def near_sets(df: DataFrame, key: str, text: str, words: int, similarity: float,
     """
     named = materialize(_named(df, key, text, words, similarity, mark), "named")
     distinct = materialize(named.groupBy("sid").agg(F.min(key).alias("low"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("mark").alias("mark")), "sets")
-    posts = distinct.select("sid", "n", F.explode("prefix").alias("g")).repartition(parallelism(df.sparkSession), "g")
-    shared = posts.join(posts.groupBy("g").agg(F.count("*").alias("held")).filter("held > 1"), "g").select("g", "sid", "n")
-    shared = materialize(shared, "shared")
+    # (sid, n) as one value: both sides of the join read one exchange of the same columns
+    posts = distinct.select(F.explode("prefix").alias("g"), F.struct("sid", "n").alias("post")).repartition(parallelism(df.sparkSession), "g")
+    several = posts.groupBy("g").agg(F.min("post").alias("low"), F.max("post").alias("high")).filter("low != high")
+    shared, held = bucketed(posts.join(several, "g").select("g", "post.sid", "post.n"), "shared", "g")
     bags = lambda wanted, short: _bags(df, key, text, words, wanted, short)
     fits = (F.col("n_a") >= similarity * F.col("n_b") - 1e-9) & (F.col("n_b") >= similarity * F.col("n_a") - 1e-9)
     first = guess(distinct.select("sid", "mark")).filter("sid != head").select(F.col("sid").alias("a"), F.col("head").alias("b"))
     links, before = materialize(_verified(materialize(first, "pairs"), bags, distinct, similarity), "links"), None
     found = materialize(components(links), "components")
     for turn in range(ROUNDS + 1):
-        now = shared.join(found, shared.sid == found.node, "left").select("g", "sid", "n", F.coalesce("component", "sid").alias("component"))
+        known = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+        now = shared.join(known, shared.sid == found.node, "left").select("g", "sid", "n", F.coalesce("component", "sid").alias("component"))
         per = now.groupBy("g", "component").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", F.col("n").alias("m"))).alias("low"), F.max(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", F.col("n").alias("m"))).alias("high"))
         # shingles whose sets are not yet one component
         open_ = materialize(per.groupBy("g").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.min("low").alias("low"), F.max("high").alias("high")).filter("parts > 1"), "open")
@@ -195,6 +197,7 @@ def near_sets(df: DataFrame, key: str, text: str, words: int, similarity: float,
         found = materialize(components(links), "components")
         if last:
             break
+    df.sparkSession.sql(f"DROP TABLE {held}")  # the name; what is returned does not read it
     member = distinct.join(found, distinct.sid == found.node, "left").select("sid", "low", F.coalesce("component", "sid").alias("component"))
     least = member.groupBy("component").agg(F.min("low").alias("component_id"))
     return named.join(member.join(least, "component").select("sid", "component_id"), "sid").select(key, "sid", "component_id")
