@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import materialize, text_steps
 from .graph import components
-from .setjoin import near_sets
+from .setjoin import BROADCAST_ROWS, near_sets
 
 BITS = 64
 #: Fingerprints from which the partitions are planned; only speed depends on it.
@@ -186,5 +186,8 @@ def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", words: in
         return sets.join(member.join(head, "component").select("fp", "head"), sets.mark == F.col("fp")).select("sid", "head")
 
     found = near_sets(df, key, text, words, similarity, lambda t: fingerprint(t, words), guess)
-    kept = found.filter(F.col(key).isNull() | (F.col(key) == F.col("component_id"))).select(F.col(key).alias("__kept")).distinct()
-    return df.join(kept, df[key].eqNullSafe(kept["__kept"]), "left_semi")
+    # a key goes if none of its rows is the first of its group; few keys go by a broadcast, so that the texts are not shuffled
+    gone = materialize(found.groupBy(key).agg(F.max(F.col(key) == F.col("component_id")).alias("first")).filter("not first").select(F.col(key).alias("__gone")), "gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return df.join(gone, df[key] == gone["__gone"], "left_anti")
