@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, embed, html, katz, langid, linededup, simhash, suffix, tokenio
+from . import bpe, chat, decontam, embed, html, katz, langid, linededup, simhash, suffix, tokenio
 from .common import shared_dir, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -62,11 +62,16 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.probe(spark))
+    return chat.digest(chat.format(turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_html_extraction, op3_bpe, op4_lm_scoring, op5_suffix_array_dedup, op6_embedding_near_dedup,
-        op7_benchmark_decontamination, op8_language_id, op9_token_output, op10_simhash_near_dedup,
+        op7_benchmark_decontamination, op8_language_id, op9_token_output, op10_simhash_near_dedup, op12_chat_formatting,
     )
 }
 
@@ -109,5 +114,25 @@ comp AS (SELECT s AS vec_id, min(t) AS component_id FROM reach GROUP BY s),
 deg AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, c.component_id::BIGINT AS component_id, e.vec_id = c.component_id AS kept
 FROM embeddings e JOIN comp c USING (vec_id) LEFT JOIN deg d USING (vec_id)
+""",
+    "op12_chat_formatting": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS seq,
+             4 + len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]')) AS tokens,
+             replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'),
+                     '[/INST]', '[\/INST]'), '<<SYS>>', '<\<SYS>>'), '<</SYS>>', '<\</SYS>>'), '<|im_start|>', '<\|im_start|>'), '<|im_end|>', '<\|im_end|>') AS body FROM c),
+s AS (SELECT *, 3 + length(url_encode(role)) + 1 + length(body) + 4 AS size,
+             coalesce(max(CASE WHEN seq = 0 AND role = 'system' THEN tokens END) OVER (PARTITION BY conv_id), 0) AS held FROM e),
+p AS (SELECT *, seq = 0 AND held > 0 AS first, greatest(1024 - 128 - held, 256) // 2 AS half, greatest(1024 - 128 - held, 256) AS room,
+             greatest(coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - held, 0)::BIGINT AS begin FROM s),
+w AS (SELECT *, begin // half AS cell, NOT first AND begin % half > 0 AND begin % half + tokens > room AS alone FROM p),
+o AS (SELECT conv_id, cell, alone, sum(size) AS size, min(seq) AS seq, min(begin) FILTER (WHERE NOT first) AS begin FROM w GROUP BY ALL),
+h AS (SELECT o.conv_id, o.cell, o.alone, sum(w.size) AS size FROM o JOIN w ON o.conv_id = w.conv_id AND NOT w.first AND w.begin < o.begin AND w.begin >= o.begin - 128 GROUP BY ALL),
+f AS (SELECT o.conv_id, sum(o.size + coalesce(h.size, 0) + CASE WHEN o.seq > 0 THEN coalesce(y.size, 0) ELSE 0 END) AS formatted_chars
+      FROM o LEFT JOIN h ON h.conv_id = o.conv_id AND h.cell = o.cell AND h.alone = o.alone LEFT JOIN (SELECT conv_id, size FROM w WHERE first) y ON y.conv_id = o.conv_id GROUP BY 1),
+d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY seq)) AS turns_sha256,
+             coalesce(string_agg(text, '' ORDER BY seq) FILTER (WHERE role = 'assistant'), '') AS loss FROM e GROUP BY 1)
+SELECT conv_id, n_turns::BIGINT AS n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM d JOIN f USING (conv_id)
 """,
 }
