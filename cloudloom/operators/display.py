@@ -84,8 +84,8 @@ def snaps(x: Column, y: Column, at: tuple[float, float], pixels: float = SNAP_PI
 
 
 def rebuilds(limit: Column, snapshot: Column, share: float = REBUILD_SHARE) -> Column:
-    """Whether the display limit has changed so much since the snapshot that the tree is built anew; without a snapshot it is."""
-    return F.when(snapshot > 0, F.abs(limit - snapshot) / snapshot > share).otherwise(True)
+    """Whether the display limit has changed so much since the snapshot that the tree is built anew; without a positive snapshot it is not."""
+    return F.coalesce((snapshot > 0) & (F.abs(limit - snapshot) / F.when(snapshot > 0, snapshot) > share), F.lit(False))
 
 
 def lerp(start: Column, target: Column, progress: Column) -> Column:

@@ -3,8 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables that queries leave, below the one that all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="cloudloom-")
+    return f"{base.rstrip('/')}/cloudloom/{uuid.uuid4().hex}/{name}"
 
 
 def written(df: DataFrame) -> DataFrame:

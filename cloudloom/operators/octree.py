@@ -9,12 +9,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .aggregates import AXES, Box, box_of, whole_point
+from .lineage import written
 
 NEAR, FAR = 0.1, 10_000.0
+#: Up to this depth the ends of an axis' cells are a literal of 2^depth numbers.
+LOOKUP_DEPTH = 12
 EMPTY = Box(*[0.0] * 6)  # of a cloud without points
 
 
@@ -23,25 +27,69 @@ def octant(x: Column, y: Column, z: Column, center: tuple[Column, Column, Column
     return bits[0] + bits[1] * 2 + bits[2] * 4
 
 
-def paths(points: DataFrame, box: Box, depth: int = 8) -> DataFrame:
-    """points (whole ones) with path: midpoints are taken level by level, so they agree with a recursive split to the last bit."""
-    df = points.filter(whole_point()).withColumns({f"__{e}{a}": F.lit(float(getattr(box, f"{n}_{a}"))) for e, n in (("l", "min"), ("h", "max")) for a in AXES} | {"path": F.lit("")})
+def edges(low: float, high: float, depth: int) -> list[float]:
+    """The lower ends of an axis' 2^depth cells, halved level by level, so they agree with a recursive split to the last bit."""
+    out = [low, high]
     for _ in range(depth):
-        df = df.withColumns({f"__m{a}": (F.col(f"__l{a}") + F.col(f"__h{a}")) / 2 for a in AXES})
-        up = {a: F.col(a) >= F.col(f"__m{a}") for a in AXES}
-        digit = octant(F.col("x"), F.col("y"), F.col("z"), tuple(F.col(f"__m{a}") for a in AXES))
-        df = df.withColumns(
-            {f"__l{a}": F.when(up[a], F.col(f"__m{a}")).otherwise(F.col(f"__l{a}")) for a in AXES}
-            | {f"__h{a}": F.when(up[a], F.col(f"__h{a}")).otherwise(F.col(f"__m{a}")) for a in AXES}
-            | {"path": F.concat("path", digit.cast("string"))}
-        )
-    return df.drop(*(f"__{e}{a}" for e in "lhm" for a in AXES))
+        out = [v for a, b in zip(out, out[1:], strict=False) for v in (a, (a + b) / 2)] + [high]
+    return out[:-1]
+
+
+def _looked_up(low: float, high: float, depth: int) -> bool:
+    """Whether division finds a cell but for one: cells are much wider than the rounding of the ends."""
+    return depth <= LOOKUP_DEPTH and math.isfinite(high - low) and (high - low) / (1 << depth) > 64 * math.ulp(max(abs(low), abs(high)))
+
+
+def _folded(c: Column, low: float, high: float, depth: int) -> Column:
+    def halve(at: Column, _: Column) -> Column:
+        mid = (at["low"] + at["high"]) / 2
+        up = F.coalesce(c >= mid, F.lit(False))
+        return F.struct(F.when(up, mid).otherwise(at["low"]).alias("low"), F.when(up, at["high"]).otherwise(mid).alias("high"), (at["cell"] * 2 + up.cast("long")).alias("cell"))
+
+    whole = F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(0).cast("long").alias("cell"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), whole, halve)["cell"] if depth else F.lit(0).cast("long")
+
+
+def cells(points: DataFrame, box: Box, depth: int = 8) -> DataFrame:
+    """points (whole ones) with their cell on each axis, 0 .. 2^depth - 1, as __cx, __cy, __cz: what lies outside the box is in an outermost one, NaN in the last.
+
+    A guess by division is corrected by the ends of the cells, in a projection of its own, so no expression grows with the depth.
+    """
+    last = (1 << depth) - 1
+    sides = {a: (float(getattr(box, f"min_{a}")), float(getattr(box, f"max_{a}"))) for a in AXES}
+    guesses, found = {}, {}
+    for a, (low, high) in sides.items():
+        c, g = F.col(a), F.col(f"__g{a}")
+        if _looked_up(low, high, depth):
+            ends = F.lit(np.array([*edges(low, high, depth), math.inf]))
+            guesses[f"__g{a}"] = F.when(F.isnan(c), F.lit(last)).otherwise(F.least(F.greatest(F.floor((c - low) * ((last + 1) / (high - low))), F.lit(0)), F.lit(last))).cast("int")
+            below = (g > 0) & (c < F.element_at(ends, g + 1))
+            above = (g < last) & (c >= F.element_at(ends, g + 2))
+            found[f"__c{a}"] = (g - below.cast("int") + above.cast("int")).cast("long")
+        else:
+            found[f"__c{a}"] = _folded(c, low, high, depth)
+    return points.filter(whole_point()).withColumns(guesses).withColumns(found).drop(*guesses)
+
+
+def _digit(level: int, depth: int) -> Column:
+    bits = [F.shiftright(f"__c{a}", depth - 1 - level).bitwiseAND(1) for a in AXES]
+    return bits[0] + bits[1] * 2 + bits[2] * 4
+
+
+def paths(points: DataFrame, box: Box, depth: int = 8) -> DataFrame:
+    """points (whole ones) with path. It is never null, and says so: a test for null would be pushed down with a copy of every cell in each digit."""
+    digits = [_digit(k, depth).cast("string") for k in range(depth)]
+    return cells(points, box, depth).withColumn("path", F.coalesce(F.concat(*digits), F.lit("")) if digits else F.lit("")).drop(*(f"__c{a}" for a in AXES))
 
 
 def nodes(with_paths: DataFrame, most: int, depth: int = 8) -> DataFrame:
     """(node, depth, n, leaf) of every node of the tree: leaves hold `most` points at most, or lie at the last level."""
-    full = with_paths.groupBy("path").agg(F.count("*").alias("n"))
-    prefixes = full.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda d: F.substring(F.col("path"), F.lit(1), d))).alias("node"), "n")
+    return tree_of(with_paths.groupBy("path").agg(F.count("*").alias("n")), most, depth)
+
+
+def tree_of(full: DataFrame, most: int, depth: int = 8) -> DataFrame:
+    """Like nodes, from the number n of points of each path."""
+    prefixes = full.select(F.explode(_prefixes("path", depth)).alias("node"), "n")
     counts = prefixes.groupBy("node").agg(F.sum("n").alias("n")).withColumn("depth", F.length("node"))
     split = (F.col("n") > most) & (F.col("depth") < depth)
     parents = counts.filter(split).select(F.col("node").alias("parent"))
@@ -49,15 +97,21 @@ def nodes(with_paths: DataFrame, most: int, depth: int = 8) -> DataFrame:
     return inner.select("node", "depth", "n", (~split).alias("leaf"))
 
 
+def _prefixes(path: str, depth: int) -> Column:
+    return F.array(*(F.substring(path, 1, d) for d in range(depth + 1)))
+
+
+def _with_leaf(placed: DataFrame, full: DataFrame, leaf: DataFrame, depth: int) -> DataFrame:
+    """placed (points with path) of these leaves, with leaf; full: their distinct paths."""
+    ups = full.select("path", F.explode(_prefixes("path", depth)).alias("leaf"))
+    return placed.join(ups.join(leaf, "leaf"), "path").drop("path")
+
+
 def leaves(points: DataFrame, most: int, depth: int = 8, box: Box | None = None) -> DataFrame:
-    """points with leaf (path of their leaf)."""
-    box = box or box_of(points) or EMPTY
-    placed = paths(points, box, depth)
-    full = placed.select("path").distinct()
-    tree = nodes(placed, most, depth).filter("leaf").select(F.col("node").alias("leaf"))
-    ups = full.select("path", F.explode(F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda d: F.substring(F.col("path"), F.lit(1), d))).alias("leaf"))
-    leaf_of = ups.join(tree, "leaf").select("path", "leaf")
-    return placed.join(leaf_of, "path").drop("path")
+    """points with leaf (path of their leaf). Paths are counted once and written."""
+    placed = paths(points, box or box_of(points) or EMPTY, depth)
+    full = written(placed.groupBy("path").agg(F.count("*").alias("n")))
+    return _with_leaf(placed, full, tree_of(full, most, depth).filter("leaf").select(F.col("node").alias("leaf")), depth)
 
 
 def stats(tree: DataFrame) -> DataFrame:
@@ -149,33 +203,36 @@ def contains(box: Column, planes: list) -> Column:
     return out
 
 
-def _marked(tree: DataFrame, box: Box, planes: list) -> DataFrame:
-    """tree with meets and inside. The box is named once (a lambda variable), so no optimizer rule multiplies its expression."""
+def marked(tree: DataFrame, box: Box, planes: list) -> DataFrame:
+    """tree with meets and inside, written: else the optimizer would carry the test below counts and to the other side of joins, onto every row there.
+
+    The box is named once (a lambda variable), so no optimizer rule multiplies its expression.
+    """
     both = F.transform(F.array(node_box(F.col("node"), box)), lambda b: F.struct(intersects(b, planes).alias("meets"), contains(b, planes).alias("inside")))
-    return tree.withColumn("__m", both[0]).select(*tree.columns, F.col("__m.meets").alias("meets"), F.col("__m.inside").alias("inside"))
+    return written(tree.withColumn("__m", both[0]).select(*tree.columns, F.col("__m.meets").alias("meets"), F.col("__m.inside").alias("inside")))
 
 
 def frustum_leaves(tree: DataFrame, box: Box, planes: list) -> DataFrame:
     """The leaves that meet the frustum, and whether they lie inside. A box behind a plane has all its children behind it, so leaves alone decide."""
-    return _marked(tree.filter("leaf"), box, planes).filter("meets").select("node", "depth", "n", "inside")
+    return marked(tree.filter("leaf"), box, planes).filter("meets").select("node", "depth", "n", "inside")
 
 
 def frustum_query(points: DataFrame, planes: list, most: int, depth: int = 8) -> DataFrame:
     """All points of the leaves that meet the frustum (whole leaves, no test of single points), with leaf."""
     box = box_of(points) or EMPTY
     placed = paths(points, box, depth)
-    seen = frustum_leaves(nodes(placed, most, depth), box, planes).select(F.col("node").alias("leaf"))
-    ups = placed.select("path").distinct().select("path", F.explode(F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda d: F.substring(F.col("path"), F.lit(1), d))).alias("leaf"))
-    return placed.join(ups.join(seen, "leaf"), "path").drop("path")
+    full = written(placed.groupBy("path").agg(F.count("*").alias("n")))
+    seen = frustum_leaves(tree_of(full, most, depth), box, planes).select(F.col("node").alias("leaf"))
+    return _with_leaf(placed, full, seen, depth)
 
 
 def frustum_stats(tree: DataFrame, box: Box, planes: list) -> DataFrame:
     """Nodes visited and culled, and points returned. Below a node inside the frustum nothing is visited."""
-    marked = _marked(tree, box, planes)
-    stop = marked.filter(~F.col("meets") | F.col("inside")).select(F.col("node").alias("above"))
-    ups = marked.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.length("node")), lambda d: F.substring(F.col("node"), F.lit(1), d))).alias("above")).filter(F.length("above") < F.col("depth"))
+    known = marked(tree, box, planes)
+    stop = known.filter(~F.col("meets") | F.col("inside")).select(F.col("node").alias("above"))
+    ups = known.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.length("node")), lambda d: F.substring(F.col("node"), F.lit(1), d))).alias("above")).filter(F.length("above") < F.col("depth"))
     hidden = ups.join(stop, "above", "left_semi").select("node").distinct()
-    seen = marked.join(hidden, "node", "left_anti")
+    seen = known.join(hidden, "node", "left_anti")
     taken = F.col("inside") | (F.col("leaf") & F.col("meets"))
     return seen.agg(F.count("*").alias("visited"), F.count_if(~F.col("meets")).alias("culled"), F.coalesce(F.sum(F.when(taken, F.col("n"))), F.lit(0)).alias("points"))
 

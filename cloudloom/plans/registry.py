@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import color, text, units
 from ..operators import aggregates as agg
-from ..operators import clouds, display, kdstats, numbering, octree, poisson, reports, sampling, spatial, telemetry, updates
+from ..operators import clouds, display, kdstats, numbering, octree, poisson, reports, sampling, spatial, store, telemetry, updates
 from ..operators.aggregates import AXES, micros
+from ..operators.lineage import shared_folder
 from ..sources import ply
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -337,13 +338,13 @@ def _sql_planes(which: str) -> str:
     return " AND ".join(f"{'greatest' if which == 'meets' else 'least'}({', '.join(dist(p, k) for k in range(8))}) >= 0.0" for p in PLANES)
 
 
-def _sql_boxes() -> str:
+def _sql_boxes(depth: int = DEPTH) -> str:
     out = ["x0 AS (SELECT node, depth, n, leaf, " + ", ".join(BOUNDS) + " FROM nodes, b)"]
-    for k in range(DEPTH):
+    for k in range(depth):
         d = f"TRY_CAST(nullif(node[{k + 1}:{k + 1}], '') AS INTEGER)"
         up = {a: f"(({d} >> {i}) & 1) = 1" for i, a in enumerate(AXES)}
         out.append(f"x{k + 1} AS (SELECT node, depth, n, leaf, " + ", ".join(f"CASE WHEN depth > {k} AND {up[a]} THEN (min_{a} + max_{a}) / 2 ELSE min_{a} END AS min_{a}, CASE WHEN depth > {k} AND NOT {up[a]} THEN (min_{a} + max_{a}) / 2 ELSE max_{a} END AS max_{a}" for a in AXES) + f" FROM x{k})")
-    return ", ".join(out) + f", mk AS (SELECT node, depth, n, leaf, {_sql_planes('meets')} AS meets, {_sql_planes('inside')} AS inside FROM x{DEPTH})"
+    return ", ".join(out) + f", mk AS (SELECT node, depth, n, leaf, {_sql_planes('meets')} AS meets, {_sql_planes('inside')} AS inside FROM x{depth})"
 
 
 @query(f"{_with('c3')}, {_sql_octree('c3')}, {_sql_boxes()} SELECT node, depth::BIGINT AS depth, n::BIGINT AS n, inside FROM mk WHERE leaf AND meets")
@@ -357,6 +358,30 @@ def frustum_query(spark: SparkSession, sf: str) -> DataFrame:
     return octree.frustum_query(clouds.orders(spark, sf), PLANES, MOST, DEPTH).select("idx", "leaf")
 
 
+@query(f"{_with('c3')}, {_sql_octree('c3')}, {_sql_boxes()} SELECT p.idx, p.x, p.y, p.z, m.node AS leaf FROM (SELECT idx, x, y, z, path FROM o{DEPTH}) p JOIN mk m ON m.leaf AND m.meets AND m.node = p.path[1:m.depth]")
+def stored_frustum(spark: SparkSession, sf: str) -> DataFrame:
+    """The frustum query over a cloud written in octree order."""
+    index = store.rebuild(clouds.orders(spark, sf).drop("intensity"), shared_folder(spark, "index"), MOST, DEPTH)
+    return store.frustum(spark, index, PLANES)
+
+
+@query(f"WITH {clouds.SQL['c3'].replace('c3 AS', 'all3 AS', 1)}, c3 AS (SELECT idx, x, y, z FROM (SELECT *, row_number() OVER (ORDER BY idx) - 1 AS pos, ceil(count(*) OVER () / 1000.0)::BIGINT AS step FROM all3) WHERE pos % step = 0 AND pos // step < 1000), {_sql_octree('c3', 9)}, {_sql_boxes(9)} SELECT p.idx, m.node AS leaf FROM pts p JOIN mk m ON m.leaf AND m.meets AND m.node = p.path[1:m.depth]")
+def stored_sample_frustum(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over the index of a sample, as it is published while the whole one is being built."""
+    index = store.rebuild(clouds.orders(spark, sf).drop("intensity"), shared_folder(spark, "index"), MOST, 9, sample=1000)
+    return store.frustum(spark, index, PLANES).select("idx", "leaf")
+
+
+@query("SELECT generation::BIGINT AS generation, sampled, (CASE WHEN sampled THEN (SELECT count(*) FROM (SELECT row_number() OVER () - 1 AS pos, greatest(ceil(n / 1000.0), 1)::BIGINT AS step FROM orders, (SELECT count(*) AS n FROM orders)) WHERE pos % step = 0 AND pos // step < 1000) ELSE n END)::BIGINT AS sample_size, n::BIGINT AS total_points FROM (SELECT count(*) AS n FROM orders), (VALUES (1, true), (2, false)) g(generation, sampled)")
+def index_generations(spark: SparkSession, sf: str) -> DataFrame:
+    """Metadata of a sampled index and of the whole one that follows it; a build that began before them is not published."""
+    root, p = shared_folder(spark, "index"), clouds.orders(spark, sf).select("idx", *AXES)
+    late = store.build(p, root, MOST, 4)
+    made = [store.rebuild(p, root, MOST, DEPTH, sample=1000), store.rebuild(p, root, MOST, DEPTH), store.publish(spark, root, late, 0)]
+    rows = [(i.generation, i.sampled, i.sample_size, i.total_points) for i in made if i]
+    return spark.createDataFrame(rows, "generation long, sampled boolean, sample_size long, total_points long")
+
+
 @query(f"{_with('c3')}, {_sql_octree('c3')}, {_sql_boxes()}, seen AS (SELECT m.* FROM mk m WHERE NOT EXISTS (SELECT 1 FROM mk u WHERE u.depth < m.depth AND u.node = m.node[1:u.depth] AND (NOT u.meets OR u.inside))) SELECT count(*)::BIGINT AS visited, count(*) FILTER (WHERE NOT meets)::BIGINT AS culled, coalesce(sum(n) FILTER (WHERE inside OR (leaf AND meets)), 0)::BIGINT AS points FROM seen")
 def frustum_stats(spark: SparkSession, sf: str) -> DataFrame:
     tree, box = _tree(spark, sf)
@@ -396,11 +421,11 @@ def range_merge(spark: SparkSession, sf: str) -> DataFrame:
     return display.merge_ranges(p.select(F.when(odd, F.col("hi")).otherwise(F.col("lo")).alias("min_intensity"), F.when(odd, F.col("lo")).otherwise(F.col("hi")).alias("max_intensity")))
 
 
-@query("SELECT p_partkey AS idx, p_size = 0 OR abs(p_partkey % 100 - p_size)::DOUBLE / p_size > 0.5 AS rebuild, round(p_size + (p_retailprice - p_size) * least(greatest(p_size / 40.0 - 0.1, 0.0), 1.0), 9) AS value FROM part")
+@query("SELECT p_partkey AS idx, s > 0 AND abs(p_partkey % 100 - s)::DOUBLE / s > 0.5 AS rebuild, round(p_size + (p_retailprice - p_size) * least(greatest(p_size / 40.0 - 0.1, 0.0), 1.0), 9) AS value FROM (SELECT *, p_size - 5 AS s FROM part)")
 def display_ramp(spark: SparkSession, sf: str) -> DataFrame:
     p = clouds.table(spark, sf, "part")
     size = F.col("p_size")
-    return p.select(F.col("p_partkey").alias("idx"), display.rebuilds(F.col("p_partkey") % 100, size).alias("rebuild"), F.round(display.lerp(size, F.col("p_retailprice"), size / 40.0 - 0.1), 9).alias("value"))
+    return p.select(F.col("p_partkey").alias("idx"), display.rebuilds(F.col("p_partkey") % 100, size - 5).alias("rebuild"), F.round(display.lerp(size, F.col("p_retailprice"), size / 40.0 - 0.1), 9).alias("value"))
 
 
 @query("SELECT depth::BIGINT AS depth, (round(CASE i WHEN 0 THEN 0.9 WHEN 1 THEN q WHEN 2 THEN p WHEN 3 THEN p WHEN 4 THEN t ELSE 0.9 END * 255)::BIGINT << 16) | (round(CASE i WHEN 0 THEN t WHEN 1 THEN 0.9 WHEN 2 THEN 0.9 WHEN 3 THEN q ELSE p END * 255)::BIGINT << 8) | round(CASE i WHEN 0 THEN p WHEN 1 THEN p WHEN 2 THEN t WHEN 3 THEN 0.9 WHEN 4 THEN 0.9 ELSE q END * 255)::BIGINT AS rgb FROM (SELECT depth, floor(h) AS i, 0.9::DOUBLE * (1 - 0.6::DOUBLE) AS p, 0.9::DOUBLE * (1 - 0.6::DOUBLE * (h - floor(h))) AS q, 0.9::DOUBLE * (1 - 0.6::DOUBLE * (1 - (h - floor(h)))) AS t FROM (SELECT depth, (depth % 8)::DOUBLE / 8 * 6 AS h FROM (SELECT unnest(range(10)) AS depth)))")
