@@ -48,10 +48,22 @@ def words(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int =
 
 def _grams(word: str) -> list[int]:
     """Names of the q-grams, position by position; another alphabet may give two grams one name, which costs candidates and loses none."""
-    at = [*map(ord, word)]
+    at = word.encode("latin-1") if word.isascii() or max(word) <= "ÿ" else [*map(ord, word)]
     return [(a * 257 + b) & 0xFFFF for a, b in zip(at, at[1:], strict=False)]
 
 
+def _packed(first: list[int]) -> int:
+    """The first Q + 2 grams of a word in one signed 64-bit number."""
+    out = 0
+    for g in first:
+        out = out << 16 | g
+    return out - (1 << 64) if out >> 63 else out
+
+
+def _unpacked(first: int) -> tuple[int, ...]:
+    return tuple((first >> s) & 0xFFFF for s in range(16 * (Q + 1), -1, -16))
+
+
 def _gram_ranks(found: DataFrame) -> np.ndarray:
     """Rank of each gram name, rare ones first."""
 
@@ -72,28 +84,31 @@ def _gram_ranks(found: DataFrame) -> np.ndarray:
 
 
 def _parts(found: DataFrame, rank: np.ndarray) -> DataFrame:
-    """size, pair, own, word, n: a word in each part of the index where it may meet a neighbour; not own: it only looks up words one letter longer."""
+    """size, pair, own, word, n, first: a word in each part of the index where it may meet a neighbour; not own: it only looks up words one letter longer."""
     ranks = rank.astype(np.uint16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = ranks.tolist()
         for whole in batches:
             for lo in range(0, whole.num_rows, 4096):
                 batch = whole.slice(lo, 4096)
-                at, size, pair, own = [], [], [], []
+                at, size, pair, own, first = [], [], [], [], []
                 for i, w in enumerate(batch.column(0).to_pylist()):
                     g = _grams(w)
                     # a neighbour of equal length misses 2 of these grams at most, one that is longer by a letter misses 1
-                    first = [g[k] for k in sorted(range(len(g)), key=lambda k: (ranks[g[k]], k))[: Q + 2]]
+                    rare = [x & 0xFFFF for x in sorted([order[x] << 48 | k << 16 | x for k, x in enumerate(g)])[: Q + 2]]
+                    packed = _packed(rare)
                     for mine, n in ((True, Q + 2), (False, Q + 1)):
-                        for a, b in {*combinations(first[:n], 2)}:
+                        for a, b in {*combinations(rare[:n], 2)}:
                             at.append(i)
                             size.append(len(w) + (not mine))
                             pair.append(a << 16 | b)
                             own.append(mine)
+                            first.append(packed)
                 take = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(size, pa.int32()), pa.array(pair, pa.int64()), pa.array(own), batch.column(0).take(take), batch.column(1).take(take)], ["size", "pair", "own", "word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(size, pa.int32()), pa.array(pair, pa.int64()), pa.array(own), batch.column(0).take(take), batch.column(1).take(take), pa.array(first, pa.int64())], ["size", "pair", "own", "word", "n", "first"])
 
-    return found.select("word", "n").mapInArrow(run, "size int, pair long, own boolean, word string, n long")
+    return found.select("word", "n").mapInArrow(run, "size int, pair long, own boolean, word string, n long, first long")
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -110,116 +125,152 @@ def one_edit(a: str, b: str) -> bool:
 
 def _merged(lists: list[list[int]]) -> Iterator[tuple[int, int]]:
     """(word, number of the lists that hold it) in order: a heap over the heads of ascending lists."""
-    heap = [(x[0], k, 0) for k, x in enumerate(lists)]
+    if len(lists) == 1:
+        yield from ((x, 1) for x in lists[0])
+        return
+    heap = [(x[0], k, 1) for k, x in enumerate(lists)]
     heapify(heap)
     while heap:
         now, count = heap[0][0], 0
         while heap and heap[0][0] == now:
             _, k, at = heap[0]
             count += 1
-            if at + 1 < len(lists[k]):
-                heapreplace(heap, (lists[k][at + 1], k, at + 1))
+            if at < len(lists[k]):
+                heapreplace(heap, (lists[k][at], k, at + 1))
             else:
                 heappop(heap)
         yield now, count
 
 
 class _Index:
-    """Postings of words of one length: (position, gram) to ascending places in `words`."""
+    """The index of a part: (position, gram) to ascending places in `words`, all of one length."""
 
-    def __init__(self, size: int):
-        self.bound = size - 2 * Q + 1
-        self.size, self.words, self.held, self.postings = size, [], [], {}
+    def __init__(self, size: int, pair: int):
+        self.size, self.bound = size, size - 2 * Q + 1
+        self.pair = (pair >> 16, pair & 0xFFFF)
+        self.words, self.counts, self.held, self.first, self.postings = [], [], [], [], {}
 
-    def add(self, word: str) -> None:
-        keys = [p << 16 | g for p, g in enumerate(_grams(word))]
-        for k in keys:
+    def add(self, row: _Row) -> None:
+        for k in row.keys:
             self.postings.setdefault(k, []).append(len(self.words))
-        self.words.append(word)
-        self.held.append({*keys})
-
-    def near(self, word: str) -> Iterator[int]:
-        """Places of the words one edit from word, which has this length or is a letter shorter."""
-        shifts = range(self.size - len(word) + 1)
-        keys = [[(p + s) << 16 | g for s in shifts] for p, g in enumerate(_grams(word))]
-        lists = [[x for k in each if (x := self.postings.get(k))] for each in keys]
-        order = sorted(range(len(keys)), key=lambda i: sum(map(len, lists[i])))
-        short = len(keys) - self.bound + 1  # a neighbour misses fewer lists than these
-        heads = [x for i in order[:short] for x in lists[i]]
-        rest = [keys[i] for i in order[short:]]
+        self.words.append(row.word)
+        self.counts.append(row.n)
+        self.held.append({*row.keys})
+        self.first.append(row.first)
+
+    def _here(self, mine: tuple[int, ...], other: tuple[int, ...]) -> bool:
+        """Whether two words are compared in this part, of all those that they share: it is named by the first two grams that both begin with."""
+        common = [*dict.fromkeys(g for g in mine if g in other)]
+        return len(common) < 2 or (common[0], common[1]) == self.pair
+
+    def near(self, row: _Row) -> Iterator[tuple[str, int]]:
+        """(word, n) of the words one edit from row's, which has this length or is a letter shorter."""
+        shorter = len(row.word) < self.size
+        short = len(row.keys) - self.bound + 1  # a neighbour misses fewer grams than these
+        get = self.postings.get
+        if shorter:  # behind the inserted letter grams stand one place on
+            grams = [[(k, x) for k in (key, key + (1 << 16)) if (x := get(k))] for key in row.keys]
+            grams = sorted([(sum(len(x) for _, x in g), k, g) for k, g in enumerate(grams) if g])
+            missing = len(row.keys) - len(grams)
+            heads = [x for _, _, g in grams[: max(short - missing, 0)] for _, x in g]
+            rest = {k for _, _, g in grams[max(short - missing, 0) :] for k, _ in g}
+        else:
+            lists = sorted([(len(x), k, x) for k in row.keys if (x := get(k))])
+            missing = len(row.keys) - len(lists)
+            heads = [x for _, _, x in lists[: max(short - missing, 0)]]
+            rest = {k for _, k, _ in lists[max(short - missing, 0) :]}
+        if missing >= short or not heads:
+            return
+        mine = row.first[: Q + 1] if shorter else row.first
         for place, count in _merged(heads):
-            held = self.held[place]
-            if count + sum(any(k in held for k in each) for each in rest) >= self.bound and one_edit(word, self.words[place]):
-                yield place
+            if count + len(rest & self.held[place]) >= self.bound and self._here(mine, self.first[place]) and one_edit(row.word, self.words[place]):
+                yield self.words[place], self.counts[place]
+
 
+class _Row:
+    """A word in a part of the index."""
 
-def _within(size: int, tiles: tuple[int, int], rows: list[tuple[str, int, bool, int]]) -> Iterator[tuple[str, int, str, int]]:
-    """Neighbours (a, n, b, n) in two tiles of a part; rows are (word, n, own, tile)."""
-    own = {t: [r for r in rows if r[2] and r[3] == t] for t in tiles}
-    other = {t: [r for r in rows if not r[2] and r[3] == t] for t in tiles}
+    __slots__ = ("first", "keys", "n", "own", "tile", "word")
+
+    def __init__(self, word: str, n: int, own: bool, tile: int, first: int):
+        self.word, self.n, self.own, self.tile, self.first = word, n, own, tile, _unpacked(first)
+        self.keys = [p << 16 | g for p, g in enumerate(_grams(word))]
+
+
+def _within(size: int, pair: int, tiles: tuple[int, int], rows: list[_Row]) -> Iterator[tuple[str, int, str, int]]:
+    """Neighbours (a, n, b, n) in two tiles of a part."""
     one, two = tiles
-    index, n = _Index(size), [r[1] for r in own[one]]
-    for word, count, _, _ in own[one]:
-        if one == two:
-            for k in index.near(word):
-                yield word, count, index.words[k], n[k]
-        index.add(word)
-    for word, count, _, _ in [*other[two], *(own[two] if one != two else [])]:
-        for k in index.near(word):
-            yield word, count, index.words[k], n[k]
-    if one != two and other[one]:
-        index, n = _Index(size), [r[1] for r in own[two]]
-        for word, *_ in own[two]:
-            index.add(word)
-        for word, count, _, _ in other[one]:
-            for k in index.near(word):
-                yield word, count, index.words[k], n[k]
+    index = _Index(size, pair)
+    for row in rows:
+        if row.own and row.tile == one:
+            if one == two:
+                for b, m in index.near(row):
+                    yield row.word, row.n, b, m
+            index.add(row)
+    for row in rows:
+        if row.tile == two and (one != two or not row.own):
+            for b, m in index.near(row):
+                yield row.word, row.n, b, m
+    if one != two:
+        index = _Index(size, pair)
+        for row in rows:
+            if row.own and row.tile == two:
+                index.add(row)
+        for row in rows:
+            if row.tile == one and not row.own:
+                for b, m in index.near(row):
+                    yield row.word, row.n, b, m
 
 
 def near_pairs(found: DataFrame) -> DataFrame:
-    """(a, n_a, b, n_b), a < b: every two words of (word, n) that lie one edit apart. Words have 5 letters or more."""
+    """(a, n_a, b, n_b), a < b, each once: every two words of (word, n) that lie one edit apart. Words have 5 letters or more."""
     parts = _parts(found, _gram_ranks(found))
     part = ["size", "pair"]
     large = parts.groupBy(*part).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).filter("tiles > 1")
     tiled = parts.join(large, part, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.pmod(F.xxhash64("word"), F.col("tiles")).cast("int"))
     met = tiled.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     place = [*part, "i", "j"]
-    met = met.select(*part, F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "tile", "own", "word", "n")
+    met = met.select(*part, F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "tile", "own", "word", "n", "first")
     ordered = met.repartition(parallelism(found.sparkSession), *place).sortWithinPartitions(*place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(at: tuple, rows: list) -> None:
-            if len(rows) > 1:
-                for a, n, b, m in _within(at[0], (at[2], at[3]), rows):
-                    out.append((a, n, b, m) if a < b else (b, m, a, n))
-
-        out: list[tuple[str, int, str, int]] = []
+        def pairs() -> None:
+            if len(held) > 1:
+                rows = [_Row(*r) for r in held]
+                for a, n, b, m in _within(now[0], now[1], (now[2], now[3]), rows):
+                    for c, v in zip(out, (a, n, b, m) if a < b else (b, m, a, n), strict=True):
+                        c.append(v)
+
+        def made() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k % 2 else pa.string()) for k, c in enumerate(out)], ["a", "n_a", "b", "n_b"])
+            for c in out:
+                c.clear()
+            return batch
+
+        out: list[list] = [[], [], [], []]
         now, held = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)])
             ends = [*(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-            rows = [*zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), batch.column(5).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            rows = [*zip(*(batch.column(k).to_pylist() for k in (6, 7, 5, 4, 8)), strict=True)]
             lo = 0
             for hi in ends:
                 at = tuple(keys[:, lo].tolist())
                 if at != now:
-                    pairs(now, held)
+                    pairs()
                     now, held = at, rows[lo:hi]
                 else:
                     held += rows[lo:hi]
                 lo = hi
-            if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema)
-                out.clear()
-        pairs(now, held)
-        if out:
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema)
-
-    names = ["a", "n_a", "b", "n_b"]
-    schema = pa.schema([(n, pa.int64() if n[0] == "n" else pa.string()) for n in names])
-    return ordered.mapInArrow(run, "a string, n_a long, b string, n_b long").dropDuplicates(["a", "b"])
+            if out[0]:
+                yield made()
+        pairs()
+        if out[0]:
+            yield made()
+
+    return ordered.mapInArrow(run, "a string, n_a long, b string, n_b long")
 
 
 def _roots(forms: DataFrame) -> DataFrame:
