@@ -109,6 +109,13 @@ def fnv1a(name: str) -> int:
     return reduce(lambda h, b: ((h ^ b) * FNV_PRIME) & 0xFFFFFFFF, name.encode(), FNV_BASE)
 
 
+def fnv1a_of(name: Column) -> Column:
+    """fnv1a of a column: a fold over the bytes; null counts as an empty text."""
+    pairs = F.regexp_extract_all(F.hex(F.encode(F.coalesce(name, F.lit("")), "UTF-8")), F.lit(".."), F.lit(0))
+    step = lambda h, b: (h.bitwiseXOR(F.conv(b, 16, 10).cast("long")) * F.lit(FNV_PRIME).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    return F.aggregate(pairs, F.lit(FNV_BASE).cast("long"), step)
+
+
 def jumps(bits: int = 40, modulus: int = 1 << 24) -> list[tuple[int, int]]:
     """(multiplier, addend) of 1, 2, 4, ... steps of the generator."""
     a, c, out = LCG_MUL % modulus, LCG_ADD % modulus, []

@@ -29,7 +29,8 @@ def by_code(code: Column) -> Column:
 
 
 def by_key(key: Column) -> Column:
-    return F.element_at(F.create_map(*[v for u in UNITS for v in (F.lit(u[0]), F.lit(u[2]))]), key)
+    """Factor of a unit's key; null for an unknown one."""
+    return F.try_element_at(F.create_map(*[v for u in UNITS for v in (F.lit(u[0]), F.lit(u[2]))]), key)
 
 
 def detect(text: Column) -> Column:
@@ -47,6 +48,11 @@ def resolve(explicit: Column, model_code: Column) -> Column:
     return F.coalesce(F.when(finite(explicit) & (explicit > 0), explicit), by_code(model_code))
 
 
+def choose(source: Column, target: Column, explicit: Column, model_code: Column) -> Column:
+    """The factor of the source unit; without one that of the target unit; without both the explicit factor, then the model's. The two units are never set against each other."""
+    return F.coalesce(by_key(source), by_key(target), resolve(explicit, model_code))
+
+
 def scale(points: DataFrame, factor: float) -> DataFrame:
     """Coordinates times a factor; points without all three coordinates stay as they are."""
     if abs(factor - 1.0) < EPSILON:

@@ -88,6 +88,12 @@ def rebuilds(limit: Column, snapshot: Column, share: float = REBUILD_SHARE) -> C
     return F.coalesce((snapshot > 0) & (F.abs(limit - snapshot) / F.when(snapshot > 0, snapshot) > share), F.lit(False))
 
 
+def alpha(weight: Column) -> Column:
+    """The opacity 0..255 of a fading level; a weight of nearly 1 is opaque, null is transparent."""
+    w = F.least(F.greatest(F.coalesce(weight, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    return F.when(w >= 0.999, 255).otherwise(F.round(255 * w)).cast("long")
+
+
 def lerp(start: Column, target: Column, progress: Column) -> Column:
     """From start to target by progress, clamped to 0..1 (null counts as 0)."""
     return start + (target - start) * F.least(F.greatest(F.coalesce(progress, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))

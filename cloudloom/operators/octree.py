@@ -76,10 +76,15 @@ def _digit(level: int, depth: int) -> Column:
     return bits[0] + bits[1] * 2 + bits[2] * 4
 
 
-def paths(points: DataFrame, box: Box, depth: int = 8) -> DataFrame:
-    """points (whole ones) with path. It is never null, and says so: a test for null would be pushed down with a copy of every cell in each digit."""
+def path_of_cells(depth: int) -> Column:
+    """The path of the cell __cx, __cy, __cz. It is never null, and says so: a test for null would be pushed down with a copy of every cell in each digit."""
     digits = [_digit(k, depth).cast("string") for k in range(depth)]
-    return cells(points, box, depth).withColumn("path", F.coalesce(F.concat(*digits), F.lit("")) if digits else F.lit("")).drop(*(f"__c{a}" for a in AXES))
+    return F.coalesce(F.concat(*digits), F.lit("")) if digits else F.lit("")
+
+
+def paths(points: DataFrame, box: Box, depth: int = 8) -> DataFrame:
+    """points (whole ones) with path."""
+    return cells(points, box, depth).withColumn("path", path_of_cells(depth)).drop(*(f"__c{a}" for a in AXES))
 
 
 def nodes(with_paths: DataFrame, most: int, depth: int = 8) -> DataFrame:
@@ -87,21 +92,21 @@ def nodes(with_paths: DataFrame, most: int, depth: int = 8) -> DataFrame:
     return tree_of(with_paths.groupBy("path").agg(F.count("*").alias("n")), most, depth)
 
 
-def tree_of(full: DataFrame, most: int, depth: int = 8) -> DataFrame:
-    """Like nodes, from the number n of points of each path."""
-    prefixes = full.select(F.explode(_prefixes("path", depth)).alias("node"), "n")
-    counts = prefixes.groupBy("node").agg(F.sum("n").alias("n")).withColumn("depth", F.length("node"))
+def tree_of(full: DataFrame, most: int, depth: int, *more: Column) -> DataFrame:
+    """Like nodes, from the number n of points of each path; more: named aggregates over the other columns of full, which nodes then hold too."""
+    prefixes = full.withColumn("node", F.explode(_prefixes("path", depth))).drop("path")
+    counts = prefixes.groupBy("node").agg(F.sum("n").alias("n"), *more).withColumn("depth", F.length("node"))
     split = (F.col("n") > most) & (F.col("depth") < depth)
     parents = counts.filter(split).select(F.col("node").alias("parent"))
     inner = counts.filter("depth = 0").unionByName(counts.filter("depth > 0").join(parents, F.expr("substring(node, 1, depth - 1)") == F.col("parent"), "left_semi"))
-    return inner.select("node", "depth", "n", (~split).alias("leaf"))
+    return inner.select("node", "depth", "n", (~split).alias("leaf"), *(c for c in counts.columns if c not in ("node", "depth", "n")))
 
 
 def _prefixes(path: str, depth: int) -> Column:
     return F.array(*(F.substring(path, 1, d) for d in range(depth + 1)))
 
 
-def _with_leaf(placed: DataFrame, full: DataFrame, leaf: DataFrame, depth: int) -> DataFrame:
+def with_leaf(placed: DataFrame, full: DataFrame, leaf: DataFrame, depth: int) -> DataFrame:
     """placed (points with path) of these leaves, with leaf; full: their distinct paths."""
     ups = full.select("path", F.explode(_prefixes("path", depth)).alias("leaf"))
     return placed.join(ups.join(leaf, "leaf"), "path").drop("path")
@@ -111,7 +116,7 @@ def leaves(points: DataFrame, most: int, depth: int = 8, box: Box | None = None)
     """points with leaf (path of their leaf). Paths are counted once and written."""
     placed = paths(points, box or box_of(points) or EMPTY, depth)
     full = written(placed.groupBy("path").agg(F.count("*").alias("n")))
-    return _with_leaf(placed, full, tree_of(full, most, depth).filter("leaf").select(F.col("node").alias("leaf")), depth)
+    return with_leaf(placed, full, tree_of(full, most, depth).filter("leaf").select(F.col("node").alias("leaf")), depth)
 
 
 def stats(tree: DataFrame) -> DataFrame:
@@ -223,7 +228,7 @@ def frustum_query(points: DataFrame, planes: list, most: int, depth: int = 8) ->
     placed = paths(points, box, depth)
     full = written(placed.groupBy("path").agg(F.count("*").alias("n")))
     seen = frustum_leaves(tree_of(full, most, depth), box, planes).select(F.col("node").alias("leaf"))
-    return _with_leaf(placed, full, seen, depth)
+    return with_leaf(placed, full, seen, depth)
 
 
 def frustum_stats(tree: DataFrame, box: Box, planes: list) -> DataFrame:

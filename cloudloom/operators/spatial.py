@@ -1,19 +1,19 @@
 """Nearest, radius, grid and ray joins.
 
 Distances are bounded by grid cells: both sides meet in equal cells, so these are equi-joins that
-shuffle by cell and never compare all pairs. The nearest-neighbour join doubles its radius only for
-queries that have found nothing near enough.
+shuffle by cell and never compare all pairs. Nearest neighbours and rays of a table go down through cells
+that follow the data (module cells).
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import cells
 from .aggregates import AXES, Box, box_of, whole_point
-from .lineage import written
 
 _CELL = ("cx", "cy", "cz")
 
@@ -42,36 +42,16 @@ def radius_join(queries: DataFrame, points: DataFrame, radius: float, same: bool
     return near if same else near.filter("q_idx != idx")
 
 
-def nearest_join(queries: DataFrame, points: DataFrame, k: int = 1, most: float | None = None, same: bool = False, first: float | None = None) -> DataFrame:
+def nearest_join(queries: DataFrame, points: DataFrame, k: int = 1, most: float | None = None, same: bool = False) -> DataFrame:
     """(q_idx, rank, idx, d2) of the k nearest points of each query, ties by idx, none beyond `most` (inclusive)."""
-    box = box_of(points.select("idx", *AXES))
-    empty = queries.sparkSession.createDataFrame([], "q_idx long, rank int, idx long, d2 double")
-    if box is None:
-        return empty
-    both = box_of(queries.select("idx", *AXES).unionByName(points.select("idx", *AXES)))
-    reach = both.diagonal
-    # about 4 k points a cell if they were spread evenly, and at least 2^-20 of the whole
-    size = first or max(reach * min(0.5, (4 * (k + 1) / max(points.count(), 1)) ** (1 / 3)), reach / (1 << 20), 1e-12)
-    if most is not None:
-        size = min(size, most) if most > 0 else size
-    out, left = None, queries
-    while True:
-        found = radius_join(left, points, size, same)
-        # the k least (distance, idx) of a query: each task keeps k of its rows before they are shuffled
-        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("q_idx").orderBy("d2", "idx"))).filter(F.col("rank") <= k).select("q_idx", "rank", "idx", "d2")
-        last = size >= reach or (most is not None and size >= most)
-        if last:
-            out = ranked if out is None else out.unionByName(ranked)
-            break
-        ranked = written(ranked)
-        full = ranked.filter(F.col("rank") == k).select("q_idx")
-        done = ranked.join(full, "q_idx", "left_semi")
-        out = done if out is None else out.unionByName(done)
-        left = written(left.join(full.select(F.col("q_idx").alias("idx")), "idx", "left_anti"))
-        if left.isEmpty():
-            break
-        size = min(size * 2, most) if most is not None else size * 2
-    return out.filter(F.col("d2") <= most * most) if most is not None else out
+    found = cells.nearest(queries, points, k, most, same)
+    return queries.sparkSession.createDataFrame([], "q_idx long, rank int, idx long, d2 double") if found is None else found
+
+
+def ray_join(rays: DataFrame, points: DataFrame, tolerance: float) -> DataFrame:
+    """(q_id, idx, t, perp2) for a table of rays (q_id, ox, oy, oz, dx, dy, dz): the point of each that ray_pick would pick."""
+    found = cells.rays(rays, points, tolerance)
+    return rays.sparkSession.createDataFrame([], "q_id long, idx long, t double, perp2 double") if found is None else found
 
 
 def slab(origin: tuple[Column, ...], direction: tuple[Column, ...], lo: tuple[Column, ...], hi: tuple[Column, ...]) -> tuple[Column, Column, Column]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .aggregates import micros
+from .lineage import written
 
 #: The states of an import job, the states that may follow each, and time limits in seconds.
 FOLLOW = {
@@ -79,49 +80,98 @@ def suppress_repeats(rows: DataFrame, job: str, text: str, ts: str, tie: str) ->
     return runs.groupBy(job, "run").agg(F.first(text).alias(text), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("n"))
 
 
-def _in_order(rows: DataFrame, job: str, *by: str | Column) -> DataFrame:
-    """The events of a job in one partition, in order: they flow through it in batches and are never held together."""
-    return rows.repartition(F.col(job)).sortWithinPartitions(job, *by)
+def bypass(force: str | None, fraction: str | None) -> Column:
+    """Whether an event goes through whatever the time: it is forced, or the work is complete."""
+    forced = F.coalesce(F.col(force), F.lit(False)) if force else F.lit(False)
+    return forced | F.coalesce(F.col(fraction) >= 1.0, F.lit(False)) if fraction else forced
 
 
-def throttle(rows: DataFrame, job: str, ts: str, tie: str, interval: float) -> DataFrame:
-    """Events at least `interval` seconds after the last one let through, and the first of each job.
+def throttle(rows: DataFrame, job: str, ts: str, tie: str, interval: float, message: str | None = None, force: str | None = None, fraction: str | None = None) -> DataFrame:
+    """Events at least `interval` seconds after the last one let through, and the first of each job; with a message, force or fraction column also those
+    whose message (not null) is not that of the last one let through, forced ones, and those whose fraction is 1 or more.
 
-    An event that comes `interval` or more after the one before is always let through, so a job falls into
-    bursts that are folded apart, each in a stream of sorted batches: only the time last let through is held.
+    Some events go through whatever came before: those `interval` or more after the one before, forced and complete ones, and those whose
+    message differs from that of the event before (neither null). So a job falls into bursts that are folded apart, each in a
+    stream of sorted batches: only the time and message last let through are held.
     """
     step = int(round(interval * 1e6))
-    timed = rows.select(job, tie, micros(ts).alias("__us"))
+    said = F.col(message).cast("string") if message else F.lit(None).cast("string")
+    timed = rows.select(job, tie, micros(ts).alias("__us"), said.alias("__said"), bypass(force, fraction).alias("__go"))
     window = Window.partitionBy(job).orderBy("__us", tie)
-    new = F.coalesce((F.col("__us") - F.lag("__us").over(window) >= step).cast("int"), F.lit(1))
-    bursts = timed.withColumn("__new", new).withColumn("__burst", F.sum("__new").over(window))
-    ordered = bursts.select(job, tie, "__us", "__burst").repartition(F.col(job), F.col("__burst")).sortWithinPartitions(job, "__burst", "__us", tie)
+    new = (F.col("__us") - F.lag("__us").over(window) >= step) | F.col("__go") | F.coalesce(F.col("__said") != F.lag("__said").over(window), F.lit(False))
+    bursts = timed.withColumn("__new", F.coalesce(new.cast("int"), F.lit(1))).withColumn("__burst", F.sum("__new").over(window))
+    ordered = bursts.select(job, tie, "__us", "__said", "__burst").repartition(F.col(job), F.col("__burst")).sortWithinPartitions(job, "__burst", "__us", tie)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, last = None, 0
+        at, last, told = None, 0, None
         for b in batches:
-            us, burst, keys = b["__us"].to_numpy(), b["__burst"].to_numpy(), b[job].to_numpy()
+            us, said, burst, keys = b["__us"].to_numpy(), b["__said"].to_numpy(), b["__burst"].to_numpy(), b[job].to_numpy()
             go = np.zeros(len(b), bool)
             for i in range(len(b)):
-                if at != (here := (keys[i], burst[i])) or us[i] - last >= step:
-                    go[i], at, last = True, here, us[i]
+                if at != (here := (keys[i], burst[i])) or us[i] - last >= step or (said[i] is not None and said[i] != told):
+                    go[i], at, last, told = True, here, us[i], said[i]
             yield b.loc[go, [job, tie]]
 
     return ordered.mapInPandas(run, T.StructType([rows.schema[job], rows.schema[tie]]))
 
 
+def _alike(a: object, b: object) -> bool:
+    return a == b or (a is None or a != a) and (b is None or b != b)
+
+
 def hysteresis(rows: DataFrame, job: str, ratio: str, ts: str, tie: str) -> DataFrame:
-    """The level of detail after each event of a camera: each depends on the one before."""
+    """The level of detail after each event of a camera: each depends on the one before.
+
+    Events are sorted by range, so one camera may lie in many tasks. What a range does to a camera that goes on from the range before
+    is a map from the levels (and none) to levels. Each range folds its map alone; the maps are composed in the order of the ranges, which takes
+    one row of each range, and then every range knows with which level it begins.
+    """
     from .sampling import LEVELS, step_level
 
-    ordered = _in_order(rows.select(job, ts, tie, F.col(ratio).cast("double").alias("__ratio")), job, ts, tie)
+    none = len(LEVELS)  # the state before the first event of a camera
+    own = rows.select(job, micros(ts).alias("__us"), tie, F.col(ratio).cast("double").alias("__ratio"))
+    n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = own.repartitionByRange(n, job, "__us", tie).sortWithinPartitions(job, "__us", tie)
+    ordered = written(ordered.withColumn("__part", F.spark_partition_id()))
+
+    def ratios(b: pd.DataFrame) -> Iterator[tuple[object, float]]:
+        return zip(b[job].to_numpy(), b["__ratio"].to_numpy(np.float64, na_value=np.nan), strict=True)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, first, last, level = None, None, None, none
+        ends: list[int] | None = None
+        for b in batches:
+            for key, r in ratios(b):
+                if ends is None:
+                    part, first, last, ends, one = int(b["__part"].iloc[0]), key, key, [*range(none + 1)], True
+                if one and not _alike(key, first):
+                    one, level = False, none
+                if one:
+                    after = {k: step_level(r, None if k == none else k) for k in {*ends}}
+                    ends = [after[k] for k in ends]
+                else:
+                    level = step_level(r, level if _alike(key, last) and level != none else None)
+                last = key
+        if ends is not None:
+            yield pd.DataFrame({"part": [part], "first": [first], "last": [last], "ends": [ends], "level": [None if one else level]}).astype({"level": "Int64"})
+
+    kind = rows.schema[job].dataType.simpleString()
+    folded = ordered.mapInPandas(fold, f"part int, first {kind}, last {kind}, ends array<long>, level long").collect()  # one row of each range
+    begin, before, carried = {}, None, none
+    for r in sorted(folded, key=lambda r: r["part"]):
+        start = carried if before is not None and _alike(before["last"], r["first"]) else none
+        begin[r["part"]] = start
+        carried = r["ends"][start] if r["level"] is None else r["level"]
+        before = r
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, level = None, None
+        at, level, fresh = None, none, True
         for b in batches:
             out = np.empty(len(b))
-            for i, (key, r) in enumerate(zip(b[job].to_numpy(), b["__ratio"].to_numpy(np.float64, na_value=np.nan), strict=True)):
-                level = step_level(r, level if at == key else None)
+            for i, (key, r) in enumerate(ratios(b)):
+                if fresh:
+                    at, level, fresh = key, begin[int(b["__part"].iloc[0])], False
+                level = step_level(r, level if _alike(at, key) and level != none else None)
                 at, out[i] = key, LEVELS[level][0]
             yield pd.DataFrame({job: b[job], tie: b[tie], "level": out})
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color, text, units
 from ..operators import aggregates as agg
+from ..operators import batches as held_batches
 from ..operators import clouds, display, kdstats, numbering, octree, poisson, reports, sampling, spatial, store, telemetry, updates
 from ..operators.aggregates import AXES, micros
 from ..operators.lineage import shared_folder
@@ -87,16 +88,29 @@ _UNIT_CASES = " ".join(f"WHEN regexp_matches(l, '(^|[^\\w\\x{{80}}-\\x{{10FFFF}}
 _UNIT_TABLE = ", ".join(f"({i}, '{u[0]}', {u[2]!r}::DOUBLE)" for i, u in enumerate(units.UNITS))
 
 
-@query(f"""WITH t(i, line) AS (VALUES {', '.join(f"({i}, '{s}')" for i, s in enumerate(_LINES))}), n AS (SELECT i, lower(line) AS l, TRY_CAST(nullif(regexp_extract(lower(line), 'scale\\s*[:=]\\s*([\\d.e+-]+)', 1), '') AS DOUBLE) AS v FROM t),
+def _pick(values: list[str], k: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+
+
+def _sql_pick(values: list[str], k: str) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][({k}) % {len(values)} + 1]"
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS i, CASE p_partkey % 3 WHEN 0 THEN 'scale = ' || p_size || '.' || (p_partkey % 1000) ELSE {_sql_pick(_LINES, 'p_partkey')} || ' ' || p_brand END AS line FROM part),
+n AS (SELECT i, lower(line) AS l, TRY_CAST(nullif(regexp_extract(lower(line), 'scale\\s*[:=]\\s*([\\d.e+-]+)', 1), '') AS DOUBLE) AS v FROM t),
 u(k, key, f) AS (VALUES {_UNIT_TABLE}), near AS (SELECT n.i, u.key, u.f, abs(u.f - n.v) AS d, row_number() OVER (PARTITION BY n.i ORDER BY abs(u.f - n.v), u.k) AS r FROM n, u WHERE n.v IS NOT NULL)
 SELECT n.i::BIGINT AS i, CASE WHEN l LIKE '%unit%' OR l LIKE '%scale%' THEN coalesce(CASE {_UNIT_CASES} END, CASE WHEN near.d <= near.f * 0.05 THEN near.key END) END AS unit FROM n LEFT JOIN near ON near.i = n.i AND near.r = 1""")
 def unit_detect(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(_LINES)), "i long, line string").select("i", units.detect(F.col("line")).alias("unit"))
+    """Header lines made of the parts: a number after `scale`, or a phrase before the brand."""
+    p = clouds.table(spark, sf, "part")
+    number = F.concat(F.lit("scale = "), F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 1000).cast("string"))
+    line = F.when(F.col("p_partkey") % 3 == 0, number).otherwise(F.concat(_pick(_LINES, F.col("p_partkey")), F.lit(" "), "p_brand"))
+    return p.select(F.col("p_partkey").alias("i"), units.detect(line).alias("unit"))
 
 
-@query("SELECT k::BIGINT AS code, CASE k " + " ".join(f"WHEN {u[1]} THEN {u[2]!r}::DOUBLE" for u in units.UNITS) + " ELSE 1.0::DOUBLE END AS factor FROM (SELECT unnest(range(10)) AS k)")
+@query("SELECT p_partkey AS idx, CASE p_size % 10 " + " ".join(f"WHEN {u[1]} THEN {u[2]!r}::DOUBLE" for u in units.UNITS) + " ELSE 1.0::DOUBLE END AS factor FROM part")
 def unit_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(10).select(F.col("id").alias("code"), units.by_code(F.col("id")).alias("factor"))
+    return clouds.table(spark, sf, "part").select(F.col("p_partkey").alias("idx"), units.by_code(F.col("p_size") % 10).alias("factor"))
 
 
 @query(f"{_with('c1')} SELECT idx, rgb FROM c1")
@@ -123,9 +137,11 @@ def _sql_stops(name: str) -> str:
     return "CASE " + " ".join(f"WHEN t <= {stops[k + 1][0]} THEN ({at(k, 0)} << 16) | ({at(k, 1)} << 8) | {at(k, 2)}" for k in range(len(stops) - 1)) + " END"
 
 
-@query(f"SELECT i::BIGINT AS i, {_sql_stops('viridis')} AS rgb FROM (SELECT i, i::DOUBLE / 255 AS t FROM (SELECT unnest(range(256)) AS i))")
+@query(f"SELECT event_id AS idx, {_sql_stops('viridis')} AS viridis, {_sql_stops('magma')} AS magma, {_sql_stops('jet')} AS jet, {_sql_stops('grayscale')} AS grayscale FROM (SELECT event_id, (event_id % 256)::DOUBLE / 255 AS t FROM events)")
 def gradient_lut(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(256).select(F.col("id").alias("i"), color.gradient(F.col("id") / 255.0, "viridis").alias("rgb"))
+    """Every entry of every gradient, at the events' numbers."""
+    t = (F.col("event_id") % 256) / 255.0
+    return clouds.table(spark, sf, "events").select(F.col("event_id").alias("idx"), *(color.gradient(t, n).alias(n) for n in ("viridis", "magma", "jet", "grayscale")))
 
 
 def _sql_gradient(t: str, name: str) -> str:
@@ -207,15 +223,62 @@ def display_colors(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{label}', {str(g).lower()}, {str(s).lower()})" for k, label, g, s in color.MODES) + ") AS t(mode, label, gradient, single_color)")
+@query("SELECT event_id AS idx, t.* FROM events JOIN (VALUES " + ", ".join(f"('{k}', '{label}', {str(g).lower()}, {str(s).lower()}, {i})" for i, (k, label, g, s) in enumerate(color.MODES)) + f") AS v(mode, label, gradient, single_color, i) ON v.i = user_id % {len(color.MODES)}, LATERAL (SELECT mode, label, gradient, single_color) AS t")
 def color_modes(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(color.MODES, "mode string, label string, gradient boolean, single_color boolean")
+    """The table of modes, looked up by the mode of each event."""
+    e = clouds.table(spark, sf, "events").select(F.col("event_id").alias("idx"), _pick([m[0] for m in color.MODES], F.col("user_id")).alias("mode"))
+    modes = spark.createDataFrame(color.MODES, "mode string, label string, gradient boolean, single_color boolean")
+    return e.join(modes, "mode")
 
 
-@query("SELECT w::DOUBLE / 10 AS weight, CASE WHEN w::DOUBLE / 10 >= 0.999 THEN 255 ELSE round(255 * (w::DOUBLE / 10))::BIGINT END AS alpha FROM (SELECT unnest(range(11)) AS w)")
+@query("SELECT event_id AS idx, CASE WHEN w >= 0.999 THEN 255 WHEN w <= 0 THEN 0 ELSE round(255 * w)::BIGINT END AS alpha FROM (SELECT event_id, value / 400.0 - 0.1 AS w FROM events)")
 def alpha_blend(spark: SparkSession, sf: str) -> DataFrame:
-    w = F.col("id") / 10
-    return spark.range(11).select(w.alias("weight"), F.when(w >= 0.999, 255).otherwise(F.round(255 * w)).cast("long").alias("alpha"))
+    return clouds.table(spark, sf, "events").select(F.col("event_id").alias("idx"), display.alpha(F.col("value") / 400.0 - 0.1).alias("alpha"))
+
+
+#: A header line of each region's file.
+_REGION_LINES = ["comment units: meters", "obj_info scale = 0.0393700787", "comment unit feet", "comment generated by scanner", "comment\ncomment units mm"]
+
+
+def _region_files(spark: SparkSession, sf: str) -> str:
+    """One ASCII file for each region: its customers as points, in the order of their keys."""
+    folder = shared_folder(spark, "ply")
+    c = clouds.table(spark, sf, "customer").join(clouds.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    line = F.concat_ws(" ", F.col("c_custkey").cast("string"), F.col("c_acctbal").cast("string"), F.col("c_nationkey").cast("string"))
+    rows = c.select("n_regionkey", F.col("c_custkey").alias("k"), line.alias("value"))
+    said = F.element_at(F.array(*map(F.lit, _REGION_LINES)), F.col("n_regionkey") + 1)
+    head = F.concat(F.lit("ply\nformat ascii 1.0\n"), said, F.lit("\nelement vertex "), F.col("n").cast("string"), F.lit("\nproperty double x\nproperty double y\nproperty double z\nend_header"))
+    heads = rows.groupBy("n_regionkey").agg(F.count("*").alias("n")).select("n_regionkey", F.lit(-1).cast("long").alias("k"), head.alias("value"))
+    rows.unionByName(heads).repartition(8, "n_regionkey").sortWithinPartitions("n_regionkey", "k").select("n_regionkey", "value").write.partitionBy("n_regionkey").text(folder)
+    return folder
+
+
+_SQL_FACTORS = "[" + ", ".join(f"{f!r}::DOUBLE" for f in (1000.0 / 25.4, 1.0 / 25.4, 12.0, 2.5, 1.0 / 25.4)) + "]"
+
+
+@query(f"SELECT r_regionkey::BIGINT AS region, (SELECT count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = r_regionkey)::BIGINT AS vertices, round({_SQL_FACTORS}[r_regionkey + 1], 9) AS factor FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey)")
+def ply_units(spark: SparkSession, sf: str) -> DataFrame:
+    """Headers of a folder of files as a table, and the factor of each file's unit; a file that names none takes the explicit one."""
+    found = ply.unit_factors(ply.headers(spark, _region_files(spark, sf), "*.txt"), explicit=2.5)
+    return found.select(F.regexp_extract("path", r"n_regionkey=(\d+)", 1).cast("long").alias("region"), "vertices", F.round("factor", 9).alias("factor"))
+
+
+@query(f"SELECT n_regionkey::BIGINT AS region, row_number() OVER (PARTITION BY n_regionkey ORDER BY c_custkey) - 1 AS idx, round(c_custkey * f, 6) AS x, round(c_acctbal * f, 6) AS y, round(c_nationkey * f, 6) AS z FROM (SELECT *, {_SQL_FACTORS}[n_regionkey + 1] AS f FROM customer JOIN nation ON c_nationkey = n_nationkey)")
+def ply_folder(spark: SparkSession, sf: str) -> DataFrame:
+    """The points of all files of a folder, each in its own unit; ranges of 4 KB, so that a file is several tasks."""
+    p = ply.read_folder(spark, _region_files(spark, sf), "*.txt", explicit=2.5, range_bytes=4096)
+    return p.select(F.regexp_extract("path", r"n_regionkey=(\d+)", 1).cast("long").alias("region"), "idx", *(F.round(a, 6).alias(a) for a in AXES))
+
+
+@query(f"{_with('c1')} SELECT 3::BIGINT AS batches, count(*)::BIGINT AS n, {SQL_BOUNDS}, min(intensity) AS min_intensity, max(intensity) AS max_intensity FROM c1")
+def batch_aggregates(spark: SparkSession, sf: str) -> DataFrame:
+    """Bounds and range of a cloud of three batches, from the rows kept with each: one batch brings all its aggregates, one its range, one none."""
+    root, p = shared_folder(spark, "cloud"), clouds.events(spark, sf)
+    part = [p.filter(F.col("idx") % 3 == k) for k in range(3)]
+    held_batches.append(part[0], root, "0", agg.box_of(part[0]), tuple(agg.intensity_range(part[0]).first()))
+    held_batches.append(part[1], root, "1", intensity=tuple(agg.intensity_range(part[1]).first())[::-1])
+    held_batches.append(part[2], root, "2")
+    return held_batches.summary(spark, root)
 
 
 # --- sampling and levels of detail -----------------------------------------------------------------
@@ -428,9 +491,9 @@ def display_ramp(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("idx"), display.rebuilds(F.col("p_partkey") % 100, size - 5).alias("rebuild"), F.round(display.lerp(size, F.col("p_retailprice"), size / 40.0 - 0.1), 9).alias("value"))
 
 
-@query("SELECT depth::BIGINT AS depth, (round(CASE i WHEN 0 THEN 0.9 WHEN 1 THEN q WHEN 2 THEN p WHEN 3 THEN p WHEN 4 THEN t ELSE 0.9 END * 255)::BIGINT << 16) | (round(CASE i WHEN 0 THEN t WHEN 1 THEN 0.9 WHEN 2 THEN 0.9 WHEN 3 THEN q ELSE p END * 255)::BIGINT << 8) | round(CASE i WHEN 0 THEN p WHEN 1 THEN p WHEN 2 THEN t WHEN 3 THEN 0.9 WHEN 4 THEN 0.9 ELSE q END * 255)::BIGINT AS rgb FROM (SELECT depth, floor(h) AS i, 0.9::DOUBLE * (1 - 0.6::DOUBLE) AS p, 0.9::DOUBLE * (1 - 0.6::DOUBLE * (h - floor(h))) AS q, 0.9::DOUBLE * (1 - 0.6::DOUBLE * (1 - (h - floor(h)))) AS t FROM (SELECT depth, (depth % 8)::DOUBLE / 8 * 6 AS h FROM (SELECT unnest(range(10)) AS depth)))")
+@query("SELECT idx, (round(CASE i WHEN 0 THEN 0.9 WHEN 1 THEN q WHEN 2 THEN p WHEN 3 THEN p WHEN 4 THEN t ELSE 0.9 END * 255)::BIGINT << 16) | (round(CASE i WHEN 0 THEN t WHEN 1 THEN 0.9 WHEN 2 THEN 0.9 WHEN 3 THEN q ELSE p END * 255)::BIGINT << 8) | round(CASE i WHEN 0 THEN p WHEN 1 THEN p WHEN 2 THEN t WHEN 3 THEN 0.9 WHEN 4 THEN 0.9 ELSE q END * 255)::BIGINT AS rgb FROM (SELECT idx, floor(h) AS i, 0.9::DOUBLE * (1 - 0.6::DOUBLE) AS p, 0.9::DOUBLE * (1 - 0.6::DOUBLE * (h - floor(h))) AS q, 0.9::DOUBLE * (1 - 0.6::DOUBLE * (1 - (h - floor(h)))) AS t FROM (SELECT p_partkey AS idx, (p_size % 8)::DOUBLE / 8 * 6 AS h FROM part))")
 def depth_colors(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(10).select(F.col("id").alias("depth"), octree.depth_color(F.col("id")).alias("rgb"))
+    return clouds.table(spark, sf, "part").select(F.col("p_partkey").alias("idx"), octree.depth_color(F.col("p_size")).alias("rgb"))
 
 
 # --- spatial joins ---------------------------------------------------------------------------------
@@ -473,17 +536,16 @@ def cell_counts(spark: SparkSession, sf: str) -> DataFrame:
     return clouds.embeddings(spark, sf).groupBy(*(spatial.cell(a, 0.05).alias(c) for a, c in zip(AXES, ("cx", "cy", "cz"), strict=True))).agg(F.count("*").alias("n"))
 
 
-_SLABS = [(0, 5.0, 5.0, 5.0, 0.0, 1.0, 1e-10), (1, 15.0, 5.0, 5.0, 0.0, 1.0, 0.0), (2, -5.0, -5.0, -5.0, 1.0, 1.0, 1.0), (3, 5.0, 5.0, 20.0, 0.0, 0.0, -1.0), (4, -1.0, 11.0, 5.0, 1.0, 1.0, 0.0)]
-
-
-@query("""WITH r(i, ox, oy, oz, dx, dy, dz) AS (VALUES """ + ", ".join(f"({', '.join(f'{v!r}::DOUBLE' if isinstance(v, float) else str(v) for v in s)})" for s in _SLABS) + """),
-t AS (SELECT i, """ + ", ".join(f"CASE WHEN abs(d{a}) < 1e-9 THEN '-infinity'::DOUBLE ELSE least((0 - o{a}) / d{a}, (10 - o{a}) / d{a}) END AS e{a}, CASE WHEN abs(d{a}) < 1e-9 THEN 'infinity'::DOUBLE ELSE greatest((0 - o{a}) / d{a}, (10 - o{a}) / d{a}) END AS l{a}, (abs(d{a}) >= 1e-9 OR o{a} BETWEEN 0 AND 10) AS k{a}" for a in AXES) + """ FROM r)
-SELECT i::BIGINT AS i, CASE WHEN kx AND ky AND kz AND greatest(ex, ey, ez) <= least(lx, ly, lz) THEN greatest(ex, ey, ez) END AS entry, CASE WHEN kx AND ky AND kz AND greatest(ex, ey, ez) <= least(lx, ly, lz) THEN least(lx, ly, lz) END AS exit FROM t""")
+@query("""WITH e AS (SELECT vec_id AS i, embedding::DOUBLE[] AS e, vec_id % 4 AS k FROM embeddings),
+r AS (SELECT i, e[1] AS ox, e[2] AS oy, e[3] AS oz, CASE WHEN k = 1 THEN 0 ELSE e[4] END AS dx, CASE WHEN k IN (1, 2) THEN 1e-10 ELSE e[5] END AS dy, e[6] AS dz FROM e),
+t AS (SELECT i, """ + ", ".join(f"CASE WHEN abs(d{a}) < 1e-9 THEN '-infinity'::DOUBLE ELSE least((-0.1 - o{a}) / d{a}, (0.1 - o{a}) / d{a}) END AS e{a}, CASE WHEN abs(d{a}) < 1e-9 THEN 'infinity'::DOUBLE ELSE greatest((-0.1 - o{a}) / d{a}, (0.1 - o{a}) / d{a}) END AS l{a}, (abs(d{a}) >= 1e-9 OR o{a} BETWEEN -0.1 AND 0.1) AS k{a}" for a in AXES) + """ FROM r)
+SELECT i, CASE WHEN kx AND ky AND kz AND greatest(ex, ey, ez) <= least(lx, ly, lz) THEN round(greatest(ex, ey, ez), 9) END AS entry, CASE WHEN kx AND ky AND kz AND greatest(ex, ey, ez) <= least(lx, ly, lz) THEN round(least(lx, ly, lz), 9) END AS exit FROM t""")
 def ray_slab(spark: SparkSession, sf: str) -> DataFrame:
-    r = spark.createDataFrame(_SLABS, "i long, ox double, oy double, oz double, dx double, dy double, dz double")
-    cols = lambda p: tuple(F.col(f"{p}{a}") for a in AXES)
-    hit, entry, leave = spatial.slab(cols("o"), cols("d"), (F.lit(0.0),) * 3, (F.lit(10.0),) * 3)
-    return r.select("i", F.when(hit, entry).alias("entry"), F.when(hit, leave).alias("exit"))
+    """Rays made of the vectors against one box; some run along an axis, or so nearly that they count as if they did."""
+    part, k = lambda i: F.element_at("embedding", i).cast("double"), F.col("vec_id") % 4
+    direction = (F.when(k == 1, 0.0).otherwise(part(4)), F.when(k.isin(1, 2), 1e-10).otherwise(part(5)), part(6))
+    hit, entry, leave = spatial.slab((part(1), part(2), part(3)), direction, (F.lit(-0.1),) * 3, (F.lit(0.1),) * 3)
+    return clouds.table(spark, sf, "embeddings").select(F.col("vec_id").alias("i"), F.when(hit, F.round(entry, 9)).alias("entry"), F.when(hit, F.round(leave, 9)).alias("exit"))
 
 
 RAYS = [(0, (-1.0, 0.0, 0.0), (1.0, 0.0, 0.0)), (1, (0.0, -1.0, 0.05), (0.1, 1.0, 0.0)), (2, (0.1, 0.1, -1.0), (0.0, 0.0, 1.0)), (3, (5.0, 5.0, 5.0), (1.0, 0.0, 0.0))]
@@ -504,6 +566,24 @@ def ray_pick(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.ray_pick(clouds.embeddings(spark, sf), RAYS, 0.05).select(F.col("q_id").cast("long").alias("q_id"), "idx", F.round("t", 9).alias("t"), F.round("perp2", 12).alias("perp2"))
 
 
+_RAY_T = "(p.x - ox) * dx + (p.y - oy) * dy + (p.z - oz) * dz"
+_RAY_PERP = " + ".join(f"(({a} - (o{a} + d{a} * t)) * ({a} - (o{a} + d{a} * t)))" for a in AXES)
+
+
+@query(f"""{_with('c2')}, e AS (SELECT vec_id AS q_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0),
+l AS (SELECT q_id, e[5] AS ox, e[6] AS oy, e[7] AS oz, e[8] AS ux, e[9] AS uy, e[10] AS uz, sqrt(e[8] * e[8] + e[9] * e[9] + e[10] * e[10]) AS n FROM e),
+r AS (SELECT q_id, ox, oy, oz, ux / n AS dx, uy / n AS dy, uz / n AS dz FROM l WHERE n > 0),
+s AS (SELECT r.*, p.idx, p.x, p.y, p.z, {_RAY_T} AS t FROM r, c2 p), w AS (SELECT q_id, idx, t, {_RAY_PERP} AS perp2 FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY perp2, idx) AS rank FROM w WHERE t >= -0.05 AND perp2 <= 0.05 * 0.05)
+SELECT q_id, idx, round(t, 9) AS t, round(perp2, 12) AS perp2 FROM k WHERE rank = 1""")
+def ray_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Rays from a table: origin and direction of every fiftieth vector, through the cloud of all vectors."""
+    part = lambda i: F.element_at("embedding", i).cast("double")
+    names = ["ox", "oy", "oz", "dx", "dy", "dz"]
+    lines = clouds.table(spark, sf, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), *(part(k + 5).alias(n) for k, n in enumerate(names)))
+    return spatial.ray_join(lines, clouds.embeddings(spark, sf), 0.05).select("q_id", "idx", F.round("t", 9).alias("t"), F.round("perp2", 12).alias("perp2"))
+
+
 @query(f"{_with('c2')} SELECT q.idx AS idx, count(*)::BIGINT AS n, round(avg(p.x), 9) AS mx, round(avg(p.y), 9) AS my, round(avg(p.z), 9) AS mz, round(covar_pop(p.x, p.x), 9) AS cxx, round(covar_pop(p.x, p.y), 9) AS cxy, round(covar_pop(p.x, p.z), 9) AS cxz, round(covar_pop(p.y, p.y), 9) AS cyy, round(covar_pop(p.y, p.z), 9) AS cyz, round(covar_pop(p.z, p.z), 9) AS czz FROM c2 q JOIN c2 p ON {_D2} <= 0.1 * 0.1 GROUP BY 1")
 def covariance(spark: SparkSession, sf: str) -> DataFrame:
     c = spatial.covariance(clouds.embeddings(spark, sf), 0.1)
@@ -749,6 +829,17 @@ def throttle(spark: SparkSession, sf: str) -> DataFrame:
     return telemetry.throttle(_jobs(spark, sf), "user_id", "ts", "event_id", 86400.0)
 
 
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS us, CASE WHEN event_id % 5 > 0 THEN 'phase ' || (event_id // 700) END AS m, event_id % 97 = 0 OR value >= 480 AS f,
+row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+t(user_id, event_id, k, last, m, go) AS (SELECT user_id, event_id, k, us, m, true FROM o WHERE k = 1 UNION ALL
+SELECT user_id, event_id, k, CASE WHEN g THEN us ELSE last END, CASE WHEN g THEN m ELSE told END, g FROM (SELECT o.*, t.last, t.m AS told, o.f OR o.us - t.last >= 604800000000 OR (o.m IS NOT NULL AND o.m IS DISTINCT FROM t.m) AS g FROM t JOIN o ON o.user_id = t.user_id AND o.k = t.k + 1))
+SELECT user_id, event_id FROM t WHERE go""")
+def throttle_bypass(spark: SparkSession, sf: str) -> DataFrame:
+    """The throttle with messages, forced and complete events, which go through at any time."""
+    e = clouds.table(spark, sf, "events").withColumns({"message": F.when(F.col("event_id") % 5 > 0, F.concat(F.lit("phase "), F.floor(F.col("event_id") / 700).cast("string"))), "force": F.col("event_id") % 97 == 0, "fraction": F.col("value") / 480.0})
+    return telemetry.throttle(e, "user_id", "ts", "event_id", 604800.0, "message", "force", "fraction")
+
+
 def _sql_levels() -> str:
     lv = sampling.LEVELS
     up = lambda k: "CASE " + " ".join(f"WHEN r <= {lv[j][2]} THEN {j}" for j in range(k, len(lv) - 1)) + f" ELSE {len(lv) - 1} END" if k < len(lv) - 1 else str(k)
@@ -790,14 +881,17 @@ _BOOLS = ["true", " YES ", "1", "on", "0", "no", "Off", "false", "", "  ", "mayb
 _INTS = ["12", " 7x", "-3", "0", "abc", "", "99999", "4.9", "+8"]
 
 
-@query("WITH t(i, s) AS (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(_BOOLS)) + ") SELECT i::BIGINT AS i, trim(s) <> '' AND lower(trim(s)) NOT IN ('false', '0', 'no', 'off') AS b FROM t")
+@query(f"SELECT event_id AS i, trim(s) <> '' AND lower(trim(s)) NOT IN ('false', '0', 'no', 'off') AS b FROM (SELECT event_id, CASE WHEN user_id % 20 = 0 THEN event_type ELSE {_sql_pick(_BOOLS, 'event_id')} END AS s FROM events)")
 def norm_bool(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(_BOOLS)), "i long, s string").select("i", text.boolean(F.col("s")).alias("b"))
+    s = F.when(F.col("user_id") % 20 == 0, F.col("event_type")).otherwise(_pick(_BOOLS, F.col("event_id")))
+    return clouds.table(spark, sf, "events").select(F.col("event_id").alias("i"), text.boolean(s).alias("b"))
 
 
-@query("WITH t(i, s) AS (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(_INTS)) + ") SELECT i::BIGINT AS i, CASE WHEN n > 0 THEN n ELSE 250 END::BIGINT AS n FROM (SELECT i, coalesce(TRY_CAST(nullif(regexp_extract(s, '^\\s*([+-]?\\d+)', 1), '') AS BIGINT), 0) AS n FROM t)")
+@query(f"SELECT event_id AS i, CASE WHEN n > 0 THEN n ELSE 250 END::BIGINT AS n FROM (SELECT event_id, coalesce(TRY_CAST(nullif(regexp_extract(CASE event_id % 4 WHEN 0 THEN ' ' || user_id || 'x' WHEN 1 THEN '-' || user_id WHEN 2 THEN event_type ELSE {_sql_pick(_INTS, 'user_id')} END, '^\\s*([+-]?\\d+)', 1), '') AS BIGINT), 0) AS n FROM events)")
 def norm_int(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(_INTS)), "i long, s string").select("i", text.positive_int(F.col("s"), 250).alias("n"))
+    k, user = F.col("event_id") % 4, F.col("user_id").cast("string")
+    s = F.when(k == 0, F.concat(F.lit(" "), user, F.lit("x"))).when(k == 1, F.concat(F.lit("-"), user)).when(k == 2, F.col("event_type")).otherwise(_pick(_INTS, F.col("user_id")))
+    return clouds.table(spark, sf, "events").select(F.col("event_id").alias("i"), text.positive_int(s, 250).alias("n"))
 
 
 @query("SELECT event_id, regexp_replace(event_type || ' / user #' || user_id, '[^\\w\\-.]+', '_', 'g') || '.ply' AS name FROM events")
@@ -811,8 +905,6 @@ def fmt_point(spark: SparkSession, sf: str) -> DataFrame:
     return clouds.embeddings(spark, sf).select("idx", text.point(F.col("x"), F.col("y"), F.col("z")).alias("s"))
 
 
-@query("""WITH RECURSIVE n(name) AS (VALUES ('events'), ('orders'), ('Point Cloud'), ('')),
-h(name, i, v) AS (SELECT name, 0, 2166136261::UBIGINT FROM n UNION ALL SELECT name, i + 1, (xor(v, ascii(name[i + 1])::UBIGINT) * 16777619) % 4294967296 FROM h WHERE i < length(name))
-SELECT name, v::BIGINT AS seed FROM h WHERE i = length(name)""")
+@query("SELECT p_partkey AS idx, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(p_name, ''), lambda c: ord(c)::BIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295)::BIGINT AS seed FROM part")
 def fnv_seed(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(n, color.fnv1a(n)) for n in ("events", "orders", "Point Cloud", "")], "name string, seed long")
+    return clouds.table(spark, sf, "part").select(F.col("p_partkey").alias("idx"), color.fnv1a_of(F.col("p_name")).alias("seed"))
\ No newline at end of file

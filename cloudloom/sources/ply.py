@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -53,6 +54,7 @@ class Header:
     skipped: int = 0  # bytes of binary elements before the vertices
     skipped_rows: int = 0  # lines of ASCII elements before them
     filled: int = 0  # lines of the header that are not blank
+    said: tuple[str, ...] = ()  # comments and obj_info in their order
 
     @property
     def binary(self) -> bool:
@@ -86,7 +88,7 @@ def parse_header(raw: bytes) -> Header:
         if line.lower() == "end_header":
             break
     form = version = None
-    comments, info, properties = [], [], []
+    comments, info, said, properties = [], [], [], []
     count, element, skipped, skipped_rows, size_of, rows_of = None, None, 0, 0, 0, 0
     for line in lines[1:-1]:
         word, _, rest = line.partition(" ")
@@ -96,8 +98,10 @@ def parse_header(raw: bytes) -> Header:
             form, version = parts[0].lower(), parts[1]
         elif word == "comment":
             comments.append(rest)
+            said.append(rest)
         elif word == "obj_info":
             info.append(rest)
+            said.append(rest)
         elif word == "element" and len(parts) >= 2:
             if element not in (None, "vertex") and count is None:
                 skipped, skipped_rows = skipped + size_of * rows_of, skipped_rows + rows_of
@@ -121,7 +125,7 @@ def parse_header(raw: bytes) -> Header:
         raise PlyError(f"vertex properties are missing: {', '.join(missing)}")
     if form != "ascii" and (odd := sorted({t for t, _ in properties} - TYPES.keys())):
         raise PlyError(f"unknown property types: {', '.join(odd)}")
-    return Header(form, version, count, tuple(properties), at, tuple(comments), tuple(info), skipped, skipped_rows, sum(map(bool, lines)))
+    return Header(form, version, count, tuple(properties), at, tuple(comments), tuple(info), skipped, skipped_rows, sum(map(bool, lines)), tuple(said))
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -293,6 +297,67 @@ def header_info(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(h.form, h.version, h.count, list(h.comments), list(h.obj_info))], "format string, version string, vertices long, comments array<string>, obj_info array<string>")
 
 
+HEADERS = "path string, format string, version string, vertices long, strings array<string>, error string"
+
+
+def headers(spark: SparkSession, folder: str, names: str = "*.ply") -> DataFrame:
+    """The headers of all files below a folder: path, format, version, vertices, strings (comments and obj_info in order); error instead, where a file has none that can be read.
+
+    The listing and the first bytes of each file are read by the executors; no contents are.
+    """
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(folder).select("path")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path in b["path"]:
+                try:
+                    h = read_header(path)
+                    rows.append((path, h.form, h.version, h.count, list(h.said), None))
+                except (PlyError, ValueError, OSError) as e:
+                    rows.append((path, None, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "format", "version", "vertices", "strings", "error"]).astype({"vertices": "Int64"})
+
+    return paths.mapInPandas(run, HEADERS)
+
+
+def unit_factors(found: DataFrame, target: str | None = None, explicit: float | None = None, model_code: int | None = None) -> DataFrame:
+    """headers with unit (that of the first string that names one) and factor, by units.choose."""
+    from ..functions import units
+
+    named = F.filter(F.transform(F.coalesce("strings", F.array().cast("array<string>")), units.detect), lambda u: u.isNotNull())
+    lit = lambda v, kind: F.lit(v).cast(kind)
+    return found.withColumn("unit", F.get(named, F.lit(0))).withColumn("factor", units.choose(F.col("unit"), lit(target, "string"), lit(explicit, "double"), lit(model_code, "int")))
+
+
+def read_folder(spark: SparkSession, folder: str, names: str = "*.ply", target: str | None = None, explicit: float | None = None, model_code: int | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The points of all files below a folder, with path, each file in its own unit: path, idx (in the file), x, y, z, rgb, intensity. Files without a readable header are left out (headers names them).
+
+    Files are cut into ranges by the executors, and the ranges are dealt out anew, so one large file is many tasks.
+    """
+    files = unit_factors(headers(spark, folder, names).filter("error is null"), target, explicit, model_code).select("path", "factor")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, factor in zip(b["path"], b["factor"], strict=True):
+                own = PlyReader(path, range_bytes, False).partitions()
+                yield pd.DataFrame({"path": path, "factor": factor, "begin": [r.begin for r in own], "end": [r.end for r in own], "first": [r.first for r in own]})
+
+    ranges = files.mapInPandas(cut, "path string, factor double, begin long, end long, first long")
+    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                reader = PlyReader(r["path"], range_bytes, False)
+                for rows in reader.read(_Range(r["path"], r["begin"], r["end"], r["first"], reader.header)):
+                    same = [pa.array([r[c]] * rows.num_rows, t) for c, t in (("path", pa.string()), ("factor", pa.float64()))]
+                    yield pa.RecordBatch.from_arrays([*same, *rows.columns], ["path", "factor", *SCHEMA.fieldNames()])
+
+    points = ranges.repartition(n, "path", "begin").mapInArrow(read, T.StructType([T.StructField("path", T.StringType()), T.StructField("factor", T.DoubleType()), *SCHEMA.fields]))
+    return points.select("path", "idx", *((F.col(a) * F.col("factor")).alias(a) for a in "xyz"), "rgb", "intensity")
+
+
 def ply_line(rgb: bool, intensity: bool) -> Column:
     """The text of a vertex: six decimals, white for no colour, 0 for no intensity."""
     from ..functions.color import WHITE, unpack

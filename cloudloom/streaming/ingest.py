@@ -12,7 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..functions.units import scale
 from ..operators.aggregates import bounds, intensity_range, micros
-from ..operators.sampling import LEVELS
+from ..operators.sampling import LEVELS, step_level
+from ..operators.telemetry import bypass
 
 
 def read_chunks(spark: SparkSession, path: str, schema: T.StructType, files: int = 1) -> DataFrame:
@@ -47,42 +48,35 @@ class _Throttle(StatefulProcessor):
         self.interval = interval
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "us long")
+        self.last = handle.getValueState("last", "us long, said string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         every = pd.concat(list(rows)).sort_values(["us", "tie"])
-        last = self.last.get()[0] if self.last.exists() else None
+        last, told = self.last.get() if self.last.exists() else (None, None)
         kept = []
-        for us, tie in zip(every["us"].tolist(), every["tie"].tolist(), strict=True):
-            if last is None or us - last >= self.interval * 1e6:
-                last = us
+        for us, tie, said, go in zip(every["us"].tolist(), every["tie"].tolist(), every["said"].tolist(), every["go"].tolist(), strict=True):
+            if last is None or go or us - last >= self.interval * 1e6 or (said is not None and said != told):
+                last, told = us, said
                 kept.append(tie)
         if last is not None:
-            self.last.update((last,))
+            self.last.update((last, told))
         yield pd.DataFrame({"key": [key[0]] * len(kept), "tie": kept})
 
     def close(self) -> None:
         pass
 
 
-def throttle(events: DataFrame, key: str, ts: str, tie: str, interval: float) -> DataFrame:
-    """Events at least `interval` seconds after the last one let through of their key; the last time is state."""
-    rows = events.select(F.col(key).cast("string").alias("key"), micros(ts).alias("us"), F.col(tie).cast("long").alias("tie"))
+def throttle(events: DataFrame, key: str, ts: str, tie: str, interval: float, message: str | None = None, force: str | None = None, fraction: str | None = None) -> DataFrame:
+    """Like telemetry.throttle; the time and the message last let through are state."""
+    said = F.col(message).cast("string") if message else F.lit(None).cast("string")
+    rows = events.select(F.col(key).cast("string").alias("key"), micros(ts).alias("us"), F.col(tie).cast("long").alias("tie"), said.alias("said"), bypass(force, fraction).alias("go"))
     return rows.groupBy("key").transformWithStateInPandas(_Throttle(interval), "key string, tie long", "append", "None")
 
 
 def next_level(ratio: float, level: float | None) -> float:
     """One step of the level-of-detail hysteresis."""
     names = [lv for lv, _, _ in LEVELS]
-    if ratio != ratio or ratio is None:
-        return names[0]
-    at = names.index(level) if level is not None else next((i for i, r in enumerate(LEVELS) if ratio <= r[2]), len(LEVELS) - 1)
-    while at < len(LEVELS) - 1 and ratio > LEVELS[at][2]:
-        at += 1
-    else:
-        while at > 0 and ratio < LEVELS[at][1] and (level is None or ratio <= LEVELS[names.index(level)][2]):
-            at -= 1
-    return names[at]
+    return names[step_level(ratio, None if level is None else names.index(level))]
 
 
 class _Hysteresis(StatefulProcessor):

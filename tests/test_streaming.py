@@ -1,3 +1,6 @@
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from cloudloom.operators import aggregates as agg
@@ -36,3 +39,32 @@ def test_streamed_throttle_and_hysteresis_equal_batch(spark, sf, tmp_path):
     q.awaitTermination()
     got = {(r["key"], r["tie"], r["level"]) for r in spark.table("hys").collect()}
     assert got == {(str(r["user_id"]), r["event_id"], r["level"]) for r in telemetry.hysteresis(e, "user_id", "ratio", "ts", "event_id").collect()}
+    more = ("message", "force", "fraction")
+    told = lambda d: d.withColumns({"message": F.when(F.col("event_id") % 5 > 0, F.floor(F.col("event_id") / 90).cast("string")), "force": F.col("event_id") % 17 == 0, "fraction": F.col("value") / 400})
+    q = ingest.throttle(told(read()), "user_id", "ts", "event_id", 604800.0, *more).writeStream.format("memory").queryName("thr2").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r["key"], r["tie"]) for r in spark.table("thr2").collect()}
+    assert got == {(str(r["user_id"]), r["event_id"]) for r in telemetry.throttle(told(e), "user_id", "ts", "event_id", 604800.0, *more).collect()} and len(got) < e.count()
+
+
+def test_one_camera_over_many_tasks(spark):
+    """Most events are one camera's; the levels are those of one pass over its events."""
+    from cloudloom.operators import sampling
+
+    r = random.Random(3)
+    rows = [("one" if k % 9 else f"c{k % 5}", k, r.choice((0.5, 1.4, 1.6, 2.4, 2.7, 3.4, 3.7, 4.9, 6.0, float("nan"), None))) for k in range(3000)] + [(None, k, 2.0 + k % 3) for k in range(50)]
+    df = spark.createDataFrame(rows, "camera string, k long, ratio double").withColumn("ts", F.timestamp_seconds(F.col("k")))
+    want, level = {}, {}
+    for camera, k, ratio in sorted(rows, key=lambda x: x[1]):
+        level[camera] = sampling.step_level(math.nan if ratio is None else ratio, level.get(camera))
+        want[camera, k] = sampling.LEVELS[level[camera]][0]
+    got = telemetry.hysteresis(df.repartition(3), "camera", "ratio", "ts", "k")
+    assert {(x["camera"], x["k"]): x["level"] for x in got.collect()} == want
+    assert got.filter("camera = 'one'").select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_throttle_bypass(spark):
+    rows = [("a", 0, "x", False, 0.1), ("a", 1, "x", False, 0.2), ("a", 2, None, False, 0.2), ("a", 3, "x", False, 0.3), ("a", 4, "y", False, 0.3), ("a", 5, "y", True, 0.3), ("a", 6, "y", False, 1.0), ("a", 7, "y", None, None), ("a", 16, "y", False, 0.5), ("b", 3, None, False, 0.0), ("b", 4, "z", False, 0.0)]
+    df = spark.createDataFrame(rows, "job string, i long, message string, force boolean, fraction double").withColumn("ts", F.timestamp_seconds(F.col("i")))
+    got = telemetry.throttle(df, "job", "ts", "i", 10.0, "message", "force", "fraction").collect()
+    assert sorted((x["job"], x["i"]) for x in got) == [("a", 0), ("a", 4), ("a", 5), ("a", 6), ("a", 16), ("b", 3), ("b", 4)]
