@@ -7,6 +7,7 @@ role). A decision tree, fitted to the small labelled table LABELLED, keeps or dr
 by their link density and that of their neighbours, inside an article too; prose of short blocks stays by its neighbours.
 
 Defined cases: null, empty or blank html has the empty text; pages of any length are read whole;
+an opening p, li, dt, dd, tr, td, th or option ends an open like element, any block element an open p; other
 unclosed and misnested tags close with the element around them, an unclosed script, style, textarea or
 title runs to the end, a self-closed svg or math is empty; repeated rows give repeated results; columns besides those asked for are not read.
 """
@@ -80,6 +81,9 @@ ARTICLE_WORDS = frozenset("article articlebody main content post entry story".sp
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
+#: The open elements that an opening one ends, innermost first; every other block element ends an open p.
+ENDS = {"li": ("p", "li"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd"), "tr": ("p", "td", "th", "tr"), "td": ("p", "td", "th"), "th": ("p", "td", "th"), "option": ("option",)}
+
 _TOKEN = re.compile(
     # an attribute outside quotes holds no "<": an unclosed tag is given up at the next one, so that a page is read in linear time
     r"<!--.*?(?:-->|\Z)|<(?!title\s*/>)(" + "|".join(RAW) + r")(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+)>|<[!?][^<>]*+>|([^<]+|<)",
@@ -167,6 +171,10 @@ def blocks(html: str) -> list[tuple[str, int, int, int, int]]:
             continue
         flush()
         links = 0
+        while not m[2] and open_tags and open_tags[-1][0] in ENDS.get(tag, ("p",)):
+            _, a, b = open_tags.pop()  # its end tag is left out
+            article -= a
+            boiler -= b
         if tag in VOID:
             continue
         if m[2]:
@@ -184,7 +192,7 @@ def blocks(html: str) -> list[tuple[str, int, int, int, int]]:
             open_tags.append((tag, a, b))
         elif m[4].strip() and tag in ("p", "li", "td", "dd"):
             a, b = _says(tag, m[4], article > 0)
-            if b:  # its end may be implied: it counts for its own block only
+            if b:  # up to its end tag, or to the element that implies it
                 boiler += b
                 open_tags.append((tag, a, b))
                 article += a
