@@ -22,6 +22,7 @@ token is unknown with probability one; an empty table has no rows; other columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -67,6 +68,39 @@ def _unkeys(raw: bytes) -> np.ndarray:
     return np.cumsum(out.view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
+_PRIME = np.uint64((1 << 31) - 1)
+_FIELD = np.random.Generator(np.random.PCG64(20250917)).integers(1, (1 << 31) - 1, 257, dtype=np.uint64)
+
+
+@lru_cache(maxsize=1)
+def _field_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 .. n - 1 of the base and of its inverse modulo _PRIME."""
+    base = int(_FIELD[256])
+    out = []
+    for b in (base, pow(base, -1, int(_PRIME))):
+        p = np.ones(n, np.uint64)
+        k = 1
+        while k < n:
+            p[k : 2 * k] = p[: min(k, n - k)] * np.uint64(pow(b, k, int(_PRIME))) % _PRIME
+            k *= 2
+        out.append(p)
+    return out[0], out[1]
+
+
+def _names(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit names of words. A polynomial modulo 2^64 alone gives some regular words one name (such as a long Thue-Morse word and its complement); one in a prime field tells them apart."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    size = 1 << 21
+    while size <= len(raw):
+        size *= 2
+    up, down = _field_powers(size)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_FIELD[raw] * up[: len(raw)] % _PRIME, out=sums[1:])
+    field = (sums[ends] - sums[starts]) % _PRIME * down[starts] % _PRIME
+    return mix(span_hash(raw, starts, ends) ^ (field * np.uint64(0x9E3779B97F4A7C15)))
+
+
 def chunks(docs: DataFrame) -> DataFrame:
     """(chunk, keys, held, counts, tokens, vocab): tokens are places in the chunk's own vocabulary of hashes, frequent first."""
     schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("keys", T.ArrayType(docs.schema["key"].dataType)), *(T.StructField(n, T.BinaryType()) for n in ("held", "counts", "tokens", "vocab"))])
@@ -79,7 +113,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                 raw, offs = flat_bytes(col.slice(lo, hi - lo))
                 raw = LOWER[raw]
                 starts, ends, upto = word_spans(raw, offs, NOT_SPACE)
-                hashes.append(np.insert(span_hash(raw, starts, ends), upto, END))
+                hashes.append(np.insert(_names(raw, starts, ends), upto, END))
                 counts.append(np.diff(np.concatenate([[0], upto])) + 1)
             vocab, ids = np.unique(np.concatenate(hashes), return_inverse=True)
             order = np.argsort(-np.bincount(ids), kind="stable")
