@@ -1,6 +1,6 @@
 """A cloud that grows by batches, with a small table of what is known of each.
 
-A batch is one folder of points and one row of aggregates: its number of rows, its bounds and its range of intensity. Those that come with the batch
+A batch is one folder of points and one row of aggregates: its number of rows, its bounds, its range of intensity, and when it was written. Those that come with the batch
 are taken as they are; the others are observed while the batch is written, so no point is read twice. Bounds and range
 of the whole cloud are merged from these rows and never need the points. The row is written last, and a batch without one does
 not belong to the cloud; a batch that is written again under its name takes the place of the first.
@@ -19,7 +19,7 @@ from .aggregates import AXES, Box, finite, number, whole_point
 
 _BOUNDS = [f"{e}_{a}" for e in ("min", "max") for a in AXES]
 _RANGE = ["min_intensity", "max_intensity"]
-SCHEMA = T.StructType([T.StructField("n", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in (*_BOUNDS, *_RANGE)), T.StructField("schema", T.StringType()), T.StructField("batch", T.StringType())])
+SCHEMA = T.StructType([T.StructField("n", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in (*_BOUNDS, *_RANGE)), T.StructField("schema", T.StringType()), T.StructField("at", T.TimestampType()), T.StructField("batch", T.StringType())])
 
 
 def _usable(box: Box | None) -> bool:
@@ -46,8 +46,9 @@ def append(points: DataFrame, root: str, name: str, bounds: Box | None = None, i
     seen = Observation()
     points.observe(seen, *measures).write.mode("overwrite").parquet(f"{base}/points/batch=b-{name}")
     row = seen.get | given | {"schema": points.schema.json()}
-    fields = SCHEMA.fields[:-1]
-    spark.createDataFrame([tuple(row.get(f.name) for f in fields)], T.StructType(fields)).coalesce(1).write.mode("overwrite").parquet(f"{base}/aggregates/batch=b-{name}")
+    fields = SCHEMA.fields[:-2]
+    made = spark.createDataFrame([tuple(row.get(f.name) for f in fields)], T.StructType(fields)).withColumn("at", F.current_timestamp())
+    made.coalesce(1).write.mode("overwrite").parquet(f"{base}/aggregates/batch=b-{name}")
 
 
 def aggregates(spark: SparkSession, root: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fixed
+
 #: The columns of each table.
 COLUMNS = {
     "color_rebuild": "timestamp cloud generation success processed total primary_total duration primary_duration rate peak_memory color_mode economy_enabled economy_step economy_visible economy_threshold".split(),
@@ -14,11 +16,36 @@ COLUMNS = {
 }
 
 
+#: Columns of the colour tables that are counts (0 if missing), flags (0 or 1) and numbers of three decimals (empty if missing).
+COUNTS = "generation processed total primary_total peak_memory economy_step economy_visible economy_threshold processed_points".split()
+FLAGS = ["success", "economy_enabled"]
+DECIMALS = ["duration", "primary_duration", "rate"]
+
+
 def rows(df: DataFrame, kind: str) -> DataFrame:
-    """df in the columns of a table, in their order; flags as 0 and 1, missing columns and values empty; others are left out."""
-    types = dict(df.dtypes)
-    own = lambda c: F.col(c).cast("int") if types[c] == "boolean" else F.concat_ws("|", c) if types[c].startswith("array") else F.col(c)
-    return df.select(*(F.coalesce(own(c).cast("string"), F.lit("")).alias(c) if c in types else F.lit("").alias(c) for c in COLUMNS[kind]))
+    """df in the columns of a table, in their order; lists joined by bars; others are left out.
+
+    The colour tables hold 0 for a missing count or flag, and three decimals of durations and rates; a row without a timestamp gets the time
+    of the query. Other missing columns and values are empty.
+    """
+    types, colour = dict(df.dtypes), kind.startswith("color")
+
+    def own(c: str) -> Column:
+        there = c in types
+        if colour and c in COUNTS:
+            return F.coalesce(F.col(c).cast("double").cast("long"), F.lit(0)).cast("string") if there else F.lit("0")
+        if colour and c in FLAGS:
+            kept = F.coalesce(F.col(c), F.lit(False)) if there and types[c] == "boolean" else F.col(c).isNotNull() if there else F.lit(False)
+            return kept.cast("int").cast("string")
+        if colour and c in DECIMALS:
+            return F.coalesce(fixed(F.col(c).cast("double"), 3), F.lit("")) if there else F.lit("")
+        now = iso(F.current_timestamp()) if colour and c == "timestamp" else F.lit("")
+        if not there:
+            return now
+        value = F.col(c).cast("int") if types[c] == "boolean" else F.concat_ws("|", c) if types[c].startswith("array") else F.col(c)
+        return F.coalesce(value.cast("string"), now)
+
+    return df.select(*(own(c).alias(c) for c in COLUMNS[kind]))
 
 
 def append(df: DataFrame, kind: str, path: str) -> None:

@@ -270,6 +270,14 @@ def ply_folder(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(F.regexp_extract("path", r"n_regionkey=(\d+)", 1).cast("long").alias("region"), "idx", *(F.round(a, 6).alias(a) for a in AXES))
 
 
+@query(f"{_with('c1')} SELECT round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, rgb, round(intensity, 6) AS intensity FROM c1")
+def ply_written_folder(spark: SparkSession, sf: str) -> DataFrame:
+    """The cloud of events written as a folder of files by the executors, and read back."""
+    folder = shared_folder(spark, "ply")
+    ply.write_folder(clouds.events(spark, sf).drop("ts"), folder)
+    return ply.read_folder(spark, folder, "*.txt").select(*(F.round(c, 6).alias(c) for c in AXES), "rgb", F.round("intensity", 6).alias("intensity"))
+
+
 @query(f"{_with('c1')} SELECT 3::BIGINT AS batches, count(*)::BIGINT AS n, {SQL_BOUNDS}, min(intensity) AS min_intensity, max(intensity) AS max_intensity FROM c1")
 def batch_aggregates(spark: SparkSession, sf: str) -> DataFrame:
     """Bounds and range of a cloud of three batches, from the rows kept with each: one batch brings all its aggregates, one its range, one none."""
@@ -281,6 +289,18 @@ def batch_aggregates(spark: SparkSession, sf: str) -> DataFrame:
     return held_batches.summary(spark, root)
 
 
+@query("""SELECT event_id::VARCHAR AS cloud, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, user_id::VARCHAR AS generation, CASE WHEN event_id % 3 = 0 THEN '1' ELSE '0' END AS success, CASE WHEN event_id % 4 > 0 THEN trunc(value)::BIGINT ELSE 0 END::VARCHAR AS processed,
+CASE WHEN event_id % 5 > 0 THEN printf('%.3f', value * 8) ELSE '' END AS duration, printf('%.3f', value) AS rate, '0' AS total, '0' AS primary_total, '' AS primary_duration, '0' AS peak_memory, event_type AS color_mode, '0' AS economy_enabled, '0' AS economy_step, '0' AS economy_visible, '0' AS economy_threshold FROM events""")
+def rebuild_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the colour-rebuild table from events, some of whose counts, flags and durations are missing."""
+    e = clouds.table(spark, sf, "events")
+    own = e.select(
+        F.col("event_id").alias("cloud"), reports.iso(F.col("ts").cast("timestamp")).alias("timestamp"), F.col("user_id").alias("generation"), F.when(F.col("event_id") % 3 == 0, True).alias("success"),
+        F.when(F.col("event_id") % 4 > 0, F.col("value")).alias("processed"), F.when(F.col("event_id") % 5 > 0, F.col("value") * 8).alias("duration"), F.col("value").alias("rate"), F.col("event_type").alias("color_mode"),
+    )
+    return reports.rows(own, "color_rebuild")
+
+
 # --- sampling and levels of detail -----------------------------------------------------------------
 
 

@@ -371,15 +371,41 @@ def ply_line(rgb: bool, intensity: bool) -> Column:
     return F.concat_ws(" ", *parts)
 
 
-def ply_rows(points: DataFrame) -> DataFrame:
-    """idx and line of each whole point."""
+def ply_rows(points: DataFrame, *more: str) -> DataFrame:
+    """idx, line (and more columns) of each whole point."""
     from ..operators.aggregates import whole_point
 
-    return points.filter(whole_point()).select("idx", ply_line("rgb" in points.columns, "intensity" in points.columns).alias("line"))
+    return points.filter(whole_point()).select("idx", *more, ply_line("rgb" in points.columns, "intensity" in points.columns).alias("line"))
+
+
+def _head_lines(points: DataFrame) -> list[str]:
+    out = [f"property float {a}" for a in "xyz"]
+    out += [f"property uchar {c}" for c in ("red", "green", "blue")] if "rgb" in points.columns else []
+    return out + (["property float intensity"] if "intensity" in points.columns else [])
+
+
+def write_folder(points: DataFrame, folder: str) -> int:
+    """Write a cloud of any size as a folder of ASCII PLY files, each a whole file with its own header, in the order of idx over the files' names; returns the number of vertices.
+
+    Points are cut into ranges of idx; the executors format, sort and write them, and only the counts pass the driver. read_folder(names="*.txt") reads them back.
+    """
+    from ..operators.numbering import with_range
+
+    ranged = with_range(points, F.col("idx"), "__part")
+    lines = ply_rows(ranged, "__part").select(F.format_string("%06d", F.col("__part")).alias("part"), "idx", F.lit(1).alias("place"), F.col("line").alias("value"))
+    counts = lines.groupBy("part").agg(F.count("*").alias("n"))
+    tail = "\n" + "\n".join([*_head_lines(points), "end_header"])
+    heads = counts.select("part", F.lit(None).cast("long").alias("idx"), F.lit(0).alias("place"), F.concat(F.lit("ply\nformat ascii 1.0\nelement vertex "), F.col("n").cast("string"), F.lit(tail)).alias("value"))
+    n = counts.agg(F.sum("n")).first()[0]
+    if not n:
+        raise PlyError("the cloud is empty")
+    both = lines.unionByName(heads).repartition(max(2, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "part").sortWithinPartitions("part", "place", "idx")
+    both.select("part", "value").write.partitionBy("part").text(folder)
+    return n
 
 
 def write_ply(points: DataFrame, path: str) -> int:
-    """Write an ASCII PLY file in the order of idx; returns the number of vertices (points without coordinates are left out of the count too).
+    """Write one ASCII PLY file in the order of idx (write_folder takes clouds of any size); returns the number of vertices (points without coordinates are left out of the count too).
 
     Lines are formatted and sorted by Spark and streamed to the file part by part.
     """
@@ -390,9 +416,7 @@ def write_ply(points: DataFrame, path: str) -> int:
         n = rows.count()
         if not n:
             raise PlyError("the cloud is empty")
-        head = ["ply", "format ascii 1.0", f"element vertex {n}", *(f"property float {a}" for a in "xyz")]
-        head += [f"property uchar {c}" for c in ("red", "green", "blue")] if "rgb" in points.columns else []
-        head += ["property float intensity"] if "intensity" in points.columns else []
+        head = ["ply", "format ascii 1.0", f"element vertex {n}", *_head_lines(points)]
         fs, p = _open(path)
         with fs.open_output_stream(p) as raw, io.BufferedWriter(raw, 1 << 20) as f:
             f.write("\n".join([*head, "end_header", ""]).encode())

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.units import scale
+from ..operators import batches, telemetry
 from ..operators.aggregates import bounds, intensity_range, micros
 from ..operators.sampling import LEVELS, step_level
 from ..operators.telemetry import bypass
@@ -29,6 +30,28 @@ def ingest(chunks: DataFrame, out: str, checkpoint: str, unit_scale: float = 1.0
     return scale(chunks, unit_scale).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_batches(chunks: DataFrame, root: str, checkpoint: str, unit_scale: float = 1.0) -> StreamingQuery:
+    """Scale each micro-batch and append it to the cloud at `root` with its aggregates, which are observed while it is written; a replayed one takes its own place."""
+
+    def append(batch: DataFrame, epoch: int) -> None:
+        batches.append(batch, root, f"{epoch:012d}")
+
+    return scale(chunks, unit_scale).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def progress(spark: SparkSession, root: str, total: int, interval: float | None = None) -> DataFrame:
+    """epoch, at, rows, processed and fraction of each micro-batch of ingest_batches so far: processed grows with every batch, and fraction reaches 1 at `total`.
+
+    interval: only what the throttle lets through (complete progress always). Read from the rows that the batches keep, one of each; the points are not read.
+    """
+    own = batches.aggregates(spark, root).select(F.col("batch").cast("long").alias("epoch"), "at", F.col("n").alias("rows"), F.lit("import").alias("job"))
+    done = F.sum("rows").over(Window.partitionBy("job").orderBy("epoch"))
+    told = own.withColumn("processed", done).withColumn("fraction", F.least(F.col("processed") / F.lit(max(total, 1)), F.lit(1.0)) if total > 0 else F.lit(0.0))
+    if interval is not None:
+        told = told.join(telemetry.throttle(told, "job", "at", "epoch", interval, fraction="fraction"), ["job", "epoch"], "left_semi")
+    return told.select("epoch", "at", "rows", "processed", "fraction")
+
+
 def running_bounds(chunks: DataFrame, name: str) -> StreamingQuery:
     """Bounds of all chunks so far (complete mode: partial per chunk, merged in state)."""
     return bounds(chunks).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()

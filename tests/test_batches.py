@@ -66,3 +66,16 @@ def test_choice_of_a_factor(spark):
     meter, foot, millimeter = (choose(k, None, None, None) for k in ("meter", "foot", "millimeter"))
     assert choose("meter", "foot", 5.0, 2) == meter and choose(None, "foot", 5.0, 2) == foot and choose("ell", None, 5.0, 2) == 5.0
     assert choose(None, None, -1.0, 2) == choose(None, None, None, 2) and choose(None, None, None, None) == 1.0 and millimeter < foot < meter
+
+
+def test_a_cloud_written_as_a_folder(spark, tmp_path):
+    rows = [(k, k * 1.5, -k / 3, 7.0, k % 5, None if k % 4 == 0 else k / 8) for k in range(500)]
+    df = spark.createDataFrame([*rows, (600, None, 1.0, 1.0, 1, 1.0)], "idx long, x double, y double, z double, rgb long, intensity double").repartition(5)
+    folder = str(tmp_path / "out")
+    assert ply.write_folder(df, folder) == 500
+    found = ply.headers(spark, folder, "*.txt").collect()
+    assert len(found) > 1 and sum(r["vertices"] for r in found) == 500 and not any(r["error"] for r in found)
+    back = [tuple(r)[2:] for r in ply.read_folder(spark, folder, "*.txt", range_bytes=700).orderBy("path", "idx").collect()]
+    assert back == [(x, round(y, 6), z, c, i or 0.0) for _, x, y, z, c, i in rows]  # files and rows in the order of idx
+    with pytest.raises(ply.PlyError):
+        ply.write_folder(df.filter("false"), str(tmp_path / "none"))

@@ -68,3 +68,31 @@ def test_throttle_bypass(spark):
     df = spark.createDataFrame(rows, "job string, i long, message string, force boolean, fraction double").withColumn("ts", F.timestamp_seconds(F.col("i")))
     got = telemetry.throttle(df, "job", "ts", "i", 10.0, "message", "force", "fraction").collect()
     assert sorted((x["job"], x["i"]) for x in got) == [("a", 0), ("a", 4), ("a", 5), ("a", 6), ("a", 16), ("b", 3), ("b", 4)]
+
+
+def test_progress_of_a_stream(spark, tmp_path):
+    from cloudloom.operators import batches
+
+    rows = [(k, float(k), -float(k), 1.0) for k in range(1000)]
+    df = spark.createDataFrame(rows, "idx long, x double, y double, z double")
+    for k, (lo, hi) in enumerate([(0, 100), (100, 600), (600, 1000)]):
+        df.filter(f"idx >= {lo} and idx < {hi}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if k != 1:  # the first run takes one file, the second one the other two, one at a time
+            ingest.ingest_batches(ingest.read_chunks(spark, str(tmp_path / "in"), df.schema), str(tmp_path / "cloud"), str(tmp_path / "c"), 2.0).awaitTermination()
+    got = ingest.progress(spark, str(tmp_path / "cloud"), 1000).orderBy("epoch").collect()
+    sizes = [r["rows"] for r in got if r["rows"]]
+    assert sorted(sizes) == [100, 400, 500] and sizes[0] == 100 and got[-1]["processed"] == 1000 and got[-1]["fraction"] == 1.0
+    assert all(a["processed"] <= b["processed"] and a["at"] <= b["at"] for a, b in zip(got, got[1:]))
+    whole = batches.summary(spark, str(tmp_path / "cloud")).first()
+    assert (whole["n"], whole["max_x"], whole["min_y"]) == (1000, 1998.0, -1998.0) == (batches.points(spark, str(tmp_path / "cloud")).count(), 1998.0, -1998.0)
+    few = [r["fraction"] for r in ingest.progress(spark, str(tmp_path / "cloud"), 1000, interval=3600.0).orderBy("epoch").collect()]
+    assert few[0] == 0.1 and few[-1] == 1.0 and len(few) == 2
+
+
+def test_rows_of_the_colour_tables(spark):
+    from cloudloom.operators import reports
+
+    df = spark.createDataFrame([("a", None, None, 7.9, None, 1.23456)], "cloud string, success boolean, generation int, processed double, duration double, rate double")
+    row = reports.rows(df, "color_rebuild").first().asDict()
+    assert (row["success"], row["generation"], row["processed"], row["total"], row["duration"], row["rate"], row["economy_enabled"], row["color_mode"]) == ("0", "0", "7", "0", "", "1.235", "0", "")
+    assert row["timestamp"] > "2024" and [*row] == reports.COLUMNS["color_rebuild"]
