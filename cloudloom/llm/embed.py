@@ -31,8 +31,8 @@ from .graph import components
 
 KEY_BITS = 56
 TILE = 512
-#: Signs of a pass to choose from, and what a row of a pass costs in comparisons; only speed depends on them.
-BITS, ROW_COST = tuple(range(0, 41, 4)), 2000
+#: Signs of a pass to choose from (never none: small tables go through projection passes like large ones), and what a row of a pass costs in comparisons; only speed depends on them.
+BITS, ROW_COST = tuple(range(4, 41, 4)), 2000
 
 
 def unit_vectors(df: DataFrame, key: str, vec: str, label: str) -> DataFrame:
@@ -58,8 +58,6 @@ def unit_vectors(df: DataFrame, key: str, vec: str, label: str) -> DataFrame:
 
 def n_passes(bits: int, threshold: float, miss: float) -> int:
     """Passes after which a pair at the threshold has agreed in all `bits` signs of one with probability 1 - miss."""
-    if not bits:
-        return 1
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return max(3, math.ceil(math.log(miss) / math.log(1 - min(agree, 0.95))))
 
@@ -70,7 +68,7 @@ def n_bits(vectors: DataFrame, threshold: float, miss: float) -> int:
     sizes = keyed.groupBy("bits", "step", "label", "dim", F.expr(f"shiftright(order, {KEY_BITS} - bits)").alias("bucket")).agg(F.count("*").cast("double").alias("n"))
     rows = sizes.groupBy("bits").agg((F.sum("n") / 2).alias("rows"), (F.sum(F.col("n") * F.col("n")) / 4).alias("pairs")).collect()
     cost = {r["bits"]: n_passes(r["bits"], threshold, miss) * (ROW_COST * r["rows"] + r["pairs"]) for r in rows}
-    return min(cost, key=lambda b: (cost[b], b), default=0)
+    return min(cost, key=lambda b: (cost[b], b), default=BITS[0])
 
 
 def _planes(step: int, dim: int) -> np.ndarray:
@@ -122,7 +120,7 @@ def candidate_links(vectors: DataFrame, threshold: float = 0.98, miss: float = 1
     idt = vectors.schema["id"].dataType
     bits = n_bits(vectors, threshold, miss)
     bucket = ["step", "label", "dim", "bucket"]
-    keyed = _keyed(vectors, n_passes(bits, threshold, miss)).withColumn("bucket", F.shiftright("order", KEY_BITS - bits) if bits else F.lit(0).cast("long")).drop("order")
+    keyed = _keyed(vectors, n_passes(bits, threshold, miss)).withColumn("bucket", F.shiftright("order", KEY_BITS - bits)).drop("order")
     keyed = keyed.repartition(parallelism(spark), *bucket)
     sizes = keyed.groupBy(*bucket).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.count("*").alias("n")).filter("n > 1").drop("n")
     # a bucket of several tiles is compared tile against tile, in tasks of their own
