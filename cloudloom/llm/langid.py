@@ -46,14 +46,14 @@ def fold(df: DataFrame, key: str, parts: int) -> Column:
 
 
 def sample(train: DataFrame, key: str, text: str, lang: str, rows_per_lang: int, sample_rows: int, row_chars: int) -> DataFrame:
-    """About rows_per_lang rows of each language and sample_rows of all at most, chosen by a hash of the key."""
+    """About rows_per_lang rows of each language and sample_rows of all at most, chosen by a hash of key and text, so that null and repeated keys are drawn like others; a row that repeats is drawn once."""
     fit = train.filter(F.length(text) <= row_chars)
     sizes = fit.groupBy(F.col(lang).alias("__lang")).agg(F.count("*").alias("__rows"))
     n, each = sizes.agg(F.count("*"), F.least(F.lit(float(rows_per_lang)), F.lit(float(sample_rows)) / F.greatest(F.count("*"), F.lit(1)))).first()
     if n <= BROADCAST_LANGS:  # else the texts are dealt out by language
         sizes = F.broadcast(sizes)
     share = F.lit(each) / F.col("__rows") * (1 << 30)
-    return fit.join(sizes, fit[lang] == sizes["__lang"]).filter(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) < share).select(*train.columns)
+    return fit.join(sizes, fit[lang] == sizes["__lang"]).filter(F.pmod(F.xxhash64(F.col(key).cast("string"), text), F.lit(1 << 30)) < share).select(*train.columns).dropDuplicates([key, text, lang])
 
 
 def letters(text: str) -> list[str]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from html.parser import HTMLParser
 
@@ -267,6 +268,21 @@ def test_bpe_is_the_library(spark, lib, documents, doc_rows):
     assert sorted(map(repr, map(tuple, bpe.digest(df, BPE).collect()))) == sorted(map(repr, want))
 
 
+def test_bpe_long_pretokens_are_the_library(lib):
+    r = random.Random(8)
+    codec = bpe.Codec(BPE)
+    texts = ["".join(r.choices(alphabet, k=n)) for alphabet in ("abeht", "a", ["the", "ing", "zz", "été", "日本"], "-=_#") for n in (bpe.LONG - 1, bpe.LONG, bpe.LONG + 1, 5000)]
+    texts += [" ".join("".join(r.choices("aehnt", k=r.randint(1, 900))) for _ in range(6)) for _ in range(50)]
+    ids, counts, _ = codec.encode(texts)
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+    blank_free = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    began = time.perf_counter()
+    ids, _, _ = codec.encode([blank_free])
+    assert time.perf_counter() - began < 30  # rounds over all symbols took minutes
+    assert ids.tolist() == lib.encode(blank_free, add_special_tokens=False).ids
+
+
 def test_bpe_round_trip_and_bad_ids(spark):
     df = frame(spark, odd_docs())
     both = bpe.decode(bpe.encode(df, BPE), BPE).collect()
@@ -525,6 +541,10 @@ def test_language_many_and_long_rows(spark):
     assert {r["doc_id"]: r["lang_pred"] for r in got} == {k: y for k, _, y in rows}
     few = langid.fit(labelled, sample_rows=130)
     assert 60 <= len(few["langs"]) <= 230  # the bound of the sample
+    for key in (None, 7):  # null and repeated keys are drawn like others, a row that repeats is drawn once
+        same = spark.createDataFrame([(key, f"text {k}", "en") for k in range(5000)] + [(key, "again", "en")] * 5000, "doc_id long, text string, lang string")
+        drawn = langid.sample(same, "doc_id", "text", "lang", 1000, 50_000, 200_000)
+        assert 350 <= drawn.count() <= 650 and drawn.filter("text = 'again'").count() <= 1
 
 
 def test_language_odd(spark, documents):
