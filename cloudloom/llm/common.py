@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -56,6 +57,18 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives what a task has freed back to the system: Python workers stay for later stages, beside their memory."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
 def text_steps(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """(rows, their texts with null as empty) in steps of about `size` bytes of text."""
     for batch in batches:
@@ -69,6 +82,7 @@ def text_steps(batches: Iterator[pa.RecordBatch], text: str = "text", size: int
             to = max(at + 1, int(np.searchsorted(ends, base + size, "right")))
             yield batch.slice(at, to - at), col.slice(at, to - at)
             at = to
+    release()
 
 
 def flat_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

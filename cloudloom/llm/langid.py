@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, ragged, text_steps
+from .common import materialize, ragged, release, text_steps
 
 _ALNUM = re.compile(r"[^\W\d_]+").findall
 LONGEST = 5
@@ -35,7 +35,7 @@ UND = "und"
 #: Languages (a row of name and count each) that are broadcast at most.
 BROADCAST_LANGS = 100_000
 #: Words that a worker remembers before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Words of a text whose scores are added up at a time.
 SUM_WORDS = 1 << 16
 
@@ -215,6 +215,7 @@ def keep_known(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
         for rows, col in text_steps(batches, text):
             yield rows.filter(pa.array(own.predict(col.to_pylist())[2], pa.bool_()))
         own.forget()
+        release()
 
     return df.mapInArrow(run, df.schema)
 
@@ -230,6 +231,7 @@ def predict(df: DataFrame, model: dict, key: str = "doc_id", text: str = "text")
             langs, scores, _ = own.predict(col.to_pylist())
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [key, "lang_pred", "score"])
         own.forget()
+        release()
 
     return df.mapInArrow(run, T.StructType([df.schema[key], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
