@@ -15,30 +15,35 @@ from pyspark.sql import functions as F
 from . import cells
 from .aggregates import AXES, Box, box_of, whole_point
 
-_CELL = ("cx", "cy", "cz")
+CELL = ("cx", "cy", "cz")
 
 
 def cell(c: str | Column, size: float) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / F.lit(float(size)))
 
 
-def _gridded(points: DataFrame, size: float) -> DataFrame:
-    return points.filter(whole_point()).withColumns({k: cell(a, size) for k, a in zip(_CELL, AXES, strict=True)})
+def cell_size(radius: float) -> float:
+    """A side a little over radius, so that rounding puts no two points within radius two cells apart; any side does for radius 0."""
+    return radius * (1 + 1e-9) or 1.0
 
 
-def _reaching(queries: DataFrame, size: float) -> DataFrame:
+def gridded(points: DataFrame, size: float) -> DataFrame:
+    return points.filter(whole_point()).withColumns({k: cell(a, size) for k, a in zip(CELL, AXES, strict=True)})
+
+
+def reaching(queries: DataFrame, size: float) -> DataFrame:
     """Each query once for its own cell and once for each of the 26 around it."""
     around = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip((i, j, k), "ijk", strict=True))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
-    q = _gridded(queries, size).withColumn("__o", F.explode(around))
-    return q.withColumns({c: F.col(c) + F.col(f"__o.{n}") for c, n in zip(_CELL, "ijk", strict=True)}).drop("__o")
+    q = gridded(queries, size).withColumn("__o", F.explode(around))
+    return q.withColumns({c: F.col(c) + F.col(f"__o.{n}") for c, n in zip(CELL, "ijk", strict=True)}).drop("__o")
 
 
 def radius_join(queries: DataFrame, points: DataFrame, radius: float, same: bool = True) -> DataFrame:
     """(q_idx, idx, d2) of all points within radius (inclusive) of each query; same: a point is its own neighbour."""
-    q = _reaching(queries.select(F.col("idx").alias("q_idx"), *AXES), radius).select("q_idx", *(F.col(a).alias(f"q{a}") for a in AXES), *_CELL)
-    p = _gridded(points.select("idx", *AXES), radius)
+    q = reaching(queries.select(F.col("idx").alias("q_idx"), *AXES), radius).select("q_idx", *(F.col(a).alias(f"q{a}") for a in AXES), *CELL)
+    p = gridded(points.select("idx", *AXES), radius)
     d2 = sum(((F.col(a) - F.col(f"q{a}")) * (F.col(a) - F.col(f"q{a}")) for a in AXES[1:]), (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")))
-    near = q.join(p, list(_CELL)).select("q_idx", "idx", d2.alias("d2")).filter(F.col("d2") <= F.lit(radius * radius))
+    near = q.join(p, list(CELL)).select("q_idx", "idx", d2.alias("d2")).filter(F.col("d2") <= F.lit(radius * radius))
     return near if same else near.filter("q_idx != idx")
 
 
