@@ -16,6 +16,8 @@ from . import cells
 from .aggregates import AXES, Box, box_of, whole_point
 
 CELL = ("cx", "cy", "cz")
+#: A cell's queries are dealt to this many keys, and its points go to each: no full cell is one task's work.
+PARTS = 8
 
 
 def cell(c: str | Column, size: float) -> Column:
@@ -110,17 +112,35 @@ def ray_pick(points: DataFrame, rays: list[tuple[int, tuple, tuple]], tolerance:
     return near.groupBy("r.q_id").agg(F.min(F.struct("perp2", "idx", "t")).alias("b")).select("q_id", "b.idx", "b.t", "b.perp2")
 
 
+def _neighbourhoods(points: DataFrame, radius: float) -> DataFrame:
+    """covariance, and the places that a neighbourhood's points lie at.
+
+    Pairs are summed up where they meet, as offsets from the query: what leaves a task is at most one row for each query and
+    cell around it, never a pair. Points at one place are counted and not compared; they get the same row to the last bit.
+    """
+    size = cell_size(radius)
+    places = points.filter(whole_point()).groupBy(*AXES).agg(F.count("*").alias("w"))
+    at = [f"q{a}" for a in AXES]
+    q = reaching(places, size).select(*(F.col(a).alias(k) for a, k in zip(AXES, at, strict=True)), *CELL, F.pmod(F.xxhash64(*AXES), F.lit(PARTS)).cast("int").alias("part"))
+    p = gridded(places, size).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    off = q.join(p.hint("merge"), [*CELL, "part"]).select(*at, "w", *((F.col(a) - F.col(k)).alias(a) for a, k in zip(AXES, at, strict=True)))
+    near = off.filter(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z") <= F.lit(radius * radius))
+    pairs = [(a, b) for i, a in enumerate(AXES) for b in AXES[i:]]
+    sums = near.groupBy(*at).agg(F.sum("w").alias("n"), F.count("*").alias("places"), *(F.sum(F.col("w") * F.col(a)).alias(f"s{a}") for a in AXES), *(F.sum(F.col("w") * F.col(a) * F.col(b)).alias(f"s{a}{b}") for a, b in pairs))
+    mean = {a: F.col(f"s{a}") / F.col("n") for a in AXES}
+    cov = {(a, b): F.col(f"s{a}{b}") / F.col("n") - mean[a] * mean[b] for a, b in pairs}
+    found = sums.select("n", "places", *(F.col(k).alias(a) for a, k in zip(AXES, at, strict=True)), *((F.col(k) + mean[a]).alias(f"m{a}") for a, k in zip(AXES, at, strict=True)), *((F.greatest(c, F.lit(0.0)) if a == b else c).alias(f"c{a}{b}") for (a, b), c in cov.items()))
+    return points.select("idx", *AXES).join(found, list(AXES)).select("idx", "n", *(f"m{a}" for a in AXES), *(f"c{a}{b}" for a, b in pairs), "places")
+
+
 def covariance(points: DataFrame, radius: float) -> DataFrame:
     """Neighbours, centroid and population covariance of each point's neighbourhood."""
-    p = points.select(F.col("idx").alias("n_idx"), *AXES)
-    near = radius_join(points, points, radius).select(F.col("q_idx").alias("idx"), F.col("idx").alias("n_idx")).join(p, "n_idx")
-    cov = [F.covar_pop(a, b).alias(f"c{a}{b}") for i, a in enumerate(AXES) for b in AXES[i:]]
-    return near.groupBy("idx").agg(F.count("*").alias("n"), *(F.avg(a).alias(f"m{a}") for a in AXES), *cov)
+    return _neighbourhoods(points, radius).drop("places")
 
 
 def curvature(points: DataFrame, radius: float) -> DataFrame:
-    """1 - least eigenvalue / trace of each neighbourhood's covariance, in closed form; 0 with fewer than 3 neighbours or no spread."""
-    c = covariance(points, radius)
+    """1 - least eigenvalue / trace of each neighbourhood's covariance, in closed form; 0 with fewer than 3 neighbours or no spread, 1 (to the last bit) with no more than 3 places, which are always in a plane."""
+    c = _neighbourhoods(points, radius)
     a, b, d = F.col("cxx"), F.col("cyy"), F.col("czz")
     xy, xz, yz = F.col("cxy"), F.col("cxz"), F.col("cyz")
     tr = a + b + d
@@ -133,5 +153,6 @@ def curvature(points: DataFrame, radius: float) -> DataFrame:
     half_det = (ba * (bb * bd - byz * byz) - bxy * (bxy * bd - byz * bxz) + bxz * (bxy * byz - bb * bxz)) / 2
     phi = F.acos(F.least(F.greatest(half_det, F.lit(-1.0)), F.lit(1.0))) / 3
     least = F.when(p > 0, q + 2 * p * F.cos(phi + 2 * math.pi / 3)).otherwise(q)
+    least = F.when(F.col("places") <= 3, 0.0).otherwise(least)
     flat = F.least(F.greatest(least / F.when(tr > 0, tr).otherwise(F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
     return c.select("idx", "n", F.when((F.col("n") >= 3) & (tr > 0), 1.0 - flat).otherwise(F.lit(0.0)).alias("curvature"))
